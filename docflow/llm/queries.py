@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import quality
+from .quality import op9_quality_rules
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {"op3_simhash": op3_simhash, "op9_quality_rules": op9_quality_rules}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
