@@ -26,11 +26,17 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = "[\\x20\\x09-\\x0D]"
-SYMBOLS = "[#*$%&|<>]"
+WHITE = " \t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 1000
 MIN_WORDS = 50
 
 
+def _count(col: str, chars: str) -> Column:
+    """How many characters of the text are among chars."""
+    return (F.length(col) - F.length(F.translate(col, chars, ""))).cast("long")
+
+
 def _lines() -> Column:
     return F.filter(F.split(F.col("t"), "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
 
@@ -49,11 +55,14 @@ def _same(x: Column, y: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column q of the counts; docs keeps its columns."""
+    """docs with a struct column q of the counts and t, the text or an empty one; docs keeps its columns."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     q = docs.select("*", t.alias("t"), F.array_remove(F.split(t, SPACE + "+"), "").alias("_w"))
     words = F.col("_w")
-    q = q.select("*", F.size(words).cast("long").alias("_n"), _repeated(words, F.size(words)).alias("_s"))
+    hashes = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    q = q.select("*", F.size(words).cast("long").alias("_n"), hashes.alias("_h"))
+    # most texts repeat no window; only the others are sorted
+    q = q.select("*", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _repeated(words, F.size(words))).alias("_s"))
     s = F.col("_s")
     twice = F.sort_array(
         F.transform(
@@ -70,10 +79,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *docs.columns,
         F.struct(
             F.col("_n").alias("n_words"),
-            F.length(F.regexp_replace("t", SPACE + "+", "")).cast("long").alias("word_chars"),
-            F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
+            _count("t", SYMBOLS).alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            covered.alias("n_repeat_words"),
+            F.when(s.isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
             F.size("_l").cast("long").alias("n_lines"),
         ).alias("q"),
         "t",
@@ -89,16 +98,14 @@ def base_failed() -> Column:
 
 def rules() -> dict[str, Column]:
     n = F.col("q.n_words")
-    capitals = F.regexp_count("t", F.lit("\\p{Lu}"))
-    letters = F.regexp_count("t", F.lit("\\p{L}"))
     return {
         "base": base_failed(),
         "symbols": 10 * F.col("q.n_symbols") > n,
         "dup_lines": 2 * F.col("q.n_dup_lines") > F.col("q.n_lines"),
         "short_words": F.col("q.word_chars") < 2 * n,
         "long_words": F.col("q.word_chars") > 20 * n,
-        "capitals": 2 * capitals > letters,
-        "marks": 4 * F.regexp_count("t", F.lit("[!?]")) > n,
+        "capitals": 2 * _count("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") > F.col("q.word_chars"),
+        "marks": 4 * _count("t", "!?") > n,
     }
 
 
@@ -158,7 +165,7 @@ m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, '')
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-       OR 2 * len(regexp_extract_all(t, '\\p{Lu}')) > len(regexp_extract_all(t, '\\p{L}'))
+       OR 2 * len(regexp_extract_all(t, '[A-Z]')) > word_chars
        OR 4 * len(regexp_extract_all(t, '[!?]')) > n_words) AS kept
 FROM b
 """
