@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, quality
+from .decontaminate import op4_decontamination
 from .quality import op9_quality_rules
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_quality_rules": op9_quality_rules}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_decontamination, op9_quality_rules)}
 
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE}
