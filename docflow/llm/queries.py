@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import decontaminate, quality
+from .bpe import op6_byte_bpe
 from .decontaminate import op4_decontamination
 from .quality import op9_quality_rules
 from .simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_decontamination, op6_byte_bpe, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE}
