@@ -7,10 +7,11 @@ from .bpe import op6_byte_bpe
 from .chat import op1_chat_format
 from .decontaminate import op4_decontamination
 from .html_text import op7_html_text
+from .pii import op10_pii
 from .quality import op9_quality_rules
 from .warc import op2_warc
 from .simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op6_byte_bpe, op7_html_text, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op6_byte_bpe, op7_html_text, op9_quality_rules, op10_pii)}
 
 ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op2_warc": warc.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE}
