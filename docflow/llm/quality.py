@@ -144,7 +144,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE
     """The rows of docs that no rule rejects, with their columns."""
     order = cascade(docs, text_col, sample_rows)
     inner = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    return measured(inner).where(kept(order)).select("_row.*")
+    # a filter would be pushed below the counts and repeat them inside itself; exploding no or one row is not
+    return measured(inner).select(F.explode(F.when(kept(order), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
