@@ -5,7 +5,7 @@ of at least REVISIT_BYTES bytes, the one with the smallest page_id is a response
 name it. A record block longer than SEGMENT_BYTES is cut into a first record and continuation records with
 WARC-Segment-Number, WARC-Segment-Origin-ID and, on the last, WARC-Segment-Total-Length. Spark's text writer puts down
 blocks of whole records (the two line ends behind a record are its line separator), so archives go to any store that
-Spark can write; a file holds at most FILE_BLOCKS blocks of about BLOCK_BYTES.
+Spark can write; a file holds at most FILE_BLOCKS blocks of about BLOCK_BYTES and is compressed with gzip.
 
 Reading. Archives come in by Spark's binaryFile reader and are parsed record by record. Continuation records are grouped
 by the id of their origin, ordered by segment number, and streamed: framing is decoded and digests are kept as state,
@@ -23,6 +23,7 @@ the one with the smallest id's payload stays a response for each of its rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -150,7 +151,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
             yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["value"])
 
     blocks = met.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "value binary")
-    blocks.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_BLOCKS).text(path)
+    blocks.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_BLOCKS).option("compression", "gzip").text(path)
 
 
 def _plain(url: str | None, name: str) -> str:
@@ -230,6 +231,8 @@ def segments(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 data, rows, size = content.as_py(), [], 0
+                if data.startswith(b"\x1f\x8b"):
+                    data = gzip.decompress(data)
                 for h, start, stop in parse(data):
                     kind = h.get("warc-type", "")
                     if kind not in ("response", "revisit", "continuation"):
