@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docflow.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "coverage_report"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
