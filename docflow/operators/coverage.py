@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docflow.operators import tasks as K
-from docflow.operators.tree import ORDER
+from docflow.operators.tree import in_order
 
 
 def covered_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def carried(nodes: DataFrame, links: DataFrame) -> DataFrame:
         first = links.where("dangling").join(nodes.select("doc_id", "node_id", "pos"), ["doc_id", "node_id"]).groupBy("doc_id").agg(F.min("pos").alias("_from"))
         rows = rows.join(first, "doc_id", "left")
         dangling = F.coalesce(F.col("pos") > F.col("_from"), F.lit(False))
-    before = F.coalesce(F.lag("n_tasks").over(ORDER), F.lit(0))
+    before = F.coalesce(F.lag("n_tasks").over(in_order()), F.lit(0))
     return rows.withColumn("covered", (F.col("n_tasks") > 0) | (before > 0) | dangling).drop("_from")
 
 

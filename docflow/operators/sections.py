@@ -17,14 +17,14 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
 
 def outside_fences(lines: DataFrame) -> DataFrame:
     """lines with fenced: whether the line is or lies in a fenced block (an odd number of fence lines so far)."""
-    so_far = F.sum(T.is_fence(F.col("line")).cast("int")).over(tree.ORDER)
+    so_far = F.sum(T.is_fence(F.col("line")).cast("int")).over(tree.in_order())
     return lines.withColumn("fenced", (so_far % 2 == 1) | T.is_fence(F.col("line")))
 
 
 def markdown_nodes(docs: DataFrame) -> DataFrame:
     """Headings with level and the text from the heading to the next one; text before the first heading is left out."""
     lines = outside_fences(markdown_lines(docs)).withColumn("level", F.when(~F.col("fenced"), T.heading_level(F.col("line"))).otherwise(F.lit(0)))
-    runs = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(tree.ORDER)).where("section > 0")
+    runs = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(tree.in_order())).where("section > 0")
     per = runs.groupBy("doc_id", "section").agg(F.min_by("level", "pos").alias("level"), F.min_by("line", "pos").alias("_head"), F.min("pos").alias("line_no"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     return per.select("doc_id", F.col("section").alias("pos"), "level", T.heading_title(F.col("_head")).alias("title"), (F.col("line_no") + 1).alias("line_num"), F.trim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
 
@@ -40,7 +40,7 @@ def markdown_tree(docs: DataFrame, least_tokens: int = 0) -> DataFrame:
 def section_runs(elements: DataFrame, most_level: int = 3) -> DataFrame:
     """Sections of elements (doc_id, pos, type, level, page, id, content): a heading of a low level opens one; what comes first is "Preamble"."""
     opens = (F.col("type") == "heading") & (F.col("level") <= most_level)
-    rows = elements.withColumn("_opens", opens).withColumn("section", F.sum(opens.cast("int")).over(tree.ORDER))
+    rows = elements.withColumn("_opens", opens).withColumn("section", F.sum(opens.cast("int")).over(tree.in_order()))
     said = F.when((F.col("type") != "heading") & (F.trim(F.coalesce("content", F.lit(""))) != ""), F.struct("pos", "content"))
     per = rows.groupBy("doc_id", "section").agg(
         F.coalesce(F.min_by(F.when(F.col("_opens"), F.col("content")), "pos"), F.lit("Preamble")).alias("heading"),

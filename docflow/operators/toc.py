@@ -80,7 +80,7 @@ def locate(items: DataFrame, pages: DataFrame) -> DataFrame:
 def neighbours(items: DataFrame, ok: str, first_page: int = 0) -> DataFrame:
     """items with prev_page and next_page: the pages of the nearest items before and after that are right."""
     page = F.when(F.col(ok), F.col("physical_index"))
-    return items.withColumn("prev_page", F.coalesce(F.last(page, True).over(tree.BEFORE), F.lit(first_page))).withColumn("next_page", F.coalesce(F.first(page, True).over(tree.AFTER), F.col("n_pages")))
+    return items.withColumn("prev_page", F.coalesce(F.last(page, True).over(tree.before()), F.lit(first_page))).withColumn("next_page", F.coalesce(F.first(page, True).over(tree.after()), F.col("n_pages")))
 
 
 def bracketed_repair(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("doc_id").orderBy("pos")
-BEFORE = ORDER.rowsBetween(W.unboundedPreceding, -1)
-AFTER = ORDER.rowsBetween(1, W.unboundedFollowing)
 DEPTH = 6
 
 
+def in_order():
+    """A document's nodes in order. Windows are made in functions: importing a module needs no session."""
+    return W.partitionBy("doc_id").orderBy("pos")
+
+
+def before():
+    return in_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def after():
+    return in_order().rowsBetween(1, W.unboundedFollowing)
+
+
 def flatten_nodes(nodes: DataFrame) -> DataFrame:
     """Flat nodes with page_start and page_end for start_index and end_index, and defaults for what is missing."""
     return nodes.select(
@@ -55,13 +65,13 @@ def select_order(df: DataFrame, order: list[str]) -> DataFrame:
 
 def node_numbering(nodes: DataFrame) -> DataFrame:
     """node_id: four digits from 0000 in document order."""
-    return nodes.withColumn("node_id", F.lpad((F.row_number().over(ORDER) - 1).cast("string"), 4, "0"))
+    return nodes.withColumn("node_id", F.lpad((F.row_number().over(in_order()) - 1).cast("string"), 4, "0"))
 
 
 def parents(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
     """parent_id: the nearest earlier node of a lower level."""
     # for each level the position of its last node so far; the parent is the latest among the lower levels
-    lasts = [F.last(F.when(F.col("level") == k, F.col("pos")), True).over(BEFORE) for k in range(1, most_levels)]
+    lasts = [F.last(F.when(F.col("level") == k, F.col("pos")), True).over(before()) for k in range(1, most_levels)]
     pos = F.greatest(*[F.when(F.col("level") > k, c) for k, c in enumerate(lasts, 1)], F.lit(None))
     at = nodes.withColumn("_parent_pos", pos)
     ids = nodes.select("doc_id", F.col("pos").alias("_parent_pos"), F.col("node_id").alias("parent_id"))
@@ -70,7 +80,7 @@ def parents(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
 
 def subtree_ends(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
     """subtree_end: the last position of the node's branch."""
-    firsts = [F.first(F.when(F.col("level") == k, F.col("pos")), True).over(AFTER) for k in range(1, most_levels + 1)]
+    firsts = [F.first(F.when(F.col("level") == k, F.col("pos")), True).over(after()) for k in range(1, most_levels + 1)]
     stop = F.least(*[F.when(F.col("level") >= k, c) for k, c in enumerate(firsts, 1)], F.lit(None))
     last = F.max("pos").over(W.partitionBy("doc_id"))
     return nodes.withColumn("subtree_end", F.coalesce(stop - 1, last))
@@ -78,7 +88,7 @@ def subtree_ends(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
 
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
     """branch_tokens: tokens of the node and everything below it, by differences of a running sum."""
-    ends = subtree_ends(nodes).withColumn("_sum", F.sum("n_tokens").over(ORDER))
+    ends = subtree_ends(nodes).withColumn("_sum", F.sum("n_tokens").over(in_order()))
     sums = ends.select("doc_id", F.col("pos").alias("subtree_end"), F.col("_sum").alias("_at_end"))
     return ends.join(sums, ["doc_id", "subtree_end"]).withColumn("branch_tokens", F.col("_at_end") - F.col("_sum") + F.col("n_tokens")).drop("_sum", "_at_end")
 
@@ -87,9 +97,9 @@ def tree_thinning(nodes: DataFrame, least: int) -> DataFrame:
     """Nodes whose branch has fewer than least tokens take in the texts below them; those below are gone."""
     full = subtree_tokens(nodes).withColumn("small", F.col("branch_tokens") < least)
     # a node is gone if an earlier small node's branch reaches it
-    reach = F.max(F.when(F.col("small"), F.col("subtree_end"))).over(BEFORE)
+    reach = F.max(F.when(F.col("small"), F.col("subtree_end"))).over(before())
     kept = full.withColumn("_gone", F.coalesce(reach >= F.col("pos"), F.lit(False)))
-    owner = F.last(F.when(~F.col("_gone"), F.col("pos")), True).over(ORDER)
+    owner = F.last(F.when(~F.col("_gone"), F.col("pos")), True).over(in_order())
     owned = kept.withColumn("_owner", owner)
     texts = owned.groupBy("doc_id", F.col("_owner").alias("pos")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.struct("pos", F.trim("text").alias("text"))))), lambda x: x["text"]), "\n\n").alias("branch_text")
@@ -108,7 +118,7 @@ def tree_parents(toc: DataFrame) -> DataFrame:
 
 def assign_ranges(toc: DataFrame, n_pages: str = "n_pages") -> DataFrame:
     """page_start and page_end: to the next item's page, or the page before it if that item begins its page; the last item to the end."""
-    next_page, next_top = F.lead("physical_index").over(ORDER), F.lead("appear_start").over(ORDER)
+    next_page, next_top = F.lead("physical_index").over(in_order()), F.lead("appear_start").over(in_order())
     end = F.when(next_page.isNull(), F.col(n_pages)).when(next_top, F.greatest(next_page - 1, F.col("physical_index"))).otherwise(next_page)
     return toc.withColumn("page_start", F.col("physical_index")).withColumn("page_end", end)
 

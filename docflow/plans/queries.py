@@ -764,3 +764,200 @@ def telemetry_windows(spark, d):
     from docflow.streaming.telemetry import windowed_counts
 
     return windowed_counts(v.audit(spark, d).withColumnRenamed("agent", "event")).select(F.unix_timestamp("window_start").alias("window_start"), "event", "n")
+
+
+# ---- further projections, sets and composites ----------------------------------------------------------------------
+
+
+@query("drop_children", "SELECT doc_id, node_id, page_start FROM v_nodes")
+def drop_children(spark, d):
+    rows = v.nodes(spark, d).select("doc_id", "node_id", "page_start", F.array(F.struct("title", "level")).alias("nodes"))
+    return N.drop_children(rows)
+
+
+@query("remove_fields", "SELECT doc_id, node_id, level AS kid_level FROM v_nodes")
+def remove_fields(spark, d):
+    rows = v.nodes(spark, d).select("doc_id", "node_id", "text", F.array(F.struct("text", "level")).alias("kids"))
+    out = N.remove_fields(rows, "text")
+    return out.select("doc_id", "node_id", F.get("kids", F.lit(0))["level"].alias("kid_level"))
+
+
+@query("select_order", "SELECT node_id, doc_id, level FROM v_nodes")
+def select_order(spark, d):
+    return N.select_order(v.nodes(spark, d), ["node_id", "absent", "doc_id", "level"])
+
+
+def _answers(spark, d):
+    good = """concat('Here: ```json [{"title": "t', n, '", "short_description": "d", "confidence": 0.4}, {"title": null}] ```')"""
+    return v.nodes(spark, d).selectExpr("doc_id", "node_id", f"CASE n % 3 WHEN 0 THEN 'nope' WHEN 1 THEN '{{\"a\": 1}}' ELSE {good} END AS content")
+
+
+@query("valid_row_split", "SELECT doc_id, node_id, CASE WHEN n % 3 < 2 THEN 'EXTRACTION_ERROR' ELSE 'TASK_PARSE_ERROR' END AS action FROM v_nodes")
+def valid_row_split(spark, d):
+    return K.read_answers(_answers(spark, d))[1]
+
+
+@query("answers_to_tasks", "SELECT doc_id, node_id, 0 AS ord, 't' || n AS title, 0.4 AS confidence, 'LOW_CONFIDENCE' AS flags FROM v_nodes WHERE n % 3 = 2")
+def answers_to_tasks(spark, d):
+    return K.low_confidence(K.read_answers(_answers(spark, d))[0]).select("doc_id", "node_id", "ord", "title", "confidence", joined("flags"))
+
+
+@query("build_prompt", "SELECT doc_id, node_id, sha256(title || ' ' || page_start || '-' || page_end || ' ' || CASE n % 3 WHEN 0 THEN 'F' ELSE 'E' END || chr(10) || text) AS h FROM v_nodes")
+def build_prompt(spark, d):
+    rows = v.nodes(spark, d).withColumn("hierarchy", F.expr("element_at(array('flat', 'epic_task', 'odd'), cast(n % 3 + 1 AS int))"))
+    return rows.select("doc_id", "node_id", F.sha2(K.prompt("%s %d-%d %s\n%s", {"flat": "F", "epic_task": "E"}), 256).alias("h"))
+
+
+def stub_model(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: a task with the prompt's length."""
+    import json
+
+    return [json.dumps([{"title": f"Create {len(p)}", "short_description": "x", "confidence": 0.5}]) for p in prompts]
+
+
+@query("model_step", "SELECT doc_id, node_id, 'Create ' || length(text) AS title FROM v_nodes WHERE length(trim(text)) >= 50")
+def model_step(spark, d):
+    rows = K.long_enough(v.nodes(spark, d)).withColumn("prompt", F.col("text"))
+    return K.read_answers(K.model_step(rows, stub_model).drop("error"))[0].select("doc_id", "node_id", "title")
+
+
+@query("union_recovered", "SELECT id, status FROM v_tasks WHERE pos % 2 = 0 UNION ALL SELECT 'R' || id, 'CLOSED' FROM v_tasks WHERE pos % 5 = 0")
+def union_recovered(spark, d):
+    t = v.tasks(spark, d)
+    return V.union_recovered(t.where("pos % 2 = 0"), t.where("pos % 5 = 0").selectExpr("concat('R', id) AS id", "run_id", "'CLOSED' AS status")).select("id", "status")
+
+
+@query("unique_union_flags", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(flags, flags, ['INCOMPLETE']))), '|') AS flags FROM v_tasks")
+def unique_union_flags(spark, d):
+    return v.tasks(spark, d).select("id", F.array_join(F.array_sort(F.array_distinct(F.concat("flags", "flags", F.array(F.lit("INCOMPLETE"))))), "|").alias("flags"))
+
+
+@query("toc_extend", "SELECT DISTINCT doc_id, title, physical_index FROM v_toc")
+def toc_extend(spark, d):
+    items = v.toc(spark, d)
+    return items.where("pos % 3 < 2").unionByName(items.where("pos % 3 > 0")).dropDuplicates(["doc_id", "title", "physical_index"]).select("doc_id", "title", "physical_index")
+
+
+@query("verify_sample", "SELECT doc_id, least(5, count(*)) AS n FROM v_toc GROUP BY doc_id")
+def verify_sample(spark, d):
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "pos"), "pos"))
+    return v.toc(spark, d).withColumn("_n", rank).where("_n <= 5").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("sessions_newest_first", "SELECT run_id, max(ts)::VARCHAR AS created_at FROM v_audit GROUP BY run_id")
+def sessions_newest_first(spark, d):
+    return v.audit(spark, d).groupBy("run_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t")).select("run_id", F.regexp_replace(F.col("t").cast("string"), r"\.0+$", "").alias("created_at"))
+
+
+@query("log_stream_desc", "SELECT id FROM v_audit WHERE agent = 'click' ORDER BY ts DESC, id DESC LIMIT 100")
+def log_stream_desc(spark, d):
+    return v.audit(spark, d).where("agent = 'click'").orderBy(F.desc("ts"), F.desc("id")).limit(100).select("id")
+
+
+@query("json_lenient", "SELECT id, CASE id % 3 WHEN 0 THEN '{\"a\":null,\"b\":true}' WHEN 1 THEN '{\"k\":\"None, here\"}' ELSE '{}' END AS j FROM v_audit")
+def json_lenient(spark, d):
+    said = F.expr("""CASE id % 3 WHEN 0 THEN 'x {"a": None, "b": True} y' WHEN 1 THEN '```json\n{"k": "None, here"}\n```' ELSE 'no' END""")
+    return v.audit(spark, d).select("id", T.json_lenient(said).alias("j"))
+
+
+@query("page_to_int", "SELECT n, CASE WHEN n % 2 = 0 THEN n END AS page FROM v_docs")
+def page_to_int(spark, d):
+    return v.docs(spark, d).select("n", T.page_number(F.expr("IF(n % 2 = 0, concat(' ', n, ' '), concat('x', n))")).cast("long").alias("page"))
+
+
+@query("toc_has_page_numbers", "SELECT doc_id, page_no, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND regexp_matches(x, '\\S\\s*[:.\\s]\\s*\\d{1,9}\\s*$'))) > 0 AS has_numbers FROM v_pages")
+def toc_has_page_numbers(spark, d):
+    return v.pages(spark, d).select("doc_id", "page_no", T.has_page_numbers(F.col("text")).alias("has_numbers"))
+
+
+@query("toc_completeness", "SELECT doc_id, 1.0 AS completeness FROM v_book WHERE trim(text) <> '' GROUP BY doc_id")
+def toc_completeness(spark, d):
+    rows = v.book_pages(spark, d).withColumn("text", F.expr("concat('1.', page_no, ' Title ', n, ' ..... ', page_no)"))
+    return O.completeness(rows, O.toc_items(rows))
+
+
+@query("issue_description_short", "SELECT id, sha256('Description:' || chr(10) || short_description || chr(10) || chr(10) || 'Acceptance Criteria:' || chr(10) || coalesce(array_to_string(acceptance_criteria, chr(10)), '')) AS h FROM v_tasks")
+def issue_description_short(spark, d):
+    return v.tasks(spark, d).select("id", F.sha2(I.short_description(F.col("short_description"), F.col("acceptance_criteria")), 256).alias("h"))
+
+
+@query("issue_fields", "SELECT id, substr(short_description, 1, 255) AS summary, '[SOW] ' || substr(short_description, 1, 240) AS container FROM v_tasks")
+def issue_fields(spark, d):
+    return v.tasks(spark, d).select("id", I.summary(F.col("short_description")).alias("summary"), I.container_summary(F.col("short_description")).alias("container"))
+
+
+@query("issue_type_fallback", "SELECT run_id, CASE length(run_id) % 3 WHEN 0 THEN 'Story' WHEN 1 THEN 'Epic' ELSE 'Bug' END AS issue_type FROM v_tasks GROUP BY run_id")
+def issue_type_fallback(spark, d):
+    return _types(spark, d).select("run_id", I.issue_type(F.lit("Epic"), ["Story"], F.col("available")).alias("issue_type"))
+
+
+@query("issue_payload_sink", "SELECT run_id, 2 AS step, pos, json_extract_string('{\"s\": \"x\"}', '$.s') AS mark FROM v_tasks")
+def issue_payload_sink(spark, d):
+    rows = P.as_json(P.payloads(v.tasks(spark, d), _types(spark, d), "flat"), "PROJ")
+    return rows.select("run_id", "step", "pos", F.when(F.get_json_object("payload", "$.fields.project.key") == "PROJ", F.lit("x")).alias("mark"))
+
+
+@query("all_failed", "SELECT id AS task_id, false AS success, 'no project' AS error FROM v_tasks WHERE status = 'APPROVED'")
+def all_failed(spark, d):
+    return P.all_failed(V.approved(v.tasks(spark, d)), "no project").drop("jira_issue_key")
+
+
+@query("task_promote", "SELECT doc_id, node_id, ord::INT AS ord, 'OPEN' AS status, page_start FROM v_raw JOIN v_nodes USING (doc_id, node_id)")
+def task_promote(spark, d):
+    rows = L.promote(raws(spark, d), v.nodes(spark, d))
+    return rows.select("doc_id", "node_id", "ord", "status", F.get("source_refs", F.lit(0))["page_start"].alias("page_start"))
+
+
+@query("dedup", """WITH e AS (SELECT 'T' || lpad(vec_id::VARCHAR, 9, '0') AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS ia, b.id AS ib FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND list_dot_product(a.e, b.e) >= 0.35),
+  w AS (SELECT id, list_distinct(string_split_regex(lower(trim(title || ' ' || substr(short_description, 1, 200))), '\\s+')) AS w FROM v_tasks),
+  k AS (SELECT ia, ib, len(list_filter(x.w, lambda t: NOT list_contains(y.w, t))) = 0 AS ab, len(list_filter(y.w, lambda t: NOT list_contains(x.w, t))) = 0 AS ba FROM p JOIN w x ON x.id = ia JOIN w y ON y.id = ib)
+  SELECT id FROM v_tasks WHERE id NOT IN (SELECT CASE WHEN ab AND NOT ba THEN ia ELSE ib END FROM k)""")
+def dedup(spark, d):
+    vectors = v.table(spark, d, "embeddings").selectExpr("concat('r', label) AS run_id", "concat('T', lpad(cast(vec_id AS string), 9, '0')) AS id", "embedding AS v")
+    return D.dedup(v.tasks(spark, d), vectors, 0.35).select("id")
+
+
+@query("text_vector_dedup")
+def text_vector_dedup(spark, d):
+    t = v.tasks(spark, d)
+    return D.similar_pairs(D.text_vectors(t), 0.85)
+
+
+@query("repair_loop")
+def repair_loop(spark, d):
+    from docflow.sources.io import stored
+
+    items, pages = v.toc(spark, d), stored(v.book_pages(spark, d), "book")
+    for _ in range(3):
+        items = stored(O.bracketed_repair(items, pages), "repaired")
+    return items.select("doc_id", "pos", "physical_index", "found")
+
+
+@query("headings_from_pages", "SELECT doc_id, pos, '1.' || pos AS structure, 'Part ' || n AS title, pos AS physical_index FROM v_nodes")
+def headings_from_pages(spark, d):
+    rows = v.book_pages(spark, d).withColumn("text", F.expr("concat('1.', page_no, ' Part ', n, 'x\n', text)"))
+    return O.page_headings(rows).where("title like 'Part %'").select("doc_id", "pos", "structure", F.regexp_replace("title", "x$", "").alias("title"), "physical_index")
+
+
+@query("split_large_nodes", "SELECT doc_id, '0000' AS parent_id, '1.' || pos AS structure, 'Part ' || n || 'x' AS title, pos AS physical_index FROM v_nodes WHERE pos <= 40 AND doc_id IN (SELECT doc_id FROM v_nodes GROUP BY doc_id HAVING count(*) >= 40)")
+def split_large_nodes(spark, d):
+    pages = v.book_pages(spark, d).withColumn("text", F.expr("concat('1.', page_no, ' Part ', n, 'x')"))
+    whole = pages.groupBy("doc_id").agg(F.max("page_no").alias("m")).where("m >= 40").selectExpr("doc_id", "'0000' AS node_id", "'Whole' AS title", "1 AS page_start", "40 AS page_end")
+    return O.split_large(whole, pages, 10, 100)
+
+
+@query("run_eval")
+def run_eval(spark, d):
+    g = v.table(spark, d, "benchmark").selectExpr("concat('s', item_id % 5) AS section", "item_id AS golden_id", "text AS title")
+    sections = g.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("golden_id", "title"))), lambda x: x["title"]), ".\n").alias("text"))
+    found = K.extract_rules(sections.selectExpr("section AS doc_id", "section AS node_id", "1 AS pos", "text"), LEADS)
+    a = found.selectExpr("doc_id AS section", "ord AS actual_id", "short_description AS title")
+    return E.eval_scores(g, a, E.golden_match(g, a, 0.3))
+
+
+@query("latency_quantiles", "SELECT model, true AS ok FROM v_audit GROUP BY model")
+def latency_quantiles(spark, d):
+    rows = M.latency_quantiles(v.audit(spark, d).withColumnRenamed("value", "seconds"))
+    return rows.select("model", (F.get("q", F.lit(0)) <= F.get("q", F.lit(2))).alias("ok"))

@@ -6,23 +6,29 @@ STATUSES = ("OPEN", "CLOSED", "MERGED", "REJECTED", "APPROVED", "PUSHED")
 FLAGS = ("NO_ACCEPTANCE_CRITERIA", "AMBIGUOUS_SCOPE", "INCOMPLETE", "LOW_CONFIDENCE", "NO_MOCKUP", "POTENTIAL_DUPLICATE", "GAP_RECOVERED")
 HIERARCHIES = ("flat", "epic_task", "story_subtask")
 
-SOURCE_REF = T.StructType.fromDDL("node_id string, section_title string, page_start int, page_end int, snippet string")
-RAW_TASK = T.StructType.fromDDL(
-    "title string, short_description string, acceptance_criteria array<string>, use_case string, considerations_constraints array<string>, "
-    "deliverables array<string>, mockup_prototype string, confidence double, flags array<string>, continues_to_next boolean"
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+
+
+def _fields(text: str) -> list[T.StructField]:
+    """Fields of "name kind, name kind"; needs no running session."""
+    return [T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in text.split(","))]
+
+
+SOURCE_REF = T.StructType(_fields("node_id string, section_title string, page_start int, page_end int, snippet string"))
+RAW_TASK = T.StructType(
+    _fields(
+        "title string, short_description string, acceptance_criteria strings, use_case string, considerations_constraints strings, "
+        "deliverables strings, mockup_prototype string, confidence double, flags strings, continues_to_next boolean"
+    )
 )
 TASK = T.StructType(
     [
-        T.StructField("id", T.StringType()),
+        *_fields("id string"),
         *RAW_TASK.fields,
-        T.StructField("status", T.StringType()),
+        *_fields("status string"),
         T.StructField("source_refs", T.ArrayType(SOURCE_REF)),
-        T.StructField("merged_from", T.ArrayType(T.StringType())),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
+        *_fields("merged_from strings, created_at timestamp, updated_at timestamp"),
     ]
 )
-TELEMETRY = T.StructType.fromDDL("ts timestamp, event string, payload string")
-AUDIT = T.StructType.fromDDL(
-    "id bigint, run_id string, timestamp timestamp, agent string, node_id string, action string, task_id string, detail string, llm_tokens_used bigint, llm_model string"
-)
+TELEMETRY = T.StructType(_fields("ts timestamp, event string, payload string"))
+AUDIT = T.StructType(_fields("id bigint, run_id string, timestamp timestamp, agent string, node_id string, action string, task_id string, detail string, llm_tokens_used bigint, llm_model string"))
