@@ -21,6 +21,11 @@ def title_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
 
 
+def _items(values) -> list:
+    """A list of a column's array, which may be missing."""
+    return [] if values is None or isinstance(values, float) else list(values)
+
+
 class Lifecycle:
     """The open tasks of one document. step() takes a node's raw tasks and returns what closes there; end() closes the rest."""
 
@@ -39,16 +44,16 @@ class Lifecycle:
             if task is None:
                 fresh.append(
                     {
-                        "task_id": raw["id"], "title": raw["title"], "short_description": raw["short_description"], "acceptance_criteria": sorted(set(raw["acceptance_criteria"] or [])), "confidence": raw["confidence"],
-                        "flags": list(raw["flags"] or []), "continues": bool(raw["continues_to_next"]), "status": "OPEN", "opened_at": node_id, "closed_at": None, "node_ids": [node_id],
+                        "task_id": raw["id"], "title": raw["title"], "short_description": raw["short_description"], "acceptance_criteria": sorted(set(_items(raw["acceptance_criteria"]))), "confidence": raw["confidence"],
+                        "flags": _items(raw["flags"]), "continues": bool(raw["continues_to_next"]), "status": "OPEN", "opened_at": node_id, "closed_at": None, "node_ids": [node_id],
                     }
                 )
                 continue
             touched.add(task["task_id"])
             task["short_description"] = f"{task['short_description']} {raw['short_description']}"
-            task["acceptance_criteria"] = sorted({*task["acceptance_criteria"], *(raw["acceptance_criteria"] or [])})
+            task["acceptance_criteria"] = sorted({*task["acceptance_criteria"], *_items(raw["acceptance_criteria"])})
             task["confidence"] = max(task["confidence"], raw["confidence"])
-            task["flags"] += [f for f in raw["flags"] or [] if f not in task["flags"]]
+            task["flags"] += [f for f in _items(raw["flags"]) if f not in task["flags"]]
             task["continues"] = bool(raw["continues_to_next"])
             task["node_ids"].append(node_id)
         closed, still = [], []

@@ -51,9 +51,9 @@ def verify(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def starts_page(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """items with appear_start: whether the title comes first on its page."""
+    """items with appear_start: whether the title, with or without its number, comes first on its page."""
     own = pages.select("doc_id", F.col("page_no").alias("physical_index"), F.col("text").alias("_text"))
-    return items.join(own, ["doc_id", "physical_index"], "left").withColumn("appear_start", T.starts_with_title(F.col("_text"), F.col("title"))).drop("_text")
+    return items.join(own, ["doc_id", "physical_index"], "left").withColumn("appear_start", T.starts_with_title(F.col("_text"), F.col("title")) | T.starts_with_title(F.col("_text"), F.concat("structure", "title"))).drop("_text")
 
 
 def accuracy(checked: DataFrame, n_pages: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def toc_with_pages(spark, d):
     return O.apply_offset(v.toc(spark, d)).select("doc_id", "pos", "physical_index")
 
 
-@query("starts_page", "SELECT a.doc_id, a.pos, coalesce(starts_with(lower(regexp_replace(b.text, '\\s+', '', 'g')), lower(regexp_replace(a.title, '\\s+', '', 'g'))) AND regexp_replace(a.title, '\\s+', '', 'g') <> '', false) AS appear_start FROM v_toc a LEFT JOIN v_book b ON a.doc_id = b.doc_id AND a.pos = b.page_no")
+@query("starts_page", "SELECT a.doc_id, a.pos, coalesce((starts_with(lower(regexp_replace(b.text, '\\s+', '', 'g')), lower(regexp_replace(a.title, '\\s+', '', 'g'))) AND regexp_replace(a.title, '\\s+', '', 'g') <> '') OR starts_with(lower(regexp_replace(b.text, '\\s+', '', 'g')), lower(regexp_replace(a.structure || a.title, '\\s+', '', 'g'))), false) AS appear_start FROM v_toc a LEFT JOIN v_book b ON a.doc_id = b.doc_id AND a.pos = b.page_no")
 def starts_page(spark, d):
     return O.starts_page(v.toc(spark, d).drop("appear_start").withColumn("physical_index", F.col("pos")), v.book_pages(spark, d)).select("doc_id", "pos", "appear_start")
 

@@ -36,28 +36,39 @@ def append_stream(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
-STATE = "open string"
+STATE = "state string"
+
+
+def _plain(record: dict) -> dict:
+    """A row as JSON can hold it."""
+    out = {k: (list(x) if hasattr(x, "tolist") and getattr(x, "ndim", 0) else x) for k, x in record.items()}
+    return {k: None if isinstance(x, float) and x != x else (x.item() if hasattr(x, "item") else x) for k, x in out.items()}
 
 
 def lifecycle_stream(raws: DataFrame) -> DataFrame:
     """Closed tasks as a document's sections come in. raws: (doc_id, node_id, pos, ord, id, title, ...), a row with node_id END closes the document.
 
-    The state of a document is its open tasks; sections of one batch are taken in order of pos.
+    The state of a document is its open tasks and the rows of the section that came last: a section counts as complete
+    when a later one begins, so its rows may come in several batches. Sections must come in order of pos.
     """
     import json
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        life = Lifecycle(json.loads(state.get[0]) if state.exists else [])
-        rows = pd.concat(list(frames)).sort_values(["pos", "ord"])
+        old = json.loads(state.get[0]) if state.exists else {"open": [], "held": []}
+        life = Lifecycle(old["open"])
+        rows = old["held"] + [_plain(r) for r in pd.concat(list(frames)).to_dict("records")]
+        rows.sort(key=lambda r: (r["pos"], r["ord"]))
+        held = [r for r in rows if r["pos"] == rows[-1]["pos"]]
         out = []
-        for (_, node_id), part in rows.groupby(["pos", "node_id"], sort=True):
-            if node_id == END:
+        for pos in sorted({r["pos"] for r in rows}):
+            part = [r for r in rows if r["pos"] == pos]
+            if part[0]["node_id"] == END:
                 out += life.end()
-                continue
-            raws = [r | {c: list(r[c]) if r[c] is not None else [] for c in ("acceptance_criteria", "flags")} for r in part.to_dict("records") if isinstance(r["id"], str)]
-            out += life.step(node_id, raws)
-        if life.open:
-            state.update((json.dumps(life.open),))
+                held = []
+            elif part != held:
+                out += life.step(part[0]["node_id"], [r for r in part if r["id"]])
+        if life.open or held:
+            state.update((json.dumps({"open": life.open, "held": held}),))
         elif state.exists:
             state.remove()
         frame = pd.DataFrame(out, columns=["task_id", "title", "short_description", "acceptance_criteria", "confidence", "flags", "status", "opened_at", "closed_at", "node_ids"])
