@@ -28,7 +28,7 @@ from .common import table
 SPACE = "[\\x20\\x09-\\x0D]"
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 200
 MIN_WORDS = 50
 
 
@@ -111,7 +111,8 @@ def rules() -> dict[str, Column]:
 
 def cascade(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules by rejections per cost on a bounded sample, best first; ties by name."""
-    sample = measured(docs.limit(sample_rows).select(text_col), text_col).select("q", "t").persist()
+    first = docs.select(F.col(text_col).alias("text")).head(sample_rows)
+    sample = measured(docs.sparkSession.createDataFrame([(r[0],) for r in first], "text string")).select("q", "t").persist()
     try:
         n = max(1, sample.count())
         worth = {}
