@@ -75,18 +75,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")),
     )["n"]
-    return q.withColumn("_l", _lines()).select(
-        *docs.columns,
-        F.struct(
-            F.col("_n").alias("n_words"),
-            F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
-            _count("t", SYMBOLS).alias("n_symbols"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            F.when(s.isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
-            F.size("_l").cast("long").alias("n_lines"),
-        ).alias("q"),
-        "t",
+    counts = F.struct(
+        F.col("_n").alias("n_words"),
+        F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
+        _count("t", SYMBOLS).alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.when(s.isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
+        F.size("_l").cast("long").alias("n_lines"),
     )
+    # A filter on the counts would be pushed below them and repeat them inside itself; it can't pass an explode.
+    return q.withColumn("_l", _lines()).select(*docs.columns, F.explode(F.array(counts)).alias("q"), "t")
 
 
 def base_failed() -> Column:
@@ -145,8 +143,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE
     """The rows of docs that no rule rejects, with their columns."""
     order = cascade(docs, text_col, sample_rows)
     inner = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    # a filter would be pushed below the counts and repeat them inside itself; exploding no or one row is not
-    return measured(inner).select(F.explode(F.when(kept(order), F.array("_row"))).alias("_row")).select("_row.*")
+    return measured(inner).where(kept(order)).select("_row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
