@@ -83,26 +83,33 @@ class Bpe:
         return {t for b, t in self.ranks.items() if self.merges(b) == [t]}
 
     @functools.cached_property
-    def tails(self) -> dict[bytes, int]:
-        """Every ending of a token: the token that it is, or -1."""
-        found = {b[i:]: -1 for b in self.ranks for i in range(1, len(b))}
-        return found | {b: t if t in self.whole else -1 for b, t in self.ranks.items()}
+    def endings(self):
+        """An automaton that finds every token in a run of bytes (as Latin-1 text), with its length."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for b, t in self.ranks.items():
+            if t in self.whole:
+                found.add_word(b.decode("latin-1"), (len(b), t))
+        found.make_automaton()
+        return found
 
     def extend(self, data: bytes, last: list[int], offset: int = 0) -> None:
         """Adds the last tokens of the prefixes that follow; last[i] is that of the prefix of i + 1 bytes, and data starts at byte offset."""
-        tail, fits = self.tails.get, self.fits
-        for end in range(len(last) + 1 - offset, len(data) + 1):
-            ending, start = [], end - 1
-            while start >= 0 and (token := tail(data[start:end])) is not None:
-                if token >= 0:
-                    ending.append((start, token))
-                start -= 1
-            for start, token in reversed(ending):
-                if not start + offset or fits(last[start + offset - 1], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte is not in the vocabulary")
+        known, pairs, fits = len(last), self._pairs.get, self.fits
+        last += [-1] * (offset + len(data) - known)
+        for end, (size, token) in self.endings.iter(data.decode("latin-1")):
+            end += offset
+            if end >= known and last[end] < 0:
+                if end < size:
+                    last[end] = token
+                    continue
+                left = last[end - size]
+                good = pairs(left << 32 | token)
+                if fits(left, token) if good is None else good:
+                    last[end] = token
+        if -1 in last[known:]:
+            raise ValueError("a byte is not in the vocabulary")
 
     def walk(self, last: list[int]) -> list[int]:
         out, at = [], len(last)
@@ -112,7 +119,7 @@ class Bpe:
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if (token := self.tails.get(piece, -1)) >= 0:
+        if (token := self.ranks.get(piece)) is not None and token in self.whole:
             return [token]
         last: list[int] = []
         self.extend(piece, last)
