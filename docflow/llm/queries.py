@@ -9,9 +9,11 @@ from .decontaminate import op4_decontamination
 from .html_text import op7_html_text
 from .pii import op10_pii
 from .quality import op9_quality_rules
-from .warc import op2_warc
 from .simhash import op3_simhash
+from .spans import op8_sentence_spans
+from .unigram import op5_token_counts
+from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op6_byte_bpe, op7_html_text, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op5_token_counts, op6_byte_bpe, op7_html_text, op8_sentence_spans, op9_quality_rules, op10_pii)}
 
 ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op2_warc": warc.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE}
