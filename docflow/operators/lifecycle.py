@@ -102,6 +102,24 @@ def lifecycle_simple(raws: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.withColumn("flags", flags).withColumn("status", F.lit("CLOSED"))
 
 
+def best_title_match(raws: DataFrame, open_tasks: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
+    """(doc_id, raw_id, task_id, ratio): for each raw task the open task of its document with the best title ratio, the earlier of equals. open_tasks: (doc_id, task_id, pos, title).
+
+    Titles whose lengths alone rule the ratio out never reach Python.
+    """
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([title_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    own = raws.select("doc_id", F.col("id").alias("raw_id"), F.col("title").alias("_a"))
+    met = own.join(open_tasks.select("doc_id", "task_id", "pos", F.col("title").alias("_b")), "doc_id")
+    n, m = F.length("_a"), F.length("_b")
+    met = met.where(2.0 * F.least(n, m) >= least * (n + m))
+    rated = met.withColumn("ratio", F.pandas_udf(ratios, "double")("_a", "_b")).where(F.col("ratio") >= least)
+    first = F.row_number().over(W.partitionBy("doc_id", "raw_id").orderBy(F.desc("ratio"), "pos"))
+    return rated.withColumn("_n", first).where("_n = 1").select("doc_id", "raw_id", "task_id", "ratio")
+
+
 def promote(raws: DataFrame, nodes: DataFrame) -> DataFrame:
     """Raw tasks as managed ones: OPEN, with one reference to the section."""
     ref = F.array(F.struct(F.col("node_id"), F.col("section_title"), F.col("page_start"), F.col("page_end"), F.lit("").alias("snippet")))

@@ -961,3 +961,24 @@ def run_eval(spark, d):
 def latency_quantiles(spark, d):
     rows = M.latency_quantiles(v.audit(spark, d).withColumnRenamed("value", "seconds"))
     return rows.select("model", (F.get("q", F.lit(0)) <= F.get("q", F.lit(2))).alias("ok"))
+
+
+@query("title_best_match")
+def title_best_match(spark, d):
+    nodes = v.nodes(spark, d)
+    old = nodes.where("pos % 2 = 0").selectExpr("doc_id", "node_id AS task_id", "pos", "title")
+    return L.best_title_match(nodes.where("pos % 2 = 1").selectExpr("doc_id", "node_id AS id", "title"), old, 0.6)
+
+
+@query("fill_missing_pages", f"""WITH w AS (SELECT *, coalesce(last_value(physical_index IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+  coalesce(first_value(physical_index IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages) AS x FROM v_toc),
+  f AS (SELECT a.doc_id, a.pos, min(b.page_no) AS pg FROM w a JOIN v_book b ON a.doc_id = b.doc_id AND b.page_no BETWEEN p AND x AND {_IN} WHERE a.physical_index IS NULL GROUP BY ALL)
+  SELECT doc_id, pos, coalesce(physical_index, pg) AS physical_index FROM w LEFT JOIN f USING (doc_id, pos)""")
+def fill_missing_pages(spark, d):
+    items = v.toc(spark, d).withColumn("found", F.col("physical_index").isNotNull())
+    return O.bracketed_repair(items, v.book_pages(spark, d)).select("doc_id", "pos", "physical_index")
+
+
+@query("thinned_markdown_tree")
+def thinned_markdown_tree(spark, d):
+    return S.markdown_tree(_markdown(spark, d), 400).select("doc_id", "node_id", "parent_id", "level", "n_tokens")
