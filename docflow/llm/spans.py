@@ -27,7 +27,8 @@ from .common import table, write_read
 SENTENCES = 3
 LEAST_WORDS = 12
 MOST_WORDS = 10
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)\s*|\n\s*|\Z)|[^\n]+\Z", re.S)
+# tried at the start of a run of marks only, so a long run stays linear
+_SENTENCE = re.compile(r"[^\n]*?(?:(?<![.!?])[.!?]++(?=\s)\s*|\n\s*|\Z)|[^\n]+\Z", re.S)
 _WORDS = re.compile(rf"(?:\S+\s*){{1,{MOST_WORDS}}}")
 
 
