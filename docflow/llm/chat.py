@@ -205,7 +205,7 @@ def with_probe(turns: DataFrame) -> DataFrame:
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
-    return read_back(encoded_turns(with_probe(table(spark, sf_dir, "conversations"))))
+    return read_back(encoded_turns(with_probe(table(spark, sf_dir, "conversations")))).drop("n_tokens", "n_loss_tokens")
 
 
 ORACLE = """
