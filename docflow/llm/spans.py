@@ -1,11 +1,15 @@
 """Removal of passages that repeat across documents, by sliding spans of sentences.
 
-A sentence ends behind ., ! or ? and white space, or at a line's end; a longer one than MOST_WORDS words is cut there,
-counted from its start. A span begins at each sentence and takes in sentences until it has SENTENCES of them and
-LEAST_WORDS words. Spans are compared by two 64-bit hashes of their words (ASCII letters in lower case). Of equal spans
+A sentence ends behind ., ! or ? and white space, or at a line's end. A longer one than MOST_WORDS words is cut at places
+that its words set, and not by counting from its start: of each MOST_WORDS words in a row inside it, behind the one with
+the smallest hash (the last of equals). So every piece has at most MOST_WORDS words, and equal passages are cut alike
+from their MOST_WORDS-th word to the MOST_WORDS-th from their end, whatever stands around them. A span begins at each
+piece and takes in pieces until it has SENTENCES of them and LEAST_WORDS words; with the worst places of cuts a passage
+of 6 * MOST_WORDS - 2 = 46 words has a whole span. Spans are compared by 96 bits of a hash of their words (ASCII letters in lower case). Of equal spans
 the one with the smallest doc_id and place is the first; every sentence inside any other is removed.
 
-How the work is dealt: spans are made where documents are read, as rows (hash, doc_id, place). A first pass counts them
+How the work is dealt: spans are made where documents are read, as rows (hash, doc_id, start); where a span ends is
+found again from its start, with the text. A first pass counts them
 by hash with sums map-side, so that a very common passage is one row a task; only repeated ones are joined back, and a
 document's removals are gathered before they meet its text.
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +31,20 @@ from .common import table, write_read
 
 SENTENCES = 3
 LEAST_WORDS = 12
-MOST_WORDS = 10
+MOST_WORDS = 8  # a power of two
 # tried at the start of a run of marks only, so a long run stays linear
 _SENTENCE = re.compile(r"[^\n]*?(?:(?<![.!?])[.!?]++(?=\s)\s*|\n\s*|\Z)|[^\n]+\Z", re.S)
-_WORDS = re.compile(rf"(?:\S+\s*){{1,{MOST_WORDS}}}")
+_WORD = re.compile(r"\S+\s*")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where a long sentence is cut: the words that begin a piece, behind the first."""
+    keys = [(crc32(w.encode("utf-8", "surrogatepass").lower()) << 32) - i for i, w in enumerate(words)]
+    step = 1
+    while step < MOST_WORDS:
+        keys = list(map(min, keys, keys[step:]))
+        step *= 2
+    return sorted({(-k & 0xFFFFFFFF) + 1 for k in keys} - {len(words)})
 
 
 def sentences(text: str) -> list[str]:
@@ -39,13 +54,17 @@ def sentences(text: str) -> list[str]:
         part = m[0]
         if not part:
             continue
-        if len(part.split()) <= MOST_WORDS:
+        words = part.split()
+        if len(words) <= MOST_WORDS:
             out.append(part)
         else:
             lead = len(part) - len(part.lstrip())
-            pieces = [x[0] for x in _WORDS.finditer(part, lead)]
-            pieces[0] = part[:lead] + pieces[0]
-            out += pieces
+            whole = _WORD.findall(part, lead)
+            whole[0] = part[:lead] + whole[0]
+            at = 0
+            for cut in [*_cuts(words), len(words)]:
+                out.append("".join(whole[at:cut]))
+                at = cut
     return out
 
 
@@ -64,33 +83,33 @@ def spans(parts: list[str]) -> Iterator[tuple[int, int, bytes]]:
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(h, g, doc_id, start, stop) of docs (doc_id long, text)."""
+    """(h, g, doc_id, start) of docs (doc_id long, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
+        from xxhash import xxh3_128_intdigest as digest
 
-        names = ["h", "g", "doc_id", "start", "stop"]
+        names = ["h", "g", "doc_id", "start"]
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 rows = [
-                    (digest(w, 1) - (1 << 63), digest(w, 2) - (1 << 63), d, a, b)
+                    ((x := digest(w)) % (1 << 64) - (1 << 63), (x >> 96) - (1 << 31), d, a)
                     for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for a, b, w in spans(sentences(t or ""))
+                    for a, _, w in spans(sentences(t or ""))
                 ]
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, g long, doc_id long, start int, stop int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, g int, doc_id long, start int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, cuts): the spans of sentences to remove, for documents that have any."""
+    """(doc_id, cuts): where spans to remove start, for documents that have any."""
     rows = write_read(span_rows(docs.where("doc_id is not null")), "spans")
     first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     later = rows.join(first.hint("merge"), ["h", "g"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
+    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("cuts"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +125,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n, gone, texts = [], [], []
                 for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     parts = sentences(text or "")
-                    out = {i for c in cut or () for i in range(c["start"], c["stop"])}
+                    first = set(cut or ())
+                    out = {i for a, b, _ in spans(parts) if a in first for i in range(a, b)} if first else set()
                     n.append(len(parts))
                     gone.append(len(out))
                     texts.append("".join(p for i, p in enumerate(parts) if i not in out) if out else text)

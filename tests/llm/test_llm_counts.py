@@ -63,3 +63,18 @@ def test_spans(spark):
         assert g.text == ("".join(p for i, p in enumerate(parts) if i not in gone) if gone else t)
     assert sum(passage in (g.text or "") for g in got if g.doc_id is not None) == 1
     assert spans.without_repeats(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_passages_in_long_sentences(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(51))
+    docs = [(k, " ".join(f"x{rng.random()}" for _ in range(k)) + f" {passage} " + " ".join(f"y{rng.random()}" for _ in range(9)), "") for k in range(1, 11)]
+    got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(docs, ROWS)).collect()}
+    for k in range(2, 11):
+        assert sum(w.startswith("p") for w in got[k].text.split()) <= 28 and got[k].n_removed >= 3
+    assert got[1].n_removed == 0
+    for words in (["a"] * 51, passage.split(), [f"v{rng.randrange(9)}" for _ in range(51)]):  # also with few different words
+        for k in range(1, 11):
+            own = [{w for _, _, w in spans.spans(spans.sentences(" ".join(["q"] * n + words + ["r"] * n)))} for n in (k, 0)]
+            assert any(b"q" not in w and b"r" not in w for w in own[0] & own[1])
+    assert max(len(p.split()) for p in spans.sentences(" ".join(f"w{rng.random()}" for _ in range(5000)))) <= spans.MOST_WORDS
