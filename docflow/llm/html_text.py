@@ -49,23 +49,30 @@ BLOCKS = frozenset(
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = "script|style|template|noscript|textarea|title|svg|math|iframe|object|select|button|canvas|audio|video"
+#: Elements whose content the parser takes as it stands, up to their end tag.
+RAW = "script|style|noscript|textarea|title|iframe"
+#: Other elements whose content is no text of the page; they nest, and may be self-closed.
+SKIPPED = frozenset("template svg math object select button canvas audio video".split())
+FOREIGN = ("svg", "math")
 NOISE_TAGS = frozenset("nav footer aside form menu dialog head".split())
-NOISE_WORDS = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|"
-    r"cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommended|comment|comments|disqus|replies|respond|form|toolbar|pager|pagination|widget)(?:$|[-_\s])",
-    re.I,
+#: A class or id is a mark of noise if it is such a word, or is made of such words and plain words only.
+NOISE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices "
+    "alert popup modal newsletter subscribe signup login share social related recommended comment comments disqus replies respond form toolbar pager pagination widget".split()
+)
+PLAIN_WORDS = frozenset(
+    "site page main top bottom left right upper lower primary secondary global local header head inner outer box bar list item items block section area container wrapper wrap slot unit group row col column "
+    "button buttons link links icon icons post posts article articles thread title text message side global mobile desktop".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?-->|.*\Z)"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW.split("|")}
 ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Start tags that end an open element of the named kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -73,10 +80,19 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Element:
-    __slots__ = ("kids", "main", "noise", "path", "tag")
+    __slots__ = ("kids", "main", "noise", "path", "skipped", "tag")
+
+    def __init__(self, tag: str, path: str, main: bool, noise: bool, skipped: bool = False):
+        self.tag, self.path, self.main, self.noise, self.skipped, self.kids = tag, path, main, noise, skipped, []
+
 
-    def __init__(self, tag: str, path: str, main: bool, noise: bool):
-        self.tag, self.path, self.main, self.noise, self.kids = tag, path, main, noise, []
+def marked(label: str) -> bool:
+    """Whether a class or id says that an element is no main text."""
+    for name in label.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+        if any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
 
 
 def blocks(page: str, styles: list[tuple[str, str]] | None = None) -> list[tuple[str, str, bool, bool]]:
@@ -89,32 +105,56 @@ def blocks(page: str, styles: list[tuple[str, str]] | None = None) -> list[tuple
             text = " ".join(entities.unescape("".join(words)).split())
             words.clear()
             if text:
-                top = stack[-1]
+                top = next(e for e in reversed(stack) if not e.skipped)
                 found.append((top.path, text, top.main, top.noise))
 
     def close(n: int) -> None:
         for e in stack[n:]:
-            if styles is not None:
+            if styles is not None and not e.skipped:
                 styles.append((e.path, " ".join(e.kids)))
         del stack[n:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    while m := TOKEN.search(page, at):
+        if m.start() > at and not stack[-1].skipped:
             words.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
-        if tag == "br":
-            words.append(" ")
-        elif m["raw"] or tag not in BLOCKS:
+        ends = bool(m["end"] or m["end2"])
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in RAW_END and not ends:
+            if not (attrs.endswith("/") and any(e.tag in FOREIGN for e in stack)):
+                shut = RAW_END[tag].search(page, at)
+                at = shut.end() if shut else len(page)
+        elif tag == "br":
+            if not stack[-1].skipped:
+                words.append(" ")
+        elif tag not in BLOCKS and tag not in SKIPPED and tag != "foreignobject":
             continue
+        elif ends:
+            for n in range(len(stack) - 1, 0, -1):
+                if stack[n].tag == tag:
+                    if not stack[n].skipped:
+                        flush()
+                    close(n)
+                    break
+                if stack[n].tag in ("template", "object") or (tag == "p" and stack[n].tag in SKIPPED):
+                    break
+            else:
+                if not stack[-1].skipped:
+                    flush()
+        elif tag in SKIPPED or tag == "foreignobject":
+            above = stack[-1]
+            if not attrs.endswith("/") and (tag != "foreignobject" or above.skipped):
+                stack.append(Element(tag, above.path, above.main, above.noise, True))
         else:
-            flush()
-            if m["end"] or m["end2"]:
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n].tag == tag:
-                        close(n)
-                        break
+            while stack[-1].tag in FOREIGN:  # a block ends a foreign element that was left open
+                close(len(stack) - 1)
+            above = stack[-1]
+            if above.skipped:
+                if tag not in VOID:
+                    stack.append(Element(tag, above.path, above.main, above.noise, True))
                 continue
+            flush()
             if stack[-1].tag == "p":
                 close(len(stack) - 1)
             for n in range(len(stack) - 1, 0, -1):
@@ -129,18 +169,19 @@ def blocks(page: str, styles: list[tuple[str, str]] | None = None) -> list[tuple
             above.kids.append(tag)
             if tag in VOID:
                 continue
-            named = {k.lower(): (a or b or c) for k, a, b, c in ATTR.findall(m["attrs"] or m["attrs2"] or "")}
+            named = {k.lower(): (a or b or c) for k, a, b, c in ATTR.findall(attrs)}
             label = f"{named.get('class', '')} {named.get('id', '')}".strip()
             main = above.main or tag in ("article", "main") or named.get("role", "").lower() in ("article", "main")
             noise = (
                 above.noise
                 or tag in NOISE_TAGS
                 or (tag == "header" and not above.main)
-                or (bool(label) and tag not in ("html", "body", "article", "main") and bool(NOISE_WORDS.search(label)))
+                or (bool(label) and tag not in ("html", "body", "article", "main") and marked(label))
                 or named.get("role", "").lower() in NOISE_ROLES
             )
             stack.append(Element(tag, f"{above.path}>{tag}" + (f".{label}" if label else ""), main, noise))
-    words.append(page[at:])
+    if not stack[-1].skipped:
+        words.append(page[at:])
     flush()
     close(1)
     return found
@@ -153,7 +194,7 @@ def _hash(text: str) -> int:
 def main_text(page: str, bad_paths: set[str] = frozenset(), bad_texts: set[int] = frozenset()) -> str:
     """The main text of one page, given what its host's tree removes: branches by path, texts by the hash of path and text."""
     found = blocks(page)
-    inside = any(b[2] for b in found)
+    inside = any(b[2] and not b[3] for b in found)
     kept = []
     for path, text, main, noise in found:
         if noise or (inside and not main):

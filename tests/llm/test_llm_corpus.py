@@ -239,3 +239,18 @@ def test_pipeline(spark):
         if not (hit and 20 * len(hit) >= len(w)):
             want.add(i)
     assert got == want
+
+
+def test_html_whole_main_texts():
+    t = html_text.main_text
+    assert t("<div class='text'><p>Main</p></div><section class='comments'><article><p>me too</p></article></section>") == "Main"
+    for name in ("has-sidebar", "no-sidebar", "long-form", "with-comments", "related-work", "article-without-ads"):
+        assert t(f"<body><div class='{name}'><article><p>Main</p></article></div></body>") == "Main", name
+    for name in ("sidebar", "ad-slot-2", "site_footer", "cookie-banner", "x main-nav"):
+        assert t(f"<div class='{name}'><p>noise</p></div><p>Main</p>") == "Main", name
+    for tag in html_text.SKIPPED:
+        assert t(f"<p>a <{tag} class='x'/>b</p><p>c</p>") == "a b\nc", tag
+        assert t(f"<p>a <{tag}>no <i>text</i></{tag}>b</p><p>c</p>") == "a b\nc", tag
+    for tag in ("svg", "button", "video", "select"):
+        assert t(f"<div><div>a<{tag}>open</div><p>c</p></div>") == "a\nc", tag
+    assert t("<p>a<svg><svg>x</svg><title/>y</svg>b<template><template>x</template><div>y</div></template>c</p><svg><path d='1'><p>d</p>") == "abc\nd"
