@@ -7,12 +7,13 @@ its contents. With m pages of a host at a node,
   content importance of a text = 1 - log_m n, where n pages hold it (the entropy of its spread over pages),
   node importance = (1 - g^k) * presentation + g^k * content, k presentations, g = DAMPING, content the mean over the
   texts in its branch.
-Branches and texts whose importance is at most LEAST_IMPORTANCE are removed on hosts with at least LEAST_PAGES pages.
+Branches and texts whose importance is at most LEAST_IMPORTANCE are removed, on hosts of every size. Pages with equal text
+(without what is marked) are copies and count once in m and n; all importances are 1 at m = 1.
 
 What an element says about itself comes first: nav, footer, aside, form, script, style and the like, and class or id
-words such as ad, sidebar, cookie or comment, are removed in any case. If a page has an article (or main) element, its
-main text lies there, and a text inside it is removed only by such a mark, never because other pages repeat it: copies
-of an article on one site stay articles. Everywhere else the tree decides.
+words such as ad, sidebar, cookie or comment, are removed in any case. If a page has an article (or main) element that
+isn't so marked, its main text lies there. The tree decides inside it as everywhere. Only where it would take the larger
+part of a page's article, that article is a near copy of others on its host, and stays whole.
 
 How the work is dealt: pages are parsed where they are read. Only (host, path, hash) rows are shuffled, summed map-side,
 so a host with a third of all pages is a third of the summands and not of a task. A host's removals are few (each is
@@ -40,7 +41,6 @@ from .common import table, write_read, written_bytes
 
 DAMPING = 0.9
 LEAST_IMPORTANCE = 0.1
-LEAST_PAGES = 20
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
@@ -194,48 +194,52 @@ def _hash(text: str) -> int:
 def main_text(page: str, bad_paths: set[str] = frozenset(), bad_texts: set[int] = frozenset()) -> str:
     """The main text of one page, given what its host's tree removes: branches by path, texts by the hash of path and text."""
     found = blocks(page)
+
+    def common(path: str, text: str) -> bool:
+        return any(path == p or path.startswith(p + ">") for p in bad_paths) or (bool(bad_texts) and _hash(f"{path}\n{text}") in bad_texts)
+
     inside = any(b[2] and not b[3] for b in found)
-    kept = []
-    for path, text, main, noise in found:
-        if noise or (inside and not main):
-            continue
-        if not main and (any(path == p or path.startswith(p + ">") for p in bad_paths) or (bad_texts and _hash(f"{path}\n{text}") in bad_texts)):
-            continue
-        kept.append(text)
+    own = [(path, text) for path, text, main, noise in found if not noise and (main or not inside)]
+    kept = [text for path, text in own if not common(path, text)]
+    if inside and 2 * sum(map(len, kept)) < sum(len(text) for _, text in own):
+        kept = [text for _, text in own]
     return "\n".join(kept)
 
 
 def _features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature): a row for each presentation (P) and text (C) of each page, as a hash."""
+    """(host, path, kind, feature, page): a row for each presentation (P) and text (C) of each page and one for the page (M), as hashes; page is that of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows: list[tuple[str, str, str, int]] = []
+                rows: list[tuple[str, str, str, int, int]] = []
                 for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     styles: list[tuple[str, str]] = []
-                    texts = {(p, "C", _hash(f"{p}\n{t}")) for p, t, _, _ in blocks(page or "", styles)}
-                    rows += [(host, *x) for x in texts | {(p, "P", _hash(s)) for p, s in styles}]
+                    found = blocks(page or "", styles)
+                    whole_text = _hash("\n".join(t for _, t, _, noise in found if not noise))
+                    texts = {(p, "C", _hash(f"{p}\n{t}")) for p, t, _, _ in found}
+                    rows += [(host, *x, whole_text) for x in texts | {(p, "P", _hash(s)) for p, s in styles} | {("", "M", 0)}]
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "kind", "feature"])
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "kind", "feature", "page"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, feature long")
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, feature long, page long")
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The merged trees of all hosts: nodes (host, path, m, importance) and contents (host, path, text, n, m, importance), text a hash. pages: (host, html)."""
     counted = write_read(
-        _features(pages).groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "features"
+        _features(pages).distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "features"
     )
-    hosts = pages.groupBy("host").agg(F.count("*").alias("m"))
-    seen = counted.join(hosts.hint("merge"), "host").where(F.col("m") >= LEAST_PAGES)
+    hosts = counted.where("kind = 'M'").select("host", F.col("n").alias("m"))
+    seen = counted.where("kind <> 'M'").join(hosts.hint("merge"), "host")
     log_m = F.log(F.col("m").cast("double"))
-    contents = seen.where("kind = 'C'").select("host", "path", F.col("feature").alias("text"), "n", "m", (1 - F.log(F.col("n").cast("double")) / log_m).alias("importance"))
+    alone = F.col("m") == 1
+    contents = seen.where("kind = 'C'").select("host", "path", F.col("feature").alias("text"), "n", "m", F.when(alone, 1.0).otherwise(1 - F.log(F.col("n").cast("double")) / log_m).alias("importance"))
     total = F.sum("n").over(W.partitionBy("host", "path"))
     share = F.col("n") / total
-    shown = seen.where("kind = 'P'").select("host", "path", "m", (-share * F.log(share) / log_m).alias("h")).groupBy("host", "path").agg(F.max("m").alias("m"), F.sum("h").alias("shown"), F.count("*").alias("k"))
+    shown = seen.where("kind = 'P'").select("host", "path", "m", F.when(alone, 1 / F.count("*").over(W.partitionBy("host", "path"))).otherwise(-share * F.log(share) / log_m).alias("h")).groupBy("host", "path").agg(F.max("m").alias("m"), F.sum("h").alias("shown"), F.count("*").alias("k"))
     steps = F.split("path", ">")
     above = F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">")))
     said = (

@@ -254,3 +254,16 @@ def test_html_whole_main_texts():
     for tag in ("svg", "button", "video", "select"):
         assert t(f"<div><div>a<{tag}>open</div><p>c</p></div>") == "a\nc", tag
     assert t("<p>a<svg><svg>x</svg><title/>y</svg>b<template><template>x</template><div>y</div></template>c</p><svg><path d='1'><p>d</p>") == "abc\nd"
+
+
+def test_html_tree_inside_articles_on_small_hosts(spark):
+    menu = "<div><span>More of our offers</span></div>"
+    page = lambda k: f"<body><main>{menu}<article><p>{' '.join(f'a{k}x{i}' for i in range(20))}</p></article></main></body>"
+    rows = [(m * 100 + k, f"http://h{m}.example/{k}", page(k), "") for m in (1, 2, 19, 20) for k in range(m)]
+    rows += [(9000 + k, f"http://copies.example/{k}", page(1), "") for k in range(5)]
+    rows += [(9100 + k, f"http://near.example/{k}", page(1).replace("a1x7 ", f"b{k} "), "") for k in range(5)]
+    rows += [(9200 + k, f"http://parts.example/{k}", f"<article><p>{'one same long text of all the copies ' * 3}</p><p>copy {k}</p></article>", "") for k in range(5)]
+    by = {g.page_id: g.text for g in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert "offers" in by[100] and all("offers" in by[9000 + k] for k in range(5))
+    assert all("offers" not in by[m * 100 + k] and f"a{k}x19" in by[m * 100 + k] for m in (2, 19, 20) for k in range(m))
+    assert all("a1x19" in by[9100 + k] and "same long text" in by[9200 + k] for k in range(5))
