@@ -141,22 +141,74 @@ def best_mode(scored: DataFrame) -> DataFrame:
     return best.select("doc_id", F.when(F.col("_r") < 3, F.col("mode")).otherwise(F.lit(0)).alias("mode"), (F.col("_r") == 2).alias("to_repair"))
 
 
+def ladder(modes: list[DataFrame], body: list[DataFrame], n_pages: DataFrame) -> DataFrame:
+    """Items of the first mode that is above 0.6, repaired for up to three rounds where it is below 1; of the last mode whatever it has. body: the pages of each mode."""
+    own = ["doc_id", "pos", "structure", "title", "physical_index", "n_pages", "found"]
+    checked = [stored(verify(truncate_pages(m.join(n_pages, "doc_id")).where("physical_index is not null"), b).select(*own), "checked") for m, b in zip(modes, body, strict=True)]
+    scored = [accuracy(c, n_pages).withColumn("mode", F.lit(k)) for k, c in enumerate(checked, 1)]
+    all_scored = scored[0]
+    for s in scored[1:]:
+        all_scored = all_scored.unionByName(s)
+    chosen = all_scored.where((F.col("accuracy") > 0.6) | (F.col("mode") == len(modes))).groupBy("doc_id").agg(F.min("mode").alias("mode"), F.min_by("accuracy", "mode").alias("accuracy"))
+    chosen = stored(chosen.select("doc_id", "mode", ((F.col("accuracy") > 0.6) & (F.col("accuracy") < 1)).alias("to_repair")), "modes")
+    out = None
+    for k, (c, b) in enumerate(zip(checked, body, strict=True), 1):
+        mine = c.join(chosen.where(F.col("mode") == k), "doc_id").drop("mode")
+        fixed = mine.where("to_repair").drop("to_repair")
+        for _ in range(3):
+            fixed = stored(bracketed_repair(fixed, b), "repaired")
+        both = mine.where("not to_repair").drop("to_repair").unionByName(fixed)
+        out = both if out is None else out.unionByName(both)
+    return out.select("doc_id", "pos", "structure", "title", F.col("physical_index").cast("int").alias("physical_index"))
+
+
+def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
+    """nodes (doc_id, ord, above, structure, title, page_start, page_end; ord an array of positions from the top, above the ord of the parent) with split_large level by level."""
+    out, level = nodes, nodes
+    while True:
+        named = level.withColumn("node_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), "."))
+        kids = split_large(named, pages, most_pages, most_tokens)
+        known = out.select("doc_id", T.squeezed(F.col("title")).alias("_t"), F.col("page_start").alias("physical_index"))
+        kids = kids.withColumn("_t", T.squeezed(F.col("title"))).join(known, ["doc_id", "_t", "physical_index"], "left_anti").drop("_t")
+        group = W.partitionBy("doc_id", "parent_id").orderBy("pos")
+        up = named.select("doc_id", F.col("node_id").alias("parent_id"), F.col("ord").alias("_up"), F.col("page_end").alias("n_pages"))
+        kids = starts_page(kids, pages).join(up, ["doc_id", "parent_id"]).withColumn("pos", F.row_number().over(group))
+        key = F.concat_ws("/", "doc_id", "parent_id")
+        ranged = tree.tree_parents(tree.assign_ranges(kids.withColumn("_doc", F.col("doc_id")).withColumn("doc_id", key)))
+        rows = ranged.select(
+            F.col("_doc").alias("doc_id"), F.concat("_up", F.array("pos")).alias("ord"),
+            F.when(F.col("parent_pos").isNull(), F.col("_up")).otherwise(F.concat("_up", F.array("parent_pos"))).alias("above"),
+            "structure", "title", "page_start", "page_end", "_up",
+        )
+        rows = stored(rows, "split")
+        if rows.isEmpty():
+            return out
+        level = rows.drop("_up")
+        first = rows.groupBy("doc_id", F.col("_up").alias("ord")).agg(F.min("page_start").alias("_end"))
+        shorter = out.join(first, ["doc_id", "ord"], "left").withColumn("page_end", F.coalesce("_end", "page_end")).drop("_end")
+        out = stored(shorter.unionByName(level), "levels")
+
+
 def document_tree(pages: DataFrame, scan: int = 20, least_score: float = 0.5) -> DataFrame:
-    """Nodes of every document: contents found, read, placed, repaired, ranged; a document without one gets a single node "Document"."""
+    """Nodes of every document: contents found, read, placed, checked, repaired, ranged, and large nodes split; a document without any gets a single node "Document"."""
     n_pages = pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("n_pages"))
     run = first_toc_run(pages.withColumn("is_toc", T.toc_score(F.col("text")) >= least_score), scan)
     inside = pages.join(run, "doc_id").where("page_no between run_start and run_end").select(*pages.columns)
     body = pages.join(run, "doc_id", "left").where("run_end is null or page_no > run_end").select(*pages.columns)
-    read = stored(apply_offset(locate(stored(toc_items(inside), "toc_items"), body)).join(n_pages, "doc_id"), "located")
-    own = truncate_pages(repair(verify(read, body), body, 1)).where("physical_index is not null").select("doc_id", "pos", "structure", "title", F.col("physical_index").cast("int").alias("physical_index"))
-    own = stored(own, "placed")
-    found = page_headings(pages.join(own.select("doc_id").distinct(), "doc_id", "left_anti")).select("doc_id", "pos", "structure", "title", F.col("physical_index").cast("int").alias("physical_index"))
-    items = stored(own.unionByName(found), "items")
+    read = stored(locate(stored(toc_items(inside), "toc_items"), body), "located")
+    printed = read.join(page_offset(read), "doc_id").withColumn("physical_index", F.coalesce(F.col("page") + F.col("page_offset"), "physical_index"))
+    outside = pages.join(run, "doc_id", "left").where("run_end is null or page_no not between run_start and run_end").select(*pages.columns)
+    items = stored(ladder([printed, read, page_headings(outside)], [body, body, outside], n_pages), "items")
     rest = n_pages.join(items.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("pos"), F.lit("1").alias("structure"), F.lit("Document").alias("title"), F.lit(1).alias("physical_index"))
     whole = starts_page(tree.preface_rows(items.unionByName(rest)), pages).join(n_pages, "doc_id")
-    ranged = stored(tree.node_numbering(tree.assign_ranges(whole)), "ranged")
-    ids = ranged.select("doc_id", F.col("pos").alias("parent_pos"), F.col("node_id").alias("parent_id"))
-    return tree.tree_parents(ranged).join(ids, ["doc_id", "parent_pos"], "left").select("doc_id", "node_id", "parent_id", "pos", "structure", "title", "page_start", "page_end")
+    ranged = tree.tree_parents(tree.assign_ranges(whole))
+    tops = ranged.select("doc_id", F.array("pos").alias("ord"), F.when(F.col("parent_pos").isNotNull(), F.array("parent_pos")).alias("above"), "structure", "title", "page_start", "page_end")
+    nodes = split_levels(stored(tops, "ranged"), pages)
+    order = W.partitionBy("doc_id").orderBy("ord")
+    first = F.min(F.get("ord", F.lit(0))).over(W.partitionBy("doc_id"))
+    nodes = stored(tree.node_numbering(nodes.withColumn("pos", (F.row_number().over(order) - 1 + first).cast("int"))), "numbered")
+    ids = nodes.select("doc_id", F.col("ord").alias("above"), F.col("node_id").alias("parent_id"))
+    return nodes.join(ids, ["doc_id", "above"], "left").select("doc_id", "node_id", "parent_id", "pos", "structure", "title", "page_start", "page_end")
 
 
 def split_large(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
@@ -166,4 +218,4 @@ def split_large(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_t
     heads = page_headings(pages)
     met = large.select("doc_id", "node_id", F.col("title").alias("_above"), "page_start", "page_end").join(heads, "doc_id").where("physical_index between page_start and page_end")
     first = F.row_number().over(W.partitionBy("doc_id", "node_id").orderBy("physical_index", "pos"))
-    return met.withColumn("_n", first).where((F.col("_n") > 1) | (T.squeezed(F.col("title")) != T.squeezed(F.col("_above")))).select("doc_id", F.col("node_id").alias("parent_id"), "structure", "title", "physical_index")
+    return met.withColumn("_n", first).where((F.col("_n") > 1) | (T.squeezed(F.col("title")) != T.squeezed(F.col("_above")))).select("doc_id", F.col("node_id").alias("parent_id"), "structure", "title", "physical_index", "pos")

@@ -945,7 +945,7 @@ def headings_from_pages(spark, d):
 def split_large_nodes(spark, d):
     pages = v.book_pages(spark, d).withColumn("text", F.expr("concat('1.', page_no, ' Part ', n, 'x')"))
     whole = pages.groupBy("doc_id").agg(F.max("page_no").alias("m")).where("m >= 40").selectExpr("doc_id", "'0000' AS node_id", "'Whole' AS title", "1 AS page_start", "40 AS page_end")
-    return O.split_large(whole, pages, 10, 100)
+    return O.split_large(whole, pages, 10, 100).drop("pos")
 
 
 @query("run_eval")

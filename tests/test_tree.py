@@ -80,3 +80,17 @@ def test_elements(spark):
     shape = "doc_id string, kids array<struct<type:string, `heading level`:int, content:string, kids:array<struct<type:string, content:string>>>>"
     raw = spark.createDataFrame([("d", [("heading", 1, "H", []), ("box", None, None, [("paragraph", "p")])])], shape)
     assert [(r.type, r.content) for r in S.flat_elements(raw).orderBy("pos").collect()] == [("heading", "H"), ("paragraph", "p")]
+
+
+def test_document_tree_modes_and_splits(spark):
+    toc = "Contents\n1 Alpha ..... 1\n2 Beta ..... 2\n3 Xray ..... 3\n4 Yankee ..... 4\n5 Zulu ..... 5"
+    bad = [toc, "Alpha", "Beta", "7 Other heading\nwords", "w", "w", "8 Last heading\nwords", "w"]
+    big = ["Contents\n1 Start ..... 1\n2 Large ..... 2\n3 End ..... 17", "1 Start", *["2 Large", *["words"] * 4, "2.1 Inner one\nwords", *["words"] * 4, "2.2 Inner two\nwords", *["words"] * 4], "3 End"]
+    rows = [(d, i + 1, t, 2000) for d, ts in (("bad", bad), ("big", big)) for i, t in enumerate(ts)]
+    out = O.document_tree(spark.createDataFrame(rows, "doc_id string, page_no int, text string, n_tokens long")).orderBy("doc_id", "pos").collect()
+    titles = [r.title for r in out if r.doc_id == "bad"]
+    assert "Xray" not in titles and "Other heading" in titles and "Last heading" in titles
+    own = [(r.title, r.page_start, r.page_end) for r in out if r.doc_id == "big"]
+    assert own[1:] == [("Start", 2, 2), ("Large", 3, 8), ("Inner one", 8, 12), ("Inner two", 13, 17), ("End", 18, 18)]
+    ids = {r.title: r for r in out if r.doc_id == "big"}
+    assert ids["Inner two"].parent_id == ids["Inner one"].parent_id == ids["Large"].node_id
