@@ -147,7 +147,20 @@ def last_tag(text: Column) -> Column:
 
 
 def scrub(payload: Column, key: str = "section_title") -> Column:
-    """A JSON payload without one key on its top two levels."""
-    top = F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: k != key)
-    inner = F.transform_values(top, lambda k, v: F.when(F.startswith(v, F.lit("{")), F.to_json(F.map_filter(F.from_json(v, "map<string,string>"), lambda a, b: a != key))).otherwise(v))
-    return F.to_json(inner)
+    """A JSON payload without one key, at every depth and inside arrays; null if it can't be read."""
+    import json
+
+    def bare(x):
+        if isinstance(x, dict):
+            return {k: bare(v) for k, v in x.items() if k != key}
+        return [bare(v) for v in x] if isinstance(x, list) else x
+
+    def one(text: str | None) -> str | None:
+        try:
+            x = bare(json.loads(text))
+            said = json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+            return said if said.isascii() or not any("\ud800" <= c <= "\udfff" for c in said) else json.dumps(x, separators=(",", ":"))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return F.udf(one, "string", useArrow=True)(payload)

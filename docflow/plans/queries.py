@@ -672,7 +672,9 @@ def retry_wait(spark, d):
 
 @query("scrub_payload", "SELECT id, '{\"k\":\"' || (props->>'k') || '\"}' AS j FROM v_audit")
 def scrub_payload(spark, d):
-    return v.audit(spark, d).select("id", T.scrub(F.expr("""concat('{"section_title":"x","k":', get_json_object(props, '$.k'), '}')""")).alias("j"))
+    # the key lies on the top, and at the third level inside an array, where the kept object is read again
+    nested = F.expr("""concat('{"section_title":"x","a":[{"section_title":"y","b":{"section_title":{"z":1},"k":"', get_json_object(props, '$.k'), '"}}]}')""")
+    return v.audit(spark, d).select("id", F.get_json_object(T.scrub(nested), "$.a[0].b").alias("j"))
 
 
 # ---- golden sets ---------------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Scalars against worked cases."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from docflow.functions import issues as I
@@ -54,3 +56,11 @@ def test_issues(spark):
     assert one(spark, I.issue_type(F.lit("Epic"), ["Story"], F.array(F.lit("Story"), F.lit("Bug")))) == "Story"
     assert one(spark, I.issue_key(F.lit("made PROJ-12"), "PROJ")) == "PROJ-12"
     assert one(spark, I.issue_key(F.lit("none"), "PROJ")) == "UNKNOWN"
+
+
+def test_scrub_at_every_depth(spark):
+    s = "section_title"
+    cases = [({s: 1, "a": [{s: 2, "b": {"c": {s: 3, "é": [[{s: 4}], 1.5, None, True]}}}]}, {"a": [{"b": {"c": {"é": [[{}], 1.5, None, True]}}}]}), ([{s: 1}], [{}]), ({"k": s}, {"k": s})]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(9, "{odd"), (10, None)], "i int, j string")
+    got = {r.i: r.j for r in rows.select("i", T.scrub(F.col("j")).alias("j")).collect()}
+    assert [json.loads(got[i]) for i in range(3)] == [want for _, want in cases] and got[9] is None and got[10] is None
