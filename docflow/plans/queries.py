@@ -950,9 +950,18 @@ def split_large_nodes(spark, d):
     return O.split_large(whole, pages, 10, 100).drop("pos")
 
 
+@query("split_whole_books")
+def split_whole_books(spark, d):
+    """split_large over every page, text and heading of each book, with the limits of the operator."""
+    pages = v.book_pages(spark, d)
+    whole = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_end")).selectExpr("doc_id", "'0000' AS node_id", "'Whole' AS title", "1 AS page_start", "page_end")
+    return O.split_large(whole, pages)
+
+
 @query("run_eval")
 def run_eval(spark, d):
-    g = v.table(spark, d, "benchmark").selectExpr("concat('s', item_id % 5) AS section", "item_id AS golden_id", "text AS title")
+    # sections of twenty ids, so that they grow in number with the table and not in size
+    g = v.table(spark, d, "benchmark").selectExpr("concat('s', item_id div 20) AS section", "item_id AS golden_id", "text AS title")
     sections = g.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("golden_id", "title"))), lambda x: x["title"]), ".\n").alias("text"))
     found = K.extract_rules(sections.selectExpr("section AS doc_id", "section AS node_id", "1 AS pos", "text"), LEADS)
     a = found.selectExpr("doc_id AS section", "ord AS actual_id", "short_description AS title")
