@@ -1,8 +1,8 @@
-"""Token counts against the tokenizers library, and span removal against brute force."""
+"""Token counts against the tokenizers library."""
 
 import random
 
-from docflow.llm import spans, unigram
+from docflow.llm import unigram
 
 ROWS = "doc_id long, text string, extra string"
 
@@ -32,49 +32,3 @@ def test_count_rows(spark):
     got = unigram.token_counts(spark.createDataFrame(rows, ROWS)).collect()
     assert len(got) == 6 and {r.doc_id: r.n_tokens for r in got}[1] == 0
     assert unigram.token_counts(spark.createDataFrame([], ROWS)).count() == 0
-
-
-def test_sentences_join_up():
-    r = random.Random(2)
-    for _ in range(500):
-        s = "".join(r.choice(["ab ", "c. ", "D! ", "\n", "  ", "e.f ", "word " * 12, "?", "é", "\t"]) for _ in range(r.randint(0, 20)))
-        assert "".join(spans.sentences(s)) == s
-
-
-def test_spans(spark):
-    r = random.Random(3)
-    line = lambda: " ".join(r.choice(["a", "b", "c", "dd", "E"]) + str(r.randint(0, 200)) for _ in range(r.randint(3, 9))) + ". "
-    passage = "".join(line() for _ in range(9))
-    docs = [(i, "".join(line() for _ in range(r.randint(0, 8))) + (passage if i % 3 == 0 else "") + "".join(line() for _ in range(r.randint(0, 4))), "x") for i in range(30)]
-    docs += [(50, None, "x"), (51, "", "x"), (None, passage, "x"), (52, passage + passage, "x"), (53, "One. Two. ", "x"), (53, "One. Two. ", "x")]
-    got = spans.without_repeats(spark.createDataFrame(docs, ROWS)).collect()
-    assert len(got) == len(docs)
-    seen = {}
-    rows = sorted({(d, a, b, w) for d, t, _ in docs if d is not None for a, b, w in spans.spans(spans.sentences(t or ""))})
-    cut = {}
-    for d, a, b, w in rows:
-        if seen.setdefault(w, (d, a)) != (d, a):
-            cut.setdefault(d, set()).update(range(a, b))
-    for g in got:
-        t = next(t for d, t, _ in docs if d == g.doc_id)
-        parts = spans.sentences(t or "")
-        gone = cut.get(g.doc_id, set()) if g.doc_id is not None else set()
-        assert g.n_removed == len(gone) and g.n_sentences == len(parts)
-        assert g.text == ("".join(p for i, p in enumerate(parts) if i not in gone) if gone else t)
-    assert sum(passage in (g.text or "") for g in got if g.doc_id is not None) == 1
-    assert spans.without_repeats(spark.createDataFrame([], ROWS)).count() == 0
-
-
-def test_passages_in_long_sentences(spark):
-    rng = random.Random(3)
-    passage = " ".join(f"p{i}" for i in range(51))
-    docs = [(k, " ".join(f"x{rng.random()}" for _ in range(k)) + f" {passage} " + " ".join(f"y{rng.random()}" for _ in range(9)), "") for k in range(1, 11)]
-    got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(docs, ROWS)).collect()}
-    for k in range(2, 11):
-        assert sum(w.startswith("p") for w in got[k].text.split()) <= 28 and got[k].n_removed >= 3
-    assert got[1].n_removed == 0
-    for words in (["a"] * 51, passage.split(), [f"v{rng.randrange(9)}" for _ in range(51)]):  # also with few different words
-        for k in range(1, 11):
-            own = [{w for _, _, w in spans.spans(spans.sentences(" ".join(["q"] * n + words + ["r"] * n)))} for n in (k, 0)]
-            assert any(b"q" not in w and b"r" not in w for w in own[0] & own[1])
-    assert max(len(p.split()) for p in spans.sentences(" ".join(f"w{rng.random()}" for _ in range(5000)))) <= spans.MOST_WORDS
