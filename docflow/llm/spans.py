@@ -36,7 +36,7 @@ from .common import table, write_read, written_bytes
 SENTENCES = 3
 LEAST_WORDS = 21
 MOST_WORDS = 10
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 1 << 20
 #: Bytes of text that are hashed at a time, and that make up one lot of documents.
 PIECE_BYTES = 1 << 20
 

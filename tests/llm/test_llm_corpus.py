@@ -5,6 +5,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pytest
 import xxhash
 
 from docflow.llm import decontaminate, html_text, quality, simhash, warc
@@ -152,11 +153,40 @@ def test_quality(spark):
 
 def test_quality_order_changes_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = quality.measured(docs)
-    a, b = (rows.select("doc_id", quality.kept(order).alias("k")) for order in (sorted(quality.rules()), sorted(quality.rules(), reverse=True)))
+    rows = quality._split(docs, "text", doc_id=docs.doc_id)
+    c = quality.counts(rows.t, rows.w)
+    a, b = (rows.select("doc_id", quality.kept(order, c).alias("k")) for order in (sorted(quality.rules(c)), sorted(quality.rules(c), reverse=True)))
     assert a.exceptAll(b).count() == 0
 
 
+def test_quality_skips_what_follows(spark):
+    """A row that a cheap rule rejects never reaches the counts of the rules behind it."""
+    from pyspark.sql import functions as F
+
+    rows = quality._split(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), "text")
+    c = quality.counts(rows.t, rows.w)
+    fails = F.raise_error(F.lit("counted"))
+    spared = c | {k: fails.cast("boolean" if k == "mostly_dup_lines" else "long") for k in c if k != "n_words"}
+    order = ["few_words", *(x for x in quality.rules(c) if x != "few_words")]
+    assert rows.where(quality.kept(order, spared)).count() == 0
+    with pytest.raises(Exception, match="counted"):
+        rows.where(quality.kept(order[::-1], spared)).count()
+
+
+def test_quality_worth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = quality.worth(docs, repeats=4)
+    assert found["repeat_words"][1] > found["few_words"][1] and set(found) == set(quality.cascade(docs))
+    assert quality.cascade(docs)[0] == "few_words" and all(0 <= share <= 1 for share, _ in found.values())
+
+
+def test_quality_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a " * 80, 7, 8, 9), (2, " ".join(f"w{i}" for i in range(60)), 7, 8, 9)], "doc_id long, text string, t long, w long, q long")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [(7, 8, 9)]
+    assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == {1: False, 2: True}
+
+
 PAGES = "page_id long, url string, html string, extra string"
 
 
