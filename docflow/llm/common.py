@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may go without."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="docflow-"))
     return _OWN_DIR[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def write_read(df: DataFrame, name: str) -> DataFrame:
@@ -37,11 +42,38 @@ def write_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The paths that this process has made in the shared folder and not deleted."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Deletes what was written since written() gave before, except what keep reads. Other results that rest on it must have been consumed."""
+    held = keep.inputFiles()
+    for path in set(_WRITTEN) - set(before):
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in held):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _WRITTEN.remove(path)
+
+
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files under a table that write_read() returned, by Spark's own statistics."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a number of its own for each row, in a column whose name it returns; written out, so that the numbers stay."""
+    row = "row_" + uuid.uuid4().hex
+    return write_read(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def hash_sample(df: DataFrame, by: list[Column], rows: int) -> DataFrame:
+    """About rows rows, at most twice as many, drawn from the whole table by a hash: alike in every run. A table of fewer rows is given whole."""
+    often = max(1, df.count() // rows)
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(often)) == 0).limit(2 * rows)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,8 +4,8 @@ Counts: words are runs of characters other than ASCII white space. word_chars ar
 the characters #*$%&|<>, n_dup_lines the lines with a word that equal an earlier line, n_repeat_words the words inside
 3-word windows that the text holds twice or more (the first included).
 
-Cascade: every rule is a Boolean expression over a text and its words that rejects. On a bounded sample (SAMPLE_ROWS rows
-of the whole table, those with the smallest hashes of id and text) each rule is timed with the counts that it needs, over
+Cascade: every rule is a Boolean expression over a text and its words that rejects. On a bounded sample (about SAMPLE_ROWS
+rows, twice as many at most, of the whole table, by a hash of id and text) each rule is timed with the counts that it needs, over
 texts that are repeated until the rule and not the job's start is what takes the time, and its share of rejected rows is
 counted. Rules run in the order of rejections per cost, costs rounded to powers of two so that the noise of a clock
 doesn't turn the order. A row that one rule has rejected skips the counts of the rules that follow: in keep_good()
@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -125,8 +125,7 @@ def _split(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
 
 def worth(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, repeats: int = REPEATS, tries: int = TRIES) -> dict[str, tuple[float, float]]:
     """For each rule its share of rejected rows and its cost (microseconds a row, rounded to a power of two) on a bounded sample."""
-    text = F.col(text_col)
-    rows = docs.select(text.alias("text"), F.xxhash64(F.col(id_col), text).alias("_h")).orderBy("_h").limit(sample_rows).collect()
+    rows = hash_sample(docs, [F.col(id_col), F.col(text_col)], sample_rows).select(text_col).collect()
     spark = docs.sparkSession
     sample = _split(spark.createDataFrame([(r[0],) for r in rows], "text string").coalesce(1), "text").persist()
     try:
