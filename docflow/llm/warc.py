@@ -7,10 +7,16 @@ WARC-Segment-Number, WARC-Segment-Origin-ID and, on the last, WARC-Segment-Total
 blocks of whole records (the two line ends behind a record are its line separator), so archives go to any store that
 Spark can write; a file holds at most FILE_BLOCKS blocks of about BLOCK_BYTES and is compressed with gzip.
 
-Reading. Archives come in by Spark's binaryFile reader and are parsed record by record. Continuation records are grouped
-by the id of their origin, ordered by segment number, and streamed: framing is decoded and digests are kept as state,
-so no record is held whole. A record counts as valid if its segments are all there, their total length is the
-stated one, the framing ends as it must, and the payload has the stated digest.
+Reading. Compressed archives of any size are streamed by Spark's text reader, cut where a record's head may begin; the
+pieces of a file come in order to one task, and those of one record are put together again by its stated length, so at
+most one record is held. (Uncompressed archives, which a text reader would split inside records, come in by binaryFile
+and so are bound to 2 GB each.) Continuation records are grouped by the id of their origin, ordered by segment number, and
+streamed: framing is decoded and digests are kept as state, so no reassembled record is held whole. A record counts as
+valid if its segments are all there, their total length is the stated one, the framing ends as it must, and the payload
+has the stated digest (md5, sha1, sha256 or sha512, in hex or base32; other digests aren't tested).
+
+Malformed records (no or an odd length, no id, an odd segment number, an end before the stated length, bytes between
+records) are left out, and reading goes on at the next record; malformed() lists them by file.
 
 How the work is dealt: only (page_id, digest) rows are compared for copies, with counts summed map-side, so a hot payload
 is one row a task; pages are shuffled once, by page_id.
@@ -24,15 +30,17 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, table, write_read
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 16384
@@ -116,10 +124,10 @@ def page_records(row_id: str, url: str, payload: bytes, digest: str, refers_to:
 
 
 def originals(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) for the pages that revisit another. pages: (page_id, html)."""
+    """(page_id, digest, refers_to) for the pages that revisit another. pages: (page_id, html). The digests that repeat are written out, so adaptive execution can split the rows of a hot payload."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.where("page_id is not null").select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
-    first = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = write_read(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "payloads")
     return known.join(first.hint("merge"), "digest").where("page_id <> first").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
 
 
@@ -159,30 +167,77 @@ def _plain(url: str | None, name: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{name}"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
-    """The records of an archive: headers by lower-cased name, and where the block starts and ends."""
-    at = 0
-    while at < len(data):
-        if data.startswith((b"\r", b"\n"), at):
-            at += 1
-            continue
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
-        start = end + len(END)
-        at = start + int(headers["content-length"])
-        if at > len(data):
-            raise ValueError("the archive ends inside a record")
-        yield headers, start, at
+#: Where a record's head may begin. No end of it is a beginning of it, so a reader can't miss one at the edge of its buffer.
+START = b"\nWARC/"
+#: A record that states more is malformed.
+MOST_BYTES = 1 << 30
+
+
+def _head(data: bytes) -> tuple[dict[str, str], int, int] | str | None:
+    """Headers by lower-cased name, and where the block starts and ends; what is wrong; or None if the head isn't whole."""
+    end = data.find(END)
+    if end < 0:
+        return None if len(data) < 1 << 20 else "no end of the head"
+    lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
+    length = headers.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,12}", length) or int(length) > MOST_BYTES:
+        return f"length {length[:40]!r}"
+    if not headers.get("warc-record-id"):
+        return "no id"
+    if not re.fullmatch("[0-9]{1,9}", headers.get("warc-segment-number", "0")) or not re.fullmatch("[0-9]{1,18}", headers.get("warc-segment-total-length", "0")):
+        return "segment number"
+    return headers, end + len(END), end + len(END) + int(length)
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """(headers, block) of each record of an archive, or what is wrong with it. pieces: the archive cut at every START, each without it."""
+    held: list[bytes] = []  # of the record that is open
+    size = need = 0  # its bytes so far and, once its head is read, in all
+
+    def closed(last: bool) -> Iterator[tuple[dict[str, str], bytes] | str]:
+        nonlocal size, need
+        while held:
+            data = b"WARC/" + START.join(held)
+            size, need = len(data), 0
+            found = _head(data)
+            if found is None or (not isinstance(found, str) and found[2] > size):
+                if not last:
+                    need = found[2] if found else 0
+                    return
+                found = "the archive ends inside the record"
+            if isinstance(found, str):
+                yield found
+                del held[0]  # what follows may begin a record
+                continue
+            headers, start, stop = found
+            yield headers, data[start:stop]
+            if data[stop:].strip(b"\r\n"):
+                yield "bytes behind the record"
+            held.clear()
+
+    for n, piece in enumerate(pieces):
+        if not n:
+            piece = piece.lstrip(b"\r\n")
+            if not piece.startswith(b"WARC/"):
+                if piece.strip():
+                    yield "bytes before the first record"
+                continue
+            piece = piece[5:]
+        size += len(piece) + len(START)
+        held.append(piece)
+        if size - 1 >= need:
+            yield from closed(False)
+    yield from closed(True)
 
 
 class Reader:
-    """State of one response while its segments go by."""
+    """State of one response while its segments go by. stated: the digest that its payload should have, as algorithm:hex."""
 
-    def __init__(self):
-        self.head, self.dechunk, self.length, self.payload, self.digest, self.next, self.total, self.target = b"", None, 0, 0, sha256(), 1, None, {}
+    def __init__(self, stated: str | None = None):
+        self.head, self.dechunk, self.length, self.payload, self.digest, self.next, self.total = b"", None, 0, 0, sha256(), 1, None
+        self.algorithm, _, self.hex = (stated or "").partition(":")
+        self.other = hashlib.new(self.algorithm) if self.algorithm not in ("", "sha256") else None
         self.bad = False
 
     def feed(self, number: int, total: int | None, block: bytes) -> Iterator[bytes]:
@@ -200,55 +255,81 @@ class Reader:
         for piece in self.dechunk.feed(block) if self.dechunk else [block]:
             self.payload += len(piece)
             self.digest.update(piece)
+            if self.other:
+                self.other.update(piece)
             yield piece
 
-    def valid(self, stated: str | None) -> bool:
+    def valid(self) -> bool:
         whole = self.dechunk.done and not self.dechunk.bad if self.dechunk else self.dechunk is False
-        return bool(not self.bad and whole and (self.total is None or self.total == self.length) and stated in (None, "", self.digest.hexdigest()))
+        right = not self.algorithm or (self.other or self.digest).hexdigest() == self.hex
+        return bool(not self.bad and whole and (self.total is None or self.total == self.length) and right)
 
 
-def _digest_hex(value: str | None) -> str | None:
-    """A digest header's value as lower-case hex; base32 is read too."""
-    if not value:
-        return None
-    text = value.split(":", 1)[-1]
-    return text.lower() if re.fullmatch(r"[0-9a-fA-F]{64}", text) else base64.b32decode(text + "=" * (-len(text) % 8)).hex()
+#: Bytes of the digests that are tested.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def digest_of(value: str | None) -> str | None:
+    """A digest header's value as algorithm:lower-case hex; base32 is read too. None for what can't be tested."""
+    name, _, text = (value or "").partition(":")
+    name = name.lower().replace("-", "")
+    n = DIGESTS.get(name, -1)
+    if re.fullmatch(r"[0-9a-fA-F]+", text) and len(text) == 2 * n:
+        return f"{name}:{text.lower()}"
+    if re.fullmatch(r"[A-Za-z2-7]+=*", text):
+        try:
+            raw = base64.b32decode(text.rstrip("=").upper() + "=" * (-len(text.rstrip("=")) % 8))
+        except ValueError:
+            return None
+        return f"{name}:{raw.hex()}" if len(raw) == n else None
+    return None
 
 
 SEGMENTS = "origin string, number int, total long, kind string, url string, digest string, refers_to string, block binary"
+MALFORMED = "malformed"
 
 
-def segments(archives: DataFrame) -> DataFrame:
-    """One row for each response, revisit and continuation record of archives (binaryFile rows)."""
+def segments(spark, path: str) -> DataFrame:
+    """One row for each response, revisit and continuation record of all archives under path, and one of kind MALFORMED (url: the file, digest: what is wrong) for each that can't be read."""
+    packed = spark.read.option("pathGlobFilter", "*.gz").schema("value string").option("lineSep", START.decode()).text(path)
+    packed = packed.select(F.col("_metadata.file_path").alias("file"), F.lit(False).alias("whole"), F.col("value").cast("binary").alias("content"))
+    flat = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select(F.col("path").alias("file"), F.lit(True).alias("whole"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            for content in batch.column(0):
-                data, rows, size = content.as_py(), [], 0
-                if data.startswith(b"\x1f\x8b"):
-                    data = gzip.decompress(data)
-                for h, start, stop in parse(data):
-                    kind = h.get("warc-type", "")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    total = h.get("warc-segment-total-length")
-                    rows.append(
-                        (h.get("warc-segment-origin-id", h["warc-record-id"]), int(h.get("warc-segment-number", 0)), int(total) if total else None, kind, h.get("warc-target-uri"), _digest_hex(h.get("warc-payload-digest")), h.get("warc-refers-to"), data[start:stop])
-                    )
-                    size += stop - start
-                    if size > BLOCK_BYTES:
-                        yield out(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield out(rows)
-
-    return archives.select("content").mapInArrow(run, SEGMENTS)
+        rows = ((f, w, c.as_py()) for b in batches for f, w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        done, size = [], 0
+        for file, own in groupby(rows, key=lambda r: r[0]):
+            _, whole, content = next(own)
+            if whole:
+                content = gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
+                pieces = iter(content.split(START))
+            else:
+                pieces = chain([content], (c for _, _, c in own))
+            for found in records(pieces):
+                if isinstance(found, str):
+                    done.append((None, 0, None, MALFORMED, file, found, None, None))
+                    continue
+                h, block = found
+                kind = h.get("warc-type", "")
+                if kind not in ("response", "revisit", "continuation"):
+                    continue
+                total = h.get("warc-segment-total-length")
+                done.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(h.get("warc-segment-number", 0)), int(total) if total else None, kind, h.get("warc-target-uri"), digest_of(h.get("warc-payload-digest")), h.get("warc-refers-to"), block))
+                size += len(block)
+                if size > BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+                    done, size = [], 0
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+    return packed.unionByName(flat).mapInArrow(run, SEGMENTS)
+
+
+def malformed(spark, path: str) -> DataFrame:
+    """(file, reason) for each record under path that can't be read."""
+    return segments(spark, path).where(F.col("kind") == MALFORMED).select(F.col("url").alias("file"), F.col("digest").alias("reason"))
 
 
 RECORDS = "origin string, kind string, url string, refers_to string, payload_bytes long, payload_digest string, valid boolean"
@@ -265,8 +346,8 @@ def reassembled(rows: DataFrame, keep_payload: bool = False) -> DataFrame:
         def closed() -> tuple:
             kind, url, digest, refers_to, length = first
             if kind == "revisit":
-                return (origin, kind, url, refers_to, length, digest, digest is not None, *[None] * keep_payload)
-            ok = kind == "response" and reader.valid(digest) and (reader.next == 1 or reader.next == 2 or reader.total is not None)
+                return (origin, kind, url, refers_to, length, digest and digest.partition(":")[2], digest is not None, *[None] * keep_payload)
+            ok = kind == "response" and reader.valid() and (reader.next == 1 or reader.next == 2 or reader.total is not None)
             return (origin, kind, url, refers_to, reader.payload, reader.digest.hexdigest(), ok, *[b"".join(pieces)] * keep_payload)
 
         def out(done: list[tuple]) -> pa.RecordBatch:
@@ -278,7 +359,7 @@ def reassembled(rows: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if first is None or o != origin:
                     if first:
                         done.append(closed())
-                    origin, reader, pieces = o, Reader(), []
+                    origin, reader, pieces = o, Reader(digest), []
                     length = None
                     if kind == "revisit":
                         m = re.search(rb"(?im)^content-length:\s*(\d+)", block.as_py())
@@ -298,7 +379,7 @@ def reassembled(rows: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 def read_archives(spark, path: str, keep_payload: bool = False) -> DataFrame:
     """The records of all archives under path. Whole records are read where they lie; only segmented ones are shuffled."""
-    rows = segments(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path))
+    rows = segments(spark, path).where(F.col("kind") != MALFORMED)
     whole = reassembled(rows.where("number = 0"), keep_payload)
     cut = rows.where("number > 0").repartition("origin").sortWithinPartitions("origin", "number")
     return whole.unionByName(reassembled(cut, keep_payload))
