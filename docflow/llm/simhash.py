@@ -12,7 +12,10 @@ pair whose population counts lie more than the radius apart can't hold a link an
 spanning forest of its links, at most one row for each of its rows.
 
 Nulls and odd rows: a null or empty text has no words and the fingerprint zero, which is linked like any other. Rows
-that repeat stay repeated. A null doc_id gets a fingerprint, but no component (null) and takes no part in links.
+that repeat stay repeated. A null doc_id gets a fingerprint, but no component (null) and takes no part in links. Links
+are between ids: rows that repeat an id with other texts link their components (keep_one() tells rows apart instead).
+Further columns, of whatever name, are left aside, and kept by keep_one(). An empty table gives an empty one. Whole texts
+are hashed, however long, in bounded pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, write_read
+from .common import numbered, table, write_read
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -142,7 +145,8 @@ def links(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     pairs = [(i, j) for i in range(len(BLOCKS)) for j in range(i + 1, len(BLOCKS))]
     keys = [F.lit(k << 26).bitwiseOR(F.shiftleft(bits[i], 13)).bitwiseOR(bits[j]) for k, (i, j) in enumerate(pairs)]
     dealt = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    crowds = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written out, so that the join lies between plain exchanges and adaptive execution can split a crowded key
+    crowds = write_read(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
     parts = F.ceil(F.col("n") / tile_rows).cast("int")
     part = F.pmod(F.xxhash64("fp"), "parts")
     met = (
@@ -158,8 +162,9 @@ def links(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, root): for every node a with a link to something smaller, the smallest node that it reaches. edges: (a, b) longs.
 
-    Large-star and small-star rounds on joins and minima; each round is written to the shared folder. A hub costs no
-    more than its links, since only minima are gathered.
+    Large-star and small-star rounds on joins and minima; each round is written to the shared folder. Minima are summed
+    map-side and written out too, so the joins with them lie between plain exchanges, and adaptive execution splits the
+    links of a hub.
     """
 
     def stamp(df: DataFrame) -> tuple:
@@ -171,9 +176,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return edges.withColumnRenamed("b", "root")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = write_read(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = write_read(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = write_read(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = write_read(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = stamp(edges)
@@ -192,6 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(homes.hint("merge"), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near-duplicates, that with the smallest id (nulls last, then any one of them). Rows are told apart by themselves, not by id: rows that share an id with another text are documents of their own."""
+    rows, row = numbered(docs, "numbered")
+    found = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col(id_col).alias("_id"), F.col(id_col).isNull().alias("_none"))
+    homes = ids.join(found.hint("merge"), row)
+    first = homes.groupBy("component_id").agg(F.min(F.struct("_none", "_id", row)).alias("_first")).select(F.col(f"_first.{row}").alias(row))
+    return rows.join(write_read(first, "kept").hint("merge"), row, "left_semi").drop(row)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
