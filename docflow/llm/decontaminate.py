@@ -12,16 +12,21 @@ BROADCAST_BYTES, else by a shuffled join. A row of its own stands for the docume
 
 Nulls and odd rows: a null or empty text has no words, is never hit and is kept; an item without words has no window.
 Each row of the documents gives one result row, also where doc_id repeats or is null; items with the same text are
-all counted, items with the same item_id once. An empty benchmark hits nothing.
+all counted, items with the same item_id once. An empty benchmark hits nothing, an empty table gives an empty one.
+
+Scale: the table's false marks grow with the benchmark: with a million windows about a fifth of the token windows become
+rows of the join, with ten million nearly all; results stay exact and no step is bound to one task.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, write_read, written_bytes
+from .common import ascii_lower, numbered, table, write_read, written_bytes
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -70,16 +75,17 @@ def _candidates(word_list: Column, starts: Column, length: int, slots: Column, n
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: its columns but the text, n_words, n_hit, and items, the sorted ids of the items that occur."""
+    """One row for each row of docs: its columns but the text, n_words, n_hit, and items, the sorted ids of the items that occur. Columns of docs that have one of these names give way."""
     known = write_read(windows(benchmark, width=width), "windows")
     n_windows, lengths = known.agg(F.count("*"), F.array_sort(F.collect_set("length"))).first()
     n = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * n_windows).bit_length()))
-    rest = [c for c in docs.columns if c != text_col]
-    split = docs.select(F.struct(*rest, F.monotonically_increasing_id().alias("row_of_scan")).alias("_d"), words(F.col(text_col)).alias("_w"))
+    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_hit", "items")]
+    row = "row_" + uuid.uuid4().hex
+    split = docs.select(F.struct(*rest, F.monotonically_increasing_id().alias(row)).alias("_d"), words(F.col(text_col)).alias("_w"))
     w = F.col("_w")
-    # the row that stands for the document has no window
+    # the row that stands for the document has a window that no item can have, and another one for each row, so a shuffled join spreads them
     shape = "array<struct<at:int,length:int,window:string>>"
-    found = [F.array(F.struct(F.lit(-1).alias("at"), F.size(w).alias("length"), F.lit(None).cast("string").alias("window"))).cast(shape)]
+    found = [F.array(F.struct(F.lit(-1).alias("at"), F.size(w).alias("length"), F.concat(F.lit("\x00"), F.col(f"_d.{row}").cast("string")).alias("window"))).cast(shape)]
     slots = _slots(known, n) if n_windows else None
     for length in lengths or []:
         starts = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
@@ -98,18 +104,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: i
         spans.alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return per.select("_d.*", "n_words", covered.alias("n_hit"), "items").drop("row_of_scan")
+    return per.select("_d.*", "n_words", covered.alias("n_hit"), "items").drop(row)
 
 
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones. The ids to go are written out first, so the join's strategy rests on a true size. Rows without an id stay."""
-    bad = hits(docs.select(id_col, text_col), benchmark, text_col).where(contaminated()).select(F.col(id_col).alias("_bad")).where("_bad is not null").distinct()
-    bad = write_read(bad, "contaminated")
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the contaminated rows. Rows are told apart by themselves: a clean row stays beside a contaminated one of the same id. What goes is written out first, so the join's strategy rests on a true size."""
+    rows, row = numbered(docs, "numbered")
+    bad = write_read(hits(rows.select(row, text_col), benchmark, text_col).where(contaminated()).select(row), "contaminated")
+    return rows.join(bad, row, "left_anti").drop(row)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
