@@ -11,13 +11,15 @@ Branches and texts whose importance is at most LEAST_IMPORTANCE are removed, on
 (without what is marked) are copies and count once in m and n; all importances are 1 at m = 1.
 
 What an element says about itself comes first: nav, footer, aside, form, script, style and the like, and class or id
-words such as ad, sidebar, cookie or comment, are removed in any case. If a page has an article (or main) element that
+words such as ad, sidebar, cookie or comment, are removed in any case: the tree can tell what a site repeats, but not a
+menu or advert whose text is new on every page. If a page has an article (or main) element that
 isn't so marked, its main text lies there. The tree decides inside it as everywhere. Only where it would take the larger
 part of a page's article, that article is a near copy of others on its host, and stays whole.
 
 How the work is dealt: pages are parsed where they are read. Only (host, path, hash) rows are shuffled, summed map-side,
-so a host with a third of all pages is a third of the summands and not of a task. A host's removals are few (each is
-on a large share of the host's pages), and come back by broadcast while the written table is below BROADCAST_BYTES,
+so a host with a third of all pages is a third of the summands and not of a task. A host's removals are few (each is on
+m^(1 - LEAST_IMPORTANCE) of the host's m pages at least, so there are at most m^LEAST_IMPORTANCE times as many as a page
+has texts), and come back by broadcast while the written table is below BROADCAST_BYTES,
 else by a join on host and salt.
 
 Nulls and odd rows: a null or empty html gives an empty text and 0 characters. A null or odd url counts as the host "".
@@ -34,7 +36,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, write_read, written_bytes
@@ -42,18 +43,18 @@ from .common import table, write_read, written_bytes
 DAMPING = 0.9
 LEAST_IMPORTANCE = 0.1
 BROADCAST_BYTES = 32 << 20
-SALTS = 64
+SALTS = 16
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
-    "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
+    "li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content the parser takes as it stands, up to their end tag.
-RAW = "script|style|noscript|textarea|title|iframe"
+RAW = "script|style|textarea|title|iframe"
 #: Other elements whose content is no text of the page; they nest, and may be self-closed.
-SKIPPED = frozenset("template svg math object select button canvas audio video".split())
-FOREIGN = ("svg", "math")
+SKIPPED = frozenset("template svg annotation annotation-xml select button canvas audio video".split())
+FOREIGN = ("svg",)
 NOISE_TAGS = frozenset("nav footer aside form menu dialog head".split())
 #: A class or id is a mark of noise if it is such a word, or is made of such words and plain words only.
 NOISE_WORDS = frozenset(
@@ -175,7 +176,7 @@ def blocks(page: str, styles: list[tuple[str, str]] | None = None) -> list[tuple
             noise = (
                 above.noise
                 or tag in NOISE_TAGS
-                or (tag == "header" and not above.main)
+                or (tag in ("header", "noscript") and not above.main)
                 or (bool(label) and tag not in ("html", "body", "article", "main") and marked(label))
                 or named.get("role", "").lower() in NOISE_ROLES
             )
@@ -232,14 +233,16 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = write_read(
         _features(pages).distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "features"
     )
-    hosts = counted.where("kind = 'M'").select("host", F.col("n").alias("m"))
-    seen = counted.where("kind <> 'M'").join(hosts.hint("merge"), "host")
-    log_m = F.log(F.col("m").cast("double"))
+    # a host's nodes are dealt to SALTS tasks, so a host with most pages isn't one task's
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    hosts = counted.where("kind = 'M'").select("host", F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = counted.where("kind <> 'M'").withColumn("salt", salt).join(hosts.hint("merge"), ["host", "salt"]).drop("salt")
+    log_m, n = F.log(F.col("m").cast("double")), F.col("n").cast("double")
     alone = F.col("m") == 1
-    contents = seen.where("kind = 'C'").select("host", "path", F.col("feature").alias("text"), "n", "m", F.when(alone, 1.0).otherwise(1 - F.log(F.col("n").cast("double")) / log_m).alias("importance"))
-    total = F.sum("n").over(W.partitionBy("host", "path"))
-    share = F.col("n") / total
-    shown = seen.where("kind = 'P'").select("host", "path", "m", F.when(alone, 1 / F.count("*").over(W.partitionBy("host", "path"))).otherwise(-share * F.log(share) / log_m).alias("h")).groupBy("host", "path").agg(F.max("m").alias("m"), F.sum("h").alias("shown"), F.count("*").alias("k"))
+    contents = seen.where("kind = 'C'").select("host", "path", F.col("feature").alias("text"), "n", "m", F.when(alone, 1.0).otherwise(1 - F.log(n) / log_m).alias("importance"))
+    # with p = n / total, the sum of -p log p is log total - (sum of n log n) / total: sums only, made map-side
+    sums = seen.where("kind = 'P'").groupBy("host", "path").agg(F.max("m").alias("m"), F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("nlogn"), F.count("*").alias("k"))
+    shown = sums.select("host", "path", "m", "k", F.when(alone, 1.0).otherwise((F.log("total") - F.col("nlogn") / F.col("total")) / log_m).alias("shown"))
     steps = F.split("path", ">")
     above = F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">")))
     said = (
