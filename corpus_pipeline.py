@@ -2,7 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents. Between stages the documents are written as Parquet to the shared folder and read again.
-Rows with a null doc_id pass the stages that decide by doc_id; null texts fail the quality rules.
+Every stage tells rows apart by themselves: rows that repeat a doc_id with other texts are documents of their own, exact
+copies are near-duplicates whatever their ids, and a null doc_id comes behind all others in the choice of who stays. Null
+and empty texts fail the quality rules. Further columns, of whatever name, are kept up to the last stage. An empty table
+gives an empty one. Texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import bpe, decontaminate, pii, quality, simhash
-from docflow.llm.common import table, write_read
+from docflow.llm.common import drop_written, table, write_read, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component one document stays, the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = write_read(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = write_read(stage(spark, docs, sf_dir), name)
+        drop_written(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
