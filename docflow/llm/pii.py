@@ -42,10 +42,10 @@ SAMPLE_ROWS = 300
 EXAMPLES = 1500
 SAMPLE_CHARS = 20_000
 STEPS = 260
-LENGTH, STRIDE = 128, 96
+LENGTH, STRIDE = 256, 224
 TRAIN_LENGTH = 96
 #: Windows that go through the tagger together.
-LOT = 1024
+LOT = 768
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -258,12 +258,13 @@ def test_pii_long_text_and_clashing_columns(spark):
 def test_pii_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "mail a@b.co now 10.0.0.1", "x"), (3, "mail a@b.co now 10.0.0.1", "x"), (None, "call +1 (555) 555-1234", "x")]
     df = spark.createDataFrame(rows, ROWS)
-    got = pii.find(df).collect()
+    params = pii.train(df, steps=2)
+    got = pii.find(df, params=params).collect()
     assert len(got) == 5
     three = next(r for r in got if r.doc_id == 3)
     assert (three.n_email, three.n_ip, three.n_card, three.n_phone) == (1, 1, 0, 0)
     assert three.base_sha256 == sha256(b"email:5:11,ip:16:24").hexdigest()
-    red = {r.doc_id: r for r in pii.redact(df).collect()}
+    red = {r.doc_id: r for r in pii.redact(df, params=params).collect()}
     assert red[3].text == "mail [email] now [ip]" and red[1].text is None and red[3].extra == "x"
     none = spark.createDataFrame([], ROWS)
     assert pii.train(none) is None and pii.find(none).count() == 0 and pii.redact(none).count() == 0
