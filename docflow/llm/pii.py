@@ -41,7 +41,7 @@ BASE_KINDS = KINDS[:4]
 SAMPLE_ROWS = 300
 EXAMPLES = 1500
 SAMPLE_CHARS = 20_000
-STEPS = 260
+STEPS = 280
 LENGTH, STRIDE = 256, 224
 TRAIN_LENGTH = 96
 #: Windows that go through the tagger together.

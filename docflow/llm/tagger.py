@@ -39,7 +39,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Parameters in self.p: for each direction wx (chars, 4h), wh (h, 4h), b (4h); then wo, bo, and the CRF's move and start."""
 
-    def __init__(self, tags: int, hidden: int = 16, seed: int = 7):
+    def __init__(self, tags: int, hidden: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
         self.k, self.h, self.p = tags, hidden, {}
         for d in "fb":
@@ -107,19 +107,22 @@ class Tagger:
             run = np.maximum(run, 0) + x
             best = np.maximum(best, run)
         open_ = np.flatnonzero(best + (enter - inside + leave) > -1e-3)
+        # Of those, the score of the best path alone tells the windows where it isn't zeros throughout; only they are traced back.
+        # Scores are taken against zeros, whose path so keeps its start's score without rounding.
+        own, small = e[:, open_] - e[:, open_, :1], (move - move[0, 0]).astype(np.float32)
+        start = self.p["start"].astype(np.float32)
+        score = start + own[0]
+        for t in range(1, len(e)):
+            score = (score[:, :, None] + small).max(axis=1) + own[t]
+        open_ = open_[score.max(axis=1) > start[0]]
         if not len(open_):
             return tags
-        e, move = e[:, open_], move.astype(np.float32)
-        score, back = self.p["start"].astype(np.float32) + e[0], np.empty(e.shape, np.int8)
-        top, path, more = np.empty_like(score), np.empty_like(score), np.empty(score.shape, bool)
+        e = e[:, open_]
+        score, back = self.p["start"] + e[0], np.empty(e.shape, np.int8)
         for t in range(1, len(e)):
-            np.add(score[:, :1], move[0], out=top)
-            back[t] = 0
-            for k in range(1, self.k):
-                np.greater(np.add(score[:, k : k + 1], move[k], out=path), top, out=more)
-                np.copyto(top, path, where=more)
-                np.copyto(back[t], k, where=more)
-            np.add(top, e[t], out=score)
+            paths = score[:, :, None] + move
+            back[t] = paths.argmax(axis=1)
+            score = paths.max(axis=1) + e[t]
         best = np.empty((len(open_), len(e)), np.int8)
         best[:, -1] = score.argmax(axis=1)
         rows = np.arange(len(open_))
