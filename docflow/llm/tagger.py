@@ -109,12 +109,16 @@ class Tagger:
         open_ = np.flatnonzero(best + (enter - inside + leave) > -1e-3)
         # Of those, the score of the best path alone tells the windows where it isn't zeros throughout; only they are traced back.
         # Scores are taken against zeros, whose path so keeps its start's score without rounding.
-        own, small = e[:, open_] - e[:, open_, :1], (move - move[0, 0]).astype(np.float32)
-        start = self.p["start"].astype(np.float32)
-        score = start + own[0]
+        own = np.ascontiguousarray((e[:, open_] - e[:, open_, :1]).transpose(0, 2, 1))
+        small, start = (move - move[0, 0]).astype(np.float32), self.p["start"].astype(np.float32)
+        score = start[:, None] + own[0]
+        top, path = np.empty_like(score), np.empty_like(score)
         for t in range(1, len(e)):
-            score = (score[:, :, None] + small).max(axis=1) + own[t]
-        open_ = open_[score.max(axis=1) > start[0]]
+            np.add(score[0], small[0][:, None], out=top)
+            for k in range(1, self.k):
+                np.maximum(top, np.add(score[k], small[k][:, None], out=path), out=top)
+            np.add(top, own[t], out=score)
+        open_ = open_[score.max(axis=0) > start[0]]
         if not len(open_):
             return tags
         e = e[:, open_]
