@@ -62,12 +62,6 @@ def written_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df with a number of its own for each row, in a column whose name it returns; written out, so that the numbers stay."""
-    row = "row_" + uuid.uuid4().hex
-    return write_read(df.withColumn(row, F.monotonically_increasing_id()), name), row
-
-
 def hash_sample(df: DataFrame, by: list[Column], rows: int) -> DataFrame:
     """About rows rows, at most twice as many, drawn from the whole table by a hash: alike in every run. A table of fewer rows is given whole."""
     often = max(1, df.count() // rows)

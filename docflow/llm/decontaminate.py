@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, numbered, table, write_read, written_bytes
+from .common import ascii_lower, table, write_read, written_bytes
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -111,11 +111,11 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows. Rows are told apart by themselves: a clean row stays beside a contaminated one of the same id. What goes is written out first, so the join's strategy rests on a true size."""
-    rows, row = numbered(docs, "numbered")
-    bad = write_read(hits(rows.select(row, text_col), benchmark, text_col).where(contaminated()).select(row), "contaminated")
-    return rows.join(bad, row, "left_anti").drop(row)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the contaminated rows. Rows are told apart by id and text: a clean row stays beside a contaminated one of the same id. What goes is written out first, so the join's strategy rests on a true size."""
+    known = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
+    bad = write_read(hits(known, benchmark).where(contaminated()).select("id", "k").distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text_col]) == bad["k"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, table, write_read
+from .common import table, write_read
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -198,13 +198,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component of near-duplicates, that with the smallest id (nulls last, then any one of them). Rows are told apart by themselves, not by id: rows that share an id with another text are documents of their own."""
-    rows, row = numbered(docs, "numbered")
-    found = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
-    ids = rows.select(row, F.col(id_col).alias("_id"), F.col(id_col).isNull().alias("_none"))
-    homes = ids.join(found.hint("merge"), row)
-    first = homes.groupBy("component_id").agg(F.min(F.struct("_none", "_id", row)).alias("_first")).select(F.col(f"_first.{row}").alias(row))
-    return rows.join(write_read(first, "kept").hint("merge"), row, "left_semi").drop(row)
+    """docs with one row of each component of near-duplicates, that with the smallest id (nulls last), then the smallest hash of its text.
+
+    Components are those of fingerprints, and rows are told apart by id and text: rows that share an id with another text
+    are documents of their own, and of rows that repeat both one stays. Only ids and hashes meet in joins; what goes is
+    written out first, so the strategy of the last join rests on a true size.
+    """
+    known = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k")).alias("who"), F.col(text_col).alias("text"))
+    fps = write_read(fingerprints(known, "who", "text").withColumnRenamed("doc_id", "who"), "fingerprints")
+    nodes = write_read(fps.select("fp", F.col("fp").alias("rep")).distinct(), "nodes")
+    stars = connected(links(nodes))
+    homes = nodes.join(stars.hint("merge"), nodes.rep == stars.a, "left").select("fp", F.coalesce("root", "rep").alias("home"))
+    first = fps.join(homes.hint("merge"), "fp").groupBy("home").agg(F.min("who").alias("who"))
+    each = write_read(fps.groupBy("who").agg(F.count("*").alias("n")).join(first.select("who", F.lit(True).alias("stays")).hint("merge"), "who", "left"), "rows")
+    gone = write_read(each.where("stays is null").select("who.id", "who.k"), "gone")
+    twice = write_read(each.where("stays and n > 1").select("who.id", "who.k"), "twice")
+    same = lambda other: docs[id_col].eqNullSafe(other["id"]) & (F.xxhash64(docs[text_col]) == other["k"])
+    left = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    once = docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(twice, left[id_col].eqNullSafe(twice["id"]) & (F.xxhash64(left[text_col]) == twice["k"]), "left_anti").unionByName(once)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
