@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents. Between stages the documents are written as Parquet to the shared folder and read again.
-Every stage tells rows apart by themselves: rows that repeat a doc_id with other texts are documents of their own, exact
+Every stage tells rows apart by doc_id and text: rows that repeat a doc_id with other texts are documents of their own, exact
 copies are near-duplicates whatever their ids, and a null doc_id comes behind all others in the choice of who stays. Null
 and empty texts fail the quality rules. Further columns, of whatever name, are kept up to the last stage. An empty table
 gives an empty one. Texts are worked on whole.
