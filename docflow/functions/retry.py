@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parts of messages that mean a permanent or a passing failure, and headers with the time of a reset.
+# Parts of messages that mean a permanent or a passing failure, headers with the time of a reset, and the
+# patterns of a status and of a wait in a message.
 PERMANENT = (
     "invalid api key",
     "invalid_api_key",
@@ -22,6 +23,8 @@ PERMANENT = (
 PASSING = ("rate limit", "too many requests", "timeout", "timed out", "temporarily unavailable", "service unavailable", "connection reset", "try again")
 RESET_HEADERS = ("x-ratelimit-reset", "x-rate-limit-reset", "ratelimit-reset", "x-ratelimit-reset-requests")
 CANCELLED = "cancelled by user"
+STATUS = r"\b(4\d\d|5\d\d)\b"
+WAIT = r"(?:retry after|try again in)\s+(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?|m)?"
 
 
 def _any(text: Column, parts) -> Column:
@@ -32,7 +35,7 @@ def _any(text: Column, parts) -> Column:
 
 
 def status_code(status: Column, message: Column) -> Column:
-    return F.coalesce(status, F.regexp_extract(message, r"\b(4\d\d|5\d\d)\b", 1).try_cast("int"))
+    return F.coalesce(status, F.regexp_extract(message, STATUS, 1).try_cast("int"))
 
 
 def retryable(status: Column, message: Column) -> Column:
@@ -51,12 +54,14 @@ def _header(headers: Column, name: str) -> Column:
 
 def wait_hint(headers: Column, message: Column, now: Column) -> Column:
     """struct(source, seconds) or null. headers: map with lower-case names; now: seconds since the epoch."""
-    after = _header(headers, "retry-after")
+    given = F.trim(F.try_element_at(headers, F.lit("retry-after")))
+    # a number of seconds, or a date of HTTP
+    at = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(given, r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss z")))
+    after = F.coalesce(given.try_cast("double"), at - now)
     reset = F.coalesce(*[_header(headers, h) for h in RESET_HEADERS])
     reset = F.when(reset > now * 0.5, reset - now).otherwise(reset)
-    pattern = r"(?:retry after|try again in)\s+(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?|m)?"
     text = F.lower(F.coalesce(message, F.lit("")))
-    said = F.regexp_extract(text, pattern, 1).try_cast("double") * F.when(F.startswith(F.regexp_extract(text, pattern, 2), F.lit("m")), 60.0).otherwise(1.0)
+    said = F.regexp_extract(text, WAIT, 1).try_cast("double") * F.when(F.startswith(F.regexp_extract(text, WAIT, 2), F.lit("m")), 60.0).otherwise(1.0)
 
     def hint(name: str, seconds: Column) -> Column:
         return F.struct(F.lit(name).alias("source"), F.greatest(seconds, F.lit(0.0)).alias("seconds"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 JUDGE = "alignment double, recall double, fidelity double, hallucination double, reasoning string"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def json_repair(text: Column) -> Column:
     """Without code fences, from the first bracket to the last one; null if there is none."""
     bare = F.regexp_replace(text, r"(?i)```(?:json)?\s*", "")
@@ -43,7 +48,7 @@ def page_of_tag(text: Column) -> Column:
 
 
 def page_number(text: Column) -> Column:
-    return F.trim(text).try_cast("int")
+    return stripped(text).try_cast("int")
 
 
 def dots_to_colon(text: Column) -> Column:
@@ -66,7 +71,7 @@ def toc_line(line: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines with something on them."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: stripped(x) != "")
 
 
 def toc_score(text: Column) -> Column:
@@ -95,15 +100,15 @@ def starts_with_title(text: Column, title: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 6 for a markdown heading, else 0."""
-    return F.length(F.regexp_extract(F.trim(line), r"^(#{1,6})\s+\S", 1))
+    return F.length(F.regexp_extract(stripped(line), r"^(#{1,6})\s+\S", 1))
 
 
 def heading_title(line: Column) -> Column:
-    return F.trim(F.regexp_extract(F.trim(line), r"^#{1,6}\s+(.+)$", 1))
+    return stripped(F.regexp_extract(stripped(line), r"^#{1,6}\s+(.+)$", 1))
 
 
 def is_fence(line: Column) -> Column:
-    return F.startswith(F.ltrim(line), F.lit("```"))
+    return F.startswith(stripped(line), F.lit("```"))
 
 
 def table_markdown(rows: Column) -> Column:
@@ -122,19 +127,28 @@ def embedding_text(title: Column, description: Column) -> Column:
     return F.trim(F.concat_ws(" ", title, F.substring(F.coalesce(description, F.lit("")), 1, 200)))
 
 
-def token_count(text: Column) -> Column:
-    """Words between white space; null counts 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+def token_count(text: Column, count=None) -> Column:
+    """Words between white space, or what a function of a batch of texts counts (a list of texts to a list of numbers); null counts 0."""
+    if count is None:
+        return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+
+    def batch(texts):
+        return texts.__class__(count(texts.fillna("").tolist()), index=texts.index, dtype="int64")
+
+    import pandas as pd
+
+    batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.pandas_udf(batch, "long")(text))
 
 
 def sentences(text: Column) -> Column:
     """Parts between full stops, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\."), stripped), lambda x: x != "")
 
 
 def text_rows(text: Column) -> Column:
     """Lines of a form's field, without blank ones."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: stripped(x) != "")
 
 
 def first_tag(text: Column) -> Column:

@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docflow.functions import text as T
 from docflow.operators import tasks as K
 from docflow.operators.tree import in_order
 
 
 def covered_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(links.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")
+    return nodes.join(links.select("doc_id", "node_id").distinct().hint("merge"), ["doc_id", "node_id"], "left_semi")
 
 
 def gaps(nodes: DataFrame, links: DataFrame, least_chars: int = 0) -> DataFrame:
     """Nodes without a task and with enough text."""
-    none = nodes.join(links.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-    return none.where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least_chars) if least_chars else none
+    none = nodes.join(links.select("doc_id", "node_id").distinct().hint("merge"), ["doc_id", "node_id"], "left_anti")
+    return none.where(F.length(T.stripped(F.coalesce("text", F.lit("")))) >= least_chars) if least_chars else none
 
 
 def task_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     n = links.groupBy("doc_id", "node_id").agg(F.count("*").alias("n_tasks"))
-    return nodes.join(n, ["doc_id", "node_id"], "left").withColumn("n_tasks", F.coalesce("n_tasks", F.lit(0)))
+    return nodes.join(n.hint("merge"), ["doc_id", "node_id"], "left").withColumn("n_tasks", F.coalesce("n_tasks", F.lit(0)))
 
 
 def carried(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def gap_cap(found: DataFrame, most: int = 10) -> DataFrame:
 
 
 def gap_recovery(nodes: DataFrame, links: DataFrame, most: int = 10, least_chars: int = 100, most_chars: int = 16000, extract=K.extract_rules) -> DataFrame:
-    """Raw tasks of uncovered nodes, flagged GAP_RECOVERED and INCOMPLETE, closed."""
+    """Raw tasks of uncovered nodes, flagged GAP_RECOVERED and INCOMPLETE, closed; for dedup.recover_and_dedup."""
     again = K.cut_text(K.long_enough(gap_cap(gaps(nodes, links), most), least_chars), most_chars, notice=False)
     flags = F.array_union("flags", F.array(F.lit("GAP_RECOVERED"), F.lit("INCOMPLETE")))
     return extract(again).withColumn("flags", flags).withColumn("status", F.lit("CLOSED"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow import schemas
 from docflow.functions.text import embedding_text
 
 BLOCK = 2000
@@ -83,14 +84,14 @@ def decide(pairs: DataFrame, tasks: DataFrame) -> DataFrame:
     """decision for each pair: keep_second or keep_first where one's words are among the other's, else merge."""
     words = F.array_distinct(F.split(F.lower(embedding_text(F.col("title"), F.col("short_description"))), r"\s+"))
     own = tasks.select("id", words.alias("w"))
-    met = pairs.join(own.withColumnsRenamed({"id": "id_a", "w": "wa"}), "id_a").join(own.withColumnsRenamed({"id": "id_b", "w": "wb"}), "id_b")
+    met = pairs.join(own.withColumnsRenamed({"id": "id_a", "w": "wa"}).hint("merge"), "id_a").join(own.withColumnsRenamed({"id": "id_b", "w": "wb"}).hint("merge"), "id_b")
     a_in_b, b_in_a = F.size(F.array_except("wa", "wb")) == 0, F.size(F.array_except("wb", "wa")) == 0
     return met.select("id_a", "id_b", F.when(b_in_a, F.lit("keep_first")).when(a_in_b, F.lit("keep_second")).otherwise(F.lit("merge")).alias("decision"))
 
 
 def known_decisions(decisions: DataFrame, tasks: DataFrame) -> DataFrame:
     """Decisions whose two ids are tasks."""
-    return decisions.join(tasks.select(F.col("id").alias("id_a")), "id_a", "left_semi").join(tasks.select(F.col("id").alias("id_b")), "id_b", "left_semi")
+    return decisions.join(tasks.select(F.col("id").alias("id_a")).hint("merge"), "id_a", "left_semi").join(tasks.select(F.col("id").alias("id_b")).hint("merge"), "id_b", "left_semi")
 
 
 def dropped(decisions: DataFrame) -> DataFrame:
@@ -101,28 +102,36 @@ def dropped(decisions: DataFrame) -> DataFrame:
 
 
 def apply_decisions(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Tasks that stay; one that merges others has their lists, flags, highest confidence and, where its own are empty, their first use_case and mockup."""
+    """Tasks that stay. One that merges others takes their lists, references, highest confidence and, where its own are empty, their first use_case and mockup; their ids come behind those it had merged before. Its flags stay its own."""
     sure = known_decisions(decisions, tasks)
-    lists = ("acceptance_criteria", "considerations_constraints", "deliverables", "flags")
-    part = tasks.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"_{c}") for c in (*lists, "use_case", "mockup_prototype", "confidence")])
+    lists = ("acceptance_criteria", "considerations_constraints", "deliverables")
+    for c, kind in (("source_refs", schemas.TASK["source_refs"].dataType), ("merged_from", "array<string>")):
+        if c not in tasks.columns:
+            tasks = tasks.withColumn(c, F.lit(None).cast(kind))
+    part = tasks.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"_{c}") for c in (*lists, "use_case", "mockup_prototype", "confidence", "source_refs")])
     first = {c: F.min_by(f"_{c}", F.when(F.coalesce(F.col(f"_{c}"), F.lit("")) != "", F.col("id_b"))) for c in ("use_case", "mockup_prototype")}
-    taken = sure.where("decision = 'merge'").join(part, "id_b").groupBy(F.col("id_a").alias("id")).agg(
-        *[F.flatten(F.collect_list(f"_{c}")).alias(f"_{c}") for c in lists], *[x.alias(f"_{c}") for c, x in first.items()], F.max("_confidence").alias("_confidence"), F.array_sort(F.collect_set("id_b")).alias("merged_from")
+    in_order = F.array_sort(F.collect_list(F.struct("id_b", "_source_refs")))
+    taken = sure.where("decision = 'merge'").join(part.hint("merge"), "id_b").groupBy(F.col("id_a").alias("id")).agg(
+        *[F.flatten(F.collect_list(f"_{c}")).alias(f"_{c}") for c in lists], *[x.alias(f"_{c}") for c, x in first.items()], F.max("_confidence").alias("_confidence"),
+        F.flatten(F.filter(F.transform(in_order, lambda x: x["_source_refs"]), lambda x: x.isNotNull())).alias("_source_refs"), F.array_sort(F.collect_set("id_b")).alias("_merged_from"),
     )
-    stay = tasks.drop("merged_from").join(dropped(sure).select("id").distinct(), "id", "left_anti").join(taken, "id", "left")
+    stay = tasks.join(dropped(sure).select("id").distinct().hint("merge"), "id", "left_anti").join(taken.hint("merge"), "id", "left")
     for c in lists:
         both = F.array_sort(F.array_distinct(F.concat(F.coalesce(c, F.array().cast("array<string>")), F.col(f"_{c}"))))
         stay = stay.withColumn(c, F.when(F.coalesce(F.size(f"_{c}"), F.lit(0)) > 0, both).otherwise(F.col(c)))
     for c in ("use_case", "mockup_prototype"):
         stay = stay.withColumn(c, F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}"), F.col(c)))
-    stay = stay.withColumn("confidence", F.greatest("confidence", "_confidence"))
-    return stay.withColumn("merged_from", F.coalesce("merged_from", F.array().cast("array<string>"))).drop(*[c for c in stay.columns if c.startswith("_")])
+    for c in ("source_refs", "merged_from"):
+        none = F.array().cast(stay.schema[c].dataType)
+        stay = stay.withColumn(c, F.concat(F.coalesce(c, none), F.coalesce(f"_{c}", none)))
+    stay = stay.withColumn("confidence", F.greatest("confidence", "_confidence")).withColumn("flags", F.array_distinct("flags"))
+    return stay.drop(*[c for c in stay.columns if c.startswith("_")])
 
 
 def merge_status(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
     """All tasks; those that go have status MERGED and the ids that they went into."""
     gone = dropped(known_decisions(decisions, tasks)).groupBy("id").agg(F.array_sort(F.collect_set("into")).alias("merged_into"))
-    return tasks.join(gone, "id", "left").withColumn("status", F.when(F.col("merged_into").isNotNull(), F.lit("MERGED")).otherwise(F.col("status")))
+    return tasks.join(gone.hint("merge"), "id", "left").withColumn("status", F.when(F.col("merged_into").isNotNull(), F.lit("MERGED")).otherwise(F.col("status")))
 
 
 def summary(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -132,6 +141,17 @@ def summary(before: DataFrame, after: DataFrame) -> DataFrame:
     return n.join(m, "run_id", "left").select("run_id", "started", F.coalesce("after", F.lit(0)).alias("after"), (F.col("started") - F.coalesce("after", F.lit(0))).alias("removed"))
 
 
+def union_recovered(tasks: DataFrame, recovered: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Tasks and those recovered later, deduplicated once more; earlier tasks stay before later ones."""
+    return apply_decisions(tasks.unionByName(recovered, allowMissingColumns=True), decisions)
+
+
+def recover_and_dedup(tasks: DataFrame, recovered: DataFrame, vectors, least: float = 0.85) -> DataFrame:
+    """union_recovered with the decisions that vectors (a function of tasks to (run_id, id, v)) give over both."""
+    both = tasks.unionByName(recovered, allowMissingColumns=True)
+    return apply_decisions(both, decide(similar_pairs(vectors(both), least), both))
+
+
 def dedup(tasks: DataFrame, vectors: DataFrame, least: float = 0.85) -> DataFrame:
     """Similar pairs, decisions, and the tasks that stay."""
     return apply_decisions(tasks, decide(similar_pairs(vectors, least), tasks))

@@ -12,11 +12,11 @@ from docflow.functions import text as T
 def golden_set(features: DataFrame, epics: DataFrame) -> DataFrame:
     """Epics (epic_id, title, description, feature_ids) with their features as expected tickets, and the section's full text."""
     listed = epics.select("epic_id", F.posexplode("feature_ids").alias("_i", "feature_id"))
-    met = listed.join(features, "feature_id")
+    met = listed.join(features.hint("merge"), "feature_id")
     ticket = F.struct("_i", F.concat(F.lit("Implement "), "feature_name").alias("title"), F.col("description").alias("short_description"), T.sentences(F.col("acceptance_criteria")).alias("acceptance_criteria"))
     per = met.groupBy("epic_id").agg(F.array_sort(F.collect_list(ticket)).alias("t"))
     said = F.array_join(F.concat(F.array("description"), F.transform("t", lambda x: x["short_description"])), "\n\n")
-    return epics.join(per, "epic_id").select("epic_id", "title", said.alias("section_text"), F.transform("t", lambda x: x.dropFields("_i")).alias("tickets"))
+    return epics.join(per.hint("merge"), "epic_id").select("epic_id", "title", said.alias("section_text"), F.transform("t", lambda x: x.dropFields("_i")).alias("tickets"))
 
 
 def _words(c: str):
@@ -36,16 +36,27 @@ def golden_match(golden: DataFrame, actual: DataFrame, least: float = 0.5) -> Da
     return scored.withColumn("_n", first).where("_n = 1").select("section", "golden_id", "actual_id", "score")
 
 
-def eval_scores(golden: DataFrame, actual: DataFrame, matched: DataFrame) -> DataFrame:
-    """(section, recall, hallucination, fidelity) for each section of the golden set."""
+def alignment(golden: DataFrame, actual: DataFrame) -> DataFrame:
+    """(section, alignment): the Jaccard index of the words of the expected and the found epic's title. Both: (section, title), a row a section."""
+    met = golden.select("section", _words("title").alias("a")).join(actual.select("section", _words("title").alias("b")).hint("merge"), "section", "left")
+    n = F.size(F.array_intersect("a", "b"))
+    all_words = F.size("a") + F.size("b") - n
+    return met.select("section", F.when(F.col("b").isNotNull() & (all_words > 0), n / all_words).otherwise(F.lit(0.0)).alias("alignment"))
+
+
+def eval_scores(golden: DataFrame, actual: DataFrame, matched: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """(section, recall, hallucination, fidelity) for each section of the golden set; and alignment, where that of the epics is given."""
     g = golden.groupBy("section").agg(F.count("*").alias("ng"))
     a = actual.groupBy("section").agg(F.count("*").alias("na"))
     m = matched.groupBy("section").agg(F.count("*").alias("nm"), F.countDistinct("actual_id").alias("nu"), F.avg("score").alias("fidelity"))
-    met = g.join(a, "section", "left").join(m, "section", "left")
+    met = g.join(a.hint("merge"), "section", "left").join(m.hint("merge"), "section", "left")
+    if aligned is not None:
+        met = met.join(aligned.hint("merge"), "section", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return met.select(
         "section",
         (zero("nm") / F.col("ng")).alias("recall"),
         F.when(zero("na") > 0, (zero("na") - zero("nu")) / zero("na")).otherwise(F.lit(0.0)).alias("hallucination"),
         F.coalesce("fidelity", F.lit(0.0)).alias("fidelity"),
+        *([F.coalesce("alignment", F.lit(0.0)).alias("alignment")] if aligned is not None else []),
     )

@@ -5,14 +5,20 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docflow import schemas
+from docflow.schemas import FLAGS
+
 LEAST_RATIO = 0.75
+LISTS = ("acceptance_criteria", "considerations_constraints", "deliverables")
+RAW = ("doc_id", "node_id", "pos", "ord", "id", "title", "short_description", *LISTS, "use_case", "mockup_prototype", "confidence", "flags", "continues_to_next", "section_title", "page_start", "page_end")
+OUT = ("task_id", "title", "short_description", *LISTS, "use_case", "mockup_prototype", "confidence", "flags", "status", "opened_at", "closed_at", "node_ids", "source_refs")
 RESULT = (
-    "doc_id string, task_id string, title string, short_description string, acceptance_criteria array<string>, confidence double, flags array<string>, status string, "
-    "opened_at string, closed_at string, node_ids array<string>"
+    "doc_id string, task_id string, title string, short_description string, acceptance_criteria array<string>, considerations_constraints array<string>, deliverables array<string>, use_case string, mockup_prototype string, "
+    "confidence double, flags array<string>, status string, opened_at string, closed_at string, node_ids array<string>, source_refs array<struct<node_id: string, section_title: string, page_start: int, page_end: int, snippet: string>>"
 )
 
 
@@ -26,8 +32,20 @@ def _items(values) -> list:
     return [] if values is None or isinstance(values, float) else list(values)
 
 
+def _text(value):
+    return value if isinstance(value, str) else None
+
+
+def _number(value) -> int | None:
+    return None if value is None or value != value else int(value)
+
+
 class Lifecycle:
-    """The open tasks of one document. step() takes a node's raw tasks and returns what closes there; end() closes the rest."""
+    """The open tasks of one document. step() takes a node's raw tasks and returns what closes there; end() closes the rest.
+
+    A raw task continues the open task with the best title ratio among those that expect to be continued. After a node
+    the open tasks are those that still wait, then those of the node in its order, which decides later ties.
+    """
 
     def __init__(self, open_tasks: list[dict] | None = None):
         self.open = open_tasks or []
@@ -37,34 +55,46 @@ class Lifecycle:
         rated = [r for r in rated if r[0] >= LEAST_RATIO]
         return max(rated, key=lambda r: r[:2])[2] if rated else None
 
+    @staticmethod
+    def _reference(node_id: str, raw: dict) -> dict:
+        return {"node_id": node_id, "section_title": _text(raw.get("section_title")), "page_start": _number(raw.get("page_start")), "page_end": _number(raw.get("page_end")), "snippet": ""}
+
+    def _opened(self, node_id: str, raw: dict) -> dict:
+        return {
+            "task_id": raw["id"], "title": raw["title"], "short_description": _text(raw["short_description"]) or "", **{c: _items(raw.get(c)) for c in LISTS}, "use_case": _text(raw.get("use_case")),
+            "mockup_prototype": _text(raw.get("mockup_prototype")), "confidence": raw["confidence"], "flags": [f for f in _items(raw["flags"]) if f in FLAGS], "continues": bool(raw["continues_to_next"]), "status": "OPEN",
+            "opened_at": node_id, "closed_at": None, "node_ids": [node_id], "source_refs": [self._reference(node_id, raw)],
+        }
+
     def step(self, node_id: str, raws: list[dict]) -> list[dict]:
-        touched, fresh = set(), []
+        here: dict[str, dict] = {}  # tasks of this node by id, in the order in which they came
         for raw in raws:
             task = self._continued(raw)
             if task is None:
-                fresh.append(
-                    {
-                        "task_id": raw["id"], "title": raw["title"], "short_description": raw["short_description"], "acceptance_criteria": sorted(set(_items(raw["acceptance_criteria"]))), "confidence": raw["confidence"],
-                        "flags": _items(raw["flags"]), "continues": bool(raw["continues_to_next"]), "status": "OPEN", "opened_at": node_id, "closed_at": None, "node_ids": [node_id],
-                    }
-                )
+                here[raw["id"]] = self._opened(node_id, raw)
                 continue
-            touched.add(task["task_id"])
-            task["short_description"] = f"{task['short_description']} {raw['short_description']}"
-            task["acceptance_criteria"] = sorted({*task["acceptance_criteria"], *_items(raw["acceptance_criteria"])})
+            here.setdefault(task["task_id"], task)
+            task["short_description"] = f"{task['short_description']} {_text(raw['short_description']) or ''}"
+            for c in LISTS:
+                if _items(raw.get(c)):
+                    task[c] = sorted({*task[c], *_items(raw.get(c))})
             task["confidence"] = max(task["confidence"], raw["confidence"])
-            task["flags"] += [f for f in _items(raw["flags"]) if f not in task["flags"]]
+            task["flags"] += [f for f in dict.fromkeys(_items(raw["flags"])) if f in FLAGS and f not in task["flags"]]
             task["continues"] = bool(raw["continues_to_next"])
+            task["mockup_prototype"] = task["mockup_prototype"] or _text(raw.get("mockup_prototype"))
             task["node_ids"].append(node_id)
-        closed, still = [], []
+            task["source_refs"].append(self._reference(node_id, raw))
+        closed, waiting = [], []
         for task in self.open:
-            if task["task_id"] in touched or task["continues"]:
-                if task["task_id"] not in touched and "INCOMPLETE" not in task["flags"]:
+            if task["task_id"] in here:
+                continue
+            if task["continues"]:
+                if "INCOMPLETE" not in task["flags"]:
                     task["flags"].append("INCOMPLETE")
-                still.append(task)
+                waiting.append(task)
             else:
                 closed.append(task | {"status": "CLOSED", "closed_at": node_id})
-        self.open = still + fresh
+        self.open = waiting + list(here.values())
         return closed
 
     def end(self) -> list[dict]:
@@ -73,31 +103,41 @@ class Lifecycle:
         return out
 
 
+def frame_of(doc_id: str, closed: list[dict]) -> pd.DataFrame:
+    frame = pd.DataFrame(closed, columns=list(OUT))
+    frame.insert(0, "doc_id", doc_id)
+    return frame
+
+
+def _raw_columns(df: DataFrame) -> list[Column]:
+    """The columns that a lifecycle reads; what isn't there is null."""
+    kinds = {f.name: f.dataType for f in schemas.RAW_TASK.fields} | {"section_title": "string", "page_start": "int", "page_end": "int"}
+    return [F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in RAW]
+
+
 def task_lifecycle(raws: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All tasks of all documents, closed. raws: (doc_id, node_id, ord, id, title, ...); nodes: (doc_id, node_id, pos), also those without raw tasks.
+    """All tasks of all documents, closed, with all their fields and a reference to each section that they come from. raws: (doc_id, node_id, ord, id, title, ...); nodes: (doc_id, node_id, pos, and title, page_start, page_end where known), also those without raw tasks.
 
     A document's raw tasks are one group: the state is what is open, so documents run side by side and not a document's nodes.
     """
-    rows = nodes.select("doc_id", "node_id", "pos").join(raws.drop("pos"), ["doc_id", "node_id"], "left")
+    about = [F.col(c).cast(k).alias(n) for c, k, n in (("title", "string", "section_title"), ("page_start", "int", "page_start"), ("page_end", "int", "page_end")) if c in nodes.columns]
+    own = raws.drop("pos", "section_title", "page_start", "page_end")
+    rows = nodes.select("doc_id", "node_id", "pos", *about).join(own.hint("merge"), ["doc_id", "node_id"], "left")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         state, out = Lifecycle(), []
         for (_, node_id), part in group.sort_values(["pos", "ord"]).groupby(["pos", "node_id"], sort=True):
             out += state.step(node_id, [r for r in part.to_dict("records") if isinstance(r["id"], str)])
-        out += state.end()
-        frame = pd.DataFrame(out, columns=["task_id", "title", "short_description", "acceptance_criteria", "confidence", "flags", "status", "opened_at", "closed_at", "node_ids"])
-        frame.insert(0, "doc_id", group["doc_id"].iloc[0])
-        return frame
+        return frame_of(group["doc_id"].iloc[0], out + state.end())
 
-    rows = rows.select("doc_id", "node_id", "pos", "ord", "id", "title", "short_description", "acceptance_criteria", "confidence", "flags", "continues_to_next")
-    return rows.groupBy("doc_id").applyInPandas(run, RESULT)
+    return rows.select(*_raw_columns(rows)).groupBy("doc_id").applyInPandas(run, RESULT)
 
 
 def lifecycle_simple(raws: DataFrame, nodes: DataFrame) -> DataFrame:
     """The case without continuations, by a window: a task closes at the next node; the last node's tasks are INCOMPLETE."""
     nxt = F.lead("node_id").over(W.partitionBy("doc_id").orderBy("pos"))
     ends = nodes.select("doc_id", "node_id", nxt.alias("closed_at"))
-    met = raws.join(ends, ["doc_id", "node_id"])
+    met = raws.join(ends.hint("merge"), ["doc_id", "node_id"])
     flags = F.when(F.col("closed_at").isNull(), F.array_union("flags", F.array(F.lit("INCOMPLETE")))).otherwise(F.col("flags"))
     return met.withColumn("flags", flags).withColumn("status", F.lit("CLOSED"))
 
@@ -124,18 +164,22 @@ def promote(raws: DataFrame, nodes: DataFrame) -> DataFrame:
     """Raw tasks as managed ones: OPEN, with one reference to the section."""
     ref = F.array(F.struct(F.col("node_id"), F.col("section_title"), F.col("page_start"), F.col("page_end"), F.lit("").alias("snippet")))
     own = nodes.select("doc_id", "node_id", F.col("title").alias("section_title"), "page_start", "page_end")
-    return raws.join(own, ["doc_id", "node_id"]).withColumn("source_refs", ref).withColumn("status", F.lit("OPEN")).drop("section_title", "page_start", "page_end")
+    return raws.join(own.hint("merge"), ["doc_id", "node_id"]).withColumn("source_refs", ref).withColumn("status", F.lit("OPEN")).drop("section_title", "page_start", "page_end")
 
 
 def continue_merge(pairs: DataFrame) -> DataFrame:
-    """One row an open task (id, position of its parts in ord): descriptions joined in order, lists united, highest confidence, last continues flag, first mockup."""
+    """One row an open task (id, position of its parts in ord): descriptions joined in order, lists united, known flags, highest confidence, last continues flag, the first part's use_case, first mockup, all references in order."""
     seq = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("short_description", F.lit("")).alias("d"))))
+    refs = F.array_sort(F.collect_list(F.struct("ord", "source_refs")))
+    known = F.array(*[F.lit(f) for f in FLAGS])
     return pairs.groupBy("doc_id", "id").agg(
         F.min_by("title", "ord").alias("title"),
         F.array_join(F.transform(seq, lambda x: x["d"]), " ").alias("short_description"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("acceptance_criteria")))).alias("acceptance_criteria"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS],
+        F.min_by("use_case", "ord").alias("use_case"),
         F.max("confidence").alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"),
+        F.array_sort(F.array_intersect(F.array_distinct(F.flatten(F.collect_list("flags"))), known)).alias("flags"),
         F.max_by("continues_to_next", "ord").alias("continues_to_next"),
-        F.min_by("mockup_prototype", F.when(F.col("mockup_prototype").isNotNull(), F.col("ord"))).alias("mockup_prototype"),
+        F.min_by("mockup_prototype", F.when(F.coalesce("mockup_prototype", F.lit("")) != "", F.col("ord"))).alias("mockup_prototype"),
+        F.flatten(F.filter(F.transform(refs, lambda x: x["source_refs"]), lambda x: x.isNotNull())).alias("source_refs"),
     )

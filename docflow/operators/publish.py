@@ -10,8 +10,8 @@ from docflow.functions import issues as I
 from docflow.operators.review import section_of
 
 # Issue types for each hierarchy, with what stands in for them.
-CONTAINER = {"epic_task": ("Epic", ["Story", "Feature"]), "story_subtask": ("Story", ["Epic", "Task"])}
-CHILD = {"flat": ("Task", ["Story", "Issue"]), "epic_task": ("Task", ["Story", "Issue"]), "story_subtask": ("Sub-task", ["Subtask", "Task"])}
+CONTAINER = {"epic_task": ("Epic", ["Story"]), "story_subtask": ("Story", ["Task"])}
+CHILD = {"flat": ("Task", ["Story", "Bug"]), "epic_task": ("Task", ["Story", "Bug"]), "story_subtask": ("Sub-task", ["Subtask", "Task"])}
 
 
 def containers(tasks: DataFrame) -> DataFrame:
@@ -39,8 +39,12 @@ def payloads(tasks: DataFrame, types: DataFrame, hierarchy: str = "epic_task") -
     return own.unionByName(kids_rows)
 
 
-def as_json(rows: DataFrame, project: str) -> DataFrame:
-    fields = F.struct(F.struct(F.lit(project).alias("key")).alias("project"), "summary", "description", F.struct(F.col("issue_type").alias("name")).alias("issuetype"), "labels")
+def as_json(rows: DataFrame, project: str, keys: DataFrame | None = None) -> DataFrame:
+    """Payloads as JSON. A task under a container names its parent: by the key that creating the container gave (keys: run_id, container_no, key), else by the container's number."""
+    rows = rows.withColumn("_key", F.lit(None).cast("string")) if keys is None else rows.join(keys.select("run_id", "container_no", F.col("key").alias("_key")).hint("merge"), ["run_id", "container_no"], "left")
+    under = (F.col("step") == 2) & F.col("container_no").isNotNull()
+    parent = F.when(under, F.struct(F.coalesce("_key", F.concat(F.lit("#"), F.col("container_no").cast("string"))).alias("key")))
+    fields = F.struct(F.struct(F.lit(project).alias("key")).alias("project"), "summary", "description", F.struct(F.col("issue_type").alias("name")).alias("issuetype"), "labels", parent.alias("parent"))
     return rows.select("run_id", "step", "pos", F.to_json(F.struct(fields.alias("fields"))).alias("payload"))
 
 

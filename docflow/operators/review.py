@@ -44,12 +44,13 @@ def approve_count(tasks: DataFrame, by: str = "run_id") -> DataFrame:
 
 
 def upsert(tasks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tasks with the given fields replaced, updates of unknown ids). A null in updates is a field that wasn't given; the last of several updates isn't defined, so ids must be unique there."""
-    new = updates.select("id", *[F.col(c).alias(f"_{c}") for c in updates.columns if c != "id"])
-    met = tasks.join(new, "id", "left")
-    for c in updates.columns:
-        if c != "id":
-            met = met.withColumn(c, F.coalesce(f"_{c}", c))
+    """(tasks with the given fields replaced, updates of unknown ids). A null in updates is a field that wasn't given, unless its name is in the row's array cleared (if there is one), which sets it to null. Of several updates with one id the last isn't defined, so ids must be unique there."""
+    fields = [c for c in updates.columns if c not in ("id", "cleared")]
+    none = F.array().cast("array<string>")
+    cleared = F.coalesce("cleared", none) if "cleared" in updates.columns else none
+    met = tasks.join(updates.select("id", *[F.col(c).alias(f"_{c}") for c in fields], cleared.alias("_cleared")).hint("merge"), "id", "left")
+    for c in fields:
+        met = met.withColumn(c, F.when(F.array_contains("_cleared", c), F.lit(None)).otherwise(F.coalesce(f"_{c}", c)))
     return met.select(tasks.columns), updates.join(tasks.select("id"), "id", "left_anti")
 
 
@@ -65,6 +66,3 @@ def insert(tasks: DataFrame, new: DataFrame) -> DataFrame:
 def delete_run(tasks: DataFrame, gone: DataFrame) -> DataFrame:
     return tasks.join(gone.select("run_id").distinct(), "run_id", "left_anti")
 
-
-def union_recovered(tasks: DataFrame, recovered: DataFrame) -> DataFrame:
-    return tasks.unionByName(recovered, allowMissingColumns=True)

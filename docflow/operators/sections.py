@@ -26,7 +26,7 @@ def markdown_nodes(docs: DataFrame) -> DataFrame:
     lines = outside_fences(markdown_lines(docs)).withColumn("level", F.when(~F.col("fenced"), T.heading_level(F.col("line"))).otherwise(F.lit(0)))
     runs = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(tree.in_order())).where("section > 0")
     per = runs.groupBy("doc_id", "section").agg(F.min_by("level", "pos").alias("level"), F.min_by("line", "pos").alias("_head"), F.min("pos").alias("line_no"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    return per.select("doc_id", F.col("section").alias("pos"), "level", T.heading_title(F.col("_head")).alias("title"), (F.col("line_no") + 1).alias("line_num"), F.trim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
+    return per.select("doc_id", F.col("section").alias("pos"), "level", T.heading_title(F.col("_head")).alias("title"), (F.col("line_no") + 1).alias("line_num"), T.stripped(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
 
 
 def markdown_tree(docs: DataFrame, least_tokens: int = 0) -> DataFrame:
@@ -41,7 +41,7 @@ def section_runs(elements: DataFrame, most_level: int = 3) -> DataFrame:
     """Sections of elements (doc_id, pos, type, level, page, id, content): a heading of a low level opens one; what comes first is "Preamble"."""
     opens = (F.col("type") == "heading") & (F.col("level") <= most_level)
     rows = elements.withColumn("_opens", opens).withColumn("section", F.sum(opens.cast("int")).over(tree.in_order()))
-    said = F.when((F.col("type") != "heading") & (F.trim(F.coalesce("content", F.lit(""))) != ""), F.struct("pos", "content"))
+    said = F.when((F.col("type") != "heading") & (T.stripped(F.coalesce("content", F.lit(""))) != ""), F.struct("pos", "content"))
     per = rows.groupBy("doc_id", "section").agg(
         F.coalesce(F.min_by(F.when(F.col("_opens"), F.col("content")), "pos"), F.lit("Preamble")).alias("heading"),
         F.min_by("page", "pos").alias("page_start"),
@@ -57,7 +57,7 @@ def skip_sections(sections: DataFrame, skip: list[str], heading: str = "heading"
     bad = F.lit(False)
     for word in skip:
         bad = bad | F.contains(F.lower(F.coalesce(heading, F.lit(""))), F.lit(word.lower()))
-    return sections.where(~bad & (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    return sections.where(~bad & (T.stripped(F.coalesce(text, F.lit(""))) != ""))
 
 
 def flat_elements(raw: DataFrame, depth: int = 6) -> DataFrame:

@@ -17,13 +17,13 @@ MODAL = r"(?i)(?:^|[^\p{L}\p{N}])(?:must|shall|should|will|needs? to|has to|have
 
 
 def long_enough(sections: DataFrame, least: int = 50) -> DataFrame:
-    return sections.where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least)
+    return sections.where(F.length(T.stripped(F.coalesce("text", F.lit("")))) >= least)
 
 
 def too_short(sections: DataFrame, least: int = 50) -> DataFrame:
     """Audit rows for what long_enough leaves out."""
-    gone = sections.where(F.length(F.trim(F.coalesce("text", F.lit("")))) < least)
-    return gone.select("doc_id", "node_id", F.lit("SKIPPED_SHORT_SECTION").alias("action"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("n_chars"))
+    gone = sections.where(F.length(T.stripped(F.coalesce("text", F.lit("")))) < least)
+    return gone.select("doc_id", "node_id", F.lit("SKIPPED_SHORT_SECTION").alias("action"), F.length(T.stripped(F.coalesce("text", F.lit("")))).alias("n_chars"))
 
 
 def cut_text(sections: DataFrame, most: int = 16000, notice: bool = True) -> DataFrame:
@@ -66,7 +66,7 @@ def read_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = answers.withColumn("_j", body).withColumn("_a", F.from_json("_j", "array<string>"))
     listed = F.startswith(F.col("_j"), F.lit("[")) & F.col("_a").isNotNull()
     rows = read.where(listed).select("doc_id", "node_id", F.posexplode("_a").alias("ord", "_s")).withColumn("t", F.from_json("_s", schemas.RAW_TASK))
-    valid = F.col("t").isNotNull() & F.col("t.title").isNotNull() & F.col("t.short_description").isNotNull()
+    valid = F.col("t").isNotNull() & F.col("t.title").isNotNull() & F.col("t.short_description").isNotNull() & F.col("t.confidence").between(0.0, 1.0)
     good = rows.where(valid).select("doc_id", "node_id", "ord", "t.*")
     bad = rows.where(~F.coalesce(valid, F.lit(False))).select("doc_id", "node_id", F.lit("TASK_PARSE_ERROR").alias("action"))
     worse = read.where(~F.coalesce(listed, F.lit(False))).select("doc_id", "node_id", F.lit("EXTRACTION_ERROR").alias("action"))
@@ -83,11 +83,27 @@ def prompt(template: str, hierarchies: dict[str, str]) -> Column:
 def extract_rules(sections: DataFrame, verbs: tuple[str, ...] = VERBS) -> DataFrame:
     """Raw tasks by rule: sentences that begin with a verb of the list or hold a modal verb; lines of criteria below a text go to its tasks.
 
-    A title is made of at most 80 characters; confidence is 0.9 with a leading verb and 0.5 else.
+    A title is made of at most 80 characters; confidence is 0.9 with a leading verb and 0.5 else. Lines that name a field
+    (use case, constraints, deliverables, mockup) fill it in every task of their section and are no sentences of their own.
     """
+    named = {
+        "use_case": r"(?i)^\s*use cases?\s*:\s*",
+        "considerations_constraints": r"(?i)^\s*(?:considerations?|constraints?)\s*:\s*",
+        "deliverables": r"(?i)^\s*deliverables?\s*:\s*",
+        "mockup_prototype": r"(?i)^\s*(?:mock-?ups?|prototypes?)\s*:\s*",
+    }
+    lines = T.text_rows(F.col("text"))
+
+    def field(pattern: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(pattern))), lambda x: T.stripped(F.regexp_replace(x, pattern, "")))
+
+    said = {k: field(p) for k, p in named.items()}
+    said = {k: F.nullif(F.get(c, F.lit(0)), F.lit("")) if k in ("use_case", "mockup_prototype") else F.when(F.size(c) > 0, F.filter(c, lambda x: x != "")) for k, c in said.items()}
+    any_field = "|".join(p.removeprefix("(?i)") for p in named.values())
+    prose = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit("(?i)" + any_field))), "\n")
     verb = r"(?i)^(?:" + "|".join(verbs) + r")(?:[^\p{L}\p{N}]|$)"
     criteria = F.filter(T.text_rows(F.col("text")), lambda x: F.startswith(F.ltrim(x), F.lit("[ ] ")))
-    rows = sections.select("doc_id", "node_id", "pos", criteria.alias("c"), F.posexplode(T.sentences(F.col("text"))).alias("ord", "s"))
+    rows = sections.select("doc_id", "node_id", "pos", criteria.alias("c"), *[c.alias(k) for k, c in said.items()], F.posexplode(T.sentences(prose)).alias("ord", "s"))
     hits = rows.where(F.regexp_like("s", F.lit(verb)) | F.regexp_like("s", F.lit(MODAL)))
     led = F.regexp_like("s", F.lit(verb))
     return hits.select(
@@ -97,10 +113,11 @@ def extract_rules(sections: DataFrame, verbs: tuple[str, ...] = VERBS) -> DataFr
         "ord",
         F.substring("s", 1, 80).alias("title"),
         F.col("s").alias("short_description"),
-        F.when(F.size("c") > 0, F.transform("c", lambda x: F.trim(x))).alias("acceptance_criteria"),
+        F.when(F.size("c") > 0, F.transform("c", T.stripped)).alias("acceptance_criteria"),
+        *named,
         F.when(led, 0.9).otherwise(0.5).alias("confidence"),
         F.when(F.size("c") > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("NO_ACCEPTANCE_CRITERIA"))).alias("flags"),
-        F.endswith(F.rtrim("s"), F.lit("...")).alias("continues_to_next"),
+        F.endswith(T.stripped(F.col("s")), F.lit("…")).alias("continues_to_next"),
     )
 
 

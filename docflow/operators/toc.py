@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def best_toc_run(pages: DataFrame, flag: str = "is_toc") -> DataFrame:
 
 def context_pages(pages: DataFrame, runs: DataFrame, most: int = 5) -> DataFrame:
     """The pages after a document's contents."""
-    return pages.join(runs, "doc_id").where((F.col("page_no") > F.col("run_end")) & (F.col("page_no") <= F.col("run_end") + most)).select(*pages.columns)
+    return pages.join(runs.hint("merge"), "doc_id").where((F.col("page_no") > F.col("run_end")) & (F.col("page_no") <= F.col("run_end") + most)).select(*pages.columns)
 
 
 def toc_items(pages: DataFrame) -> DataFrame:
@@ -44,6 +46,24 @@ def toc_items(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", pos.alias("pos"), T.toc_line(F.col("line")).alias("x")).select("doc_id", "pos", "x.*").where("title <> ''")
 
 
+def verify_sample(items: DataFrame, most: int | None = 5, seed: str = "") -> DataFrame:
+    """At most so many items of each document, drawn by a hash of document, place and seed and so alike in every run; all without a bound."""
+    if most is None:
+        return items
+    key = F.sha2(F.concat_ws("|", "doc_id", F.col("pos").cast("string"), F.lit(seed)), 256)
+    return items.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(key))).where(F.col("_n") <= most).drop("_n")
+
+
+def drop_unplaced(items: DataFrame) -> DataFrame:
+    """Items that have a page."""
+    return items.where(F.col("physical_index").isNotNull())
+
+
+def extend_items(items: DataFrame, more: DataFrame) -> DataFrame:
+    """items and those found later; what both have, as a shared page gives it, counts once."""
+    return items.unionByName(more).dropDuplicates(["doc_id", "title", "physical_index"])
+
+
 def verify(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items with found: whether the page that an item names holds its title."""
     own = pages.select("doc_id", F.col("page_no").alias("physical_index"), F.col("text").alias("_text"))
@@ -65,16 +85,23 @@ def accuracy(checked: DataFrame, n_pages: DataFrame) -> DataFrame:
 
 
 def _places(items: DataFrame, pages: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, pos, page_no, *more): the pages that hold an item's title. Both sides are squeezed once, before they meet."""
-    own = items.select("doc_id", "pos", T.squeezed(F.col("title")).alias("_t"), *more).where("_t <> ''")
-    text = pages.select("doc_id", "page_no", T.squeezed(F.col("text")).alias("_s"))
-    return own.join(text, "doc_id").where(F.contains("_s", "_t")).drop("_s", "_t")
+    """(doc_id, pos, page_no, *more): the pages that hold an item's title, white space and case aside.
+
+    A page meets its document's titles as one array, so it stays one row and its text isn't copied for each item; with
+    prev_page and next_page in more, only titles whose bracket holds the page are looked for.
+    """
+    own = items.select("doc_id", F.struct("pos", T.squeezed(F.col("title")).alias("t"), *more).alias("x")).where("x.t <> ''")
+    titles = own.groupBy("doc_id").agg(F.collect_list("x").alias("_titles"))
+    text = pages.select("doc_id", "page_no", T.squeezed(F.col("text")).alias("_s")).join(titles.hint("merge"), "doc_id")
+    near = (lambda x: F.col("page_no").between(x["prev_page"], x["next_page"])) if more else (lambda x: F.lit(True))
+    held = F.filter("_titles", lambda x: near(x) & F.contains("_s", x["t"]))
+    return text.select("doc_id", "page_no", F.explode(held).alias("x")).select("doc_id", "page_no", "x.pos", *[f"x.{c}" for c in more])
 
 
 def locate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items with physical_index: the first page that holds the title, or null."""
     first = _places(items, pages).groupBy("doc_id", "pos").agg(F.min("page_no").alias("physical_index"))
-    return items.drop("physical_index").join(first, ["doc_id", "pos"], "left")
+    return items.drop("physical_index").join(first.hint("merge"), ["doc_id", "pos"], "left")
 
 
 def neighbours(items: DataFrame, ok: str, first_page: int = 0) -> DataFrame:
@@ -86,16 +113,23 @@ def neighbours(items: DataFrame, ok: str, first_page: int = 0) -> DataFrame:
 def bracketed_repair(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items that aren't right are looked for on the pages between their right neighbours. items has found and n_pages."""
     near = neighbours(items, "found")
-    met = _places(near.where("not found"), pages, "prev_page", "next_page").where(F.col("page_no").between(F.col("prev_page"), F.col("next_page")))
+    met = _places(near.where("not found"), pages, "prev_page", "next_page")
     fixed = met.groupBy("doc_id", "pos").agg(F.min("page_no").alias("_page"))
-    out = near.join(fixed, ["doc_id", "pos"], "left")
+    out = near.join(fixed.hint("merge"), ["doc_id", "pos"], "left")
     return out.withColumn("physical_index", F.coalesce("_page", "physical_index")).withColumn("found", F.col("found") | F.col("_page").isNotNull()).drop("_page", "prev_page", "next_page")
 
 
 def repair(items: DataFrame, pages: DataFrame, rounds: int = 3) -> DataFrame:
-    """bracketed_repair again and again; the right neighbours of one round narrow the next."""
+    """bracketed_repair again and again, until a round finds no more or for so many rounds; the right neighbours of one round narrow the next."""
+    items = stored(items, "to_repair")
+    wrong = items.where("not found").count()
     for _ in range(rounds):
-        items = bracketed_repair(items, pages)
+        if not wrong:
+            break
+        items = stored(bracketed_repair(items, pages), "repaired")
+        before, wrong = wrong, items.where("not found").count()
+        if wrong == before:
+            break
     return items
 
 
@@ -121,7 +155,7 @@ def completeness(pages: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, completeness): items read for each line that there was."""
     lines = pages.groupBy("doc_id").agg(F.sum(F.size(T.lines_of(F.col("text")))).alias("n_lines"))
     read = items.groupBy("doc_id").agg(F.count("*").alias("n_items"))
-    return lines.join(read, "doc_id", "left").select("doc_id", F.when(F.col("n_lines") > 0, F.coalesce("n_items", F.lit(0)) / F.col("n_lines")).otherwise(F.lit(1.0)).alias("completeness"))
+    return lines.join(read.hint("merge"), "doc_id", "left").select("doc_id", F.when(F.col("n_lines") > 0, F.coalesce("n_items", F.lit(0)) / F.col("n_lines")).otherwise(F.lit(1.0)).alias("completeness"))
 
 
 def page_headings(pages: DataFrame, most_words: int = 12) -> DataFrame:
@@ -141,33 +175,50 @@ def best_mode(scored: DataFrame) -> DataFrame:
     return best.select("doc_id", F.when(F.col("_r") < 3, F.col("mode")).otherwise(F.lit(0)).alias("mode"), (F.col("_r") == 2).alias("to_repair"))
 
 
-def ladder(modes: list[DataFrame], body: list[DataFrame], n_pages: DataFrame) -> DataFrame:
-    """Items of the first mode that is above 0.6, repaired for up to three rounds where it is below 1; of the last mode whatever it has. body: the pages of each mode."""
+def checked_modes(modes: list[DataFrame], body: list[DataFrame], n_pages: DataFrame) -> list[DataFrame]:
+    """The placed items of each mode, with found: whether their page holds them. body: the pages of each mode."""
     own = ["doc_id", "pos", "structure", "title", "physical_index", "n_pages", "found"]
-    checked = [stored(verify(truncate_pages(m.join(n_pages, "doc_id")).where("physical_index is not null"), b).select(*own), "checked") for m, b in zip(modes, body, strict=True)]
-    scored = [accuracy(c, n_pages).withColumn("mode", F.lit(k)) for k, c in enumerate(checked, 1)]
-    all_scored = scored[0]
-    for s in scored[1:]:
-        all_scored = all_scored.unionByName(s)
-    chosen = all_scored.where((F.col("accuracy") > 0.6) | (F.col("mode") == len(modes))).groupBy("doc_id").agg(F.min("mode").alias("mode"), F.min_by("accuracy", "mode").alias("accuracy"))
+    return [stored(verify(drop_unplaced(truncate_pages(m.join(n_pages.hint("merge"), "doc_id"))), b).select(*own), "checked") for m, b in zip(modes, body, strict=True)]
+
+
+def mode_scores(checked: list[DataFrame], n_pages: DataFrame) -> DataFrame:
+    """(doc_id, mode, accuracy) of every mode that has items, modes numbered from 1."""
+    return functools.reduce(DataFrame.unionByName, (accuracy(c, n_pages).withColumn("mode", F.lit(k)) for k, c in enumerate(checked, 1)))
+
+
+def ladder(checked: list[DataFrame], body: list[DataFrame], n_pages: DataFrame) -> DataFrame:
+    """Items of the first mode that is above 0.6, repaired for up to three rounds where it is below 1; of the last mode whatever it has."""
+    chosen = mode_scores(checked, n_pages).where((F.col("accuracy") > 0.6) | (F.col("mode") == len(checked))).groupBy("doc_id").agg(F.min("mode").alias("mode"), F.min_by("accuracy", "mode").alias("accuracy"))
     chosen = stored(chosen.select("doc_id", "mode", ((F.col("accuracy") > 0.6) & (F.col("accuracy") < 1)).alias("to_repair")), "modes")
-    out = None
+    out = []
     for k, (c, b) in enumerate(zip(checked, body, strict=True), 1):
-        mine = c.join(chosen.where(F.col("mode") == k), "doc_id").drop("mode")
-        fixed = mine.where("to_repair").drop("to_repair")
-        for _ in range(3):
-            fixed = stored(bracketed_repair(fixed, b), "repaired")
-        both = mine.where("not to_repair").drop("to_repair").unionByName(fixed)
-        out = both if out is None else out.unionByName(both)
-    return out.select("doc_id", "pos", "structure", "title", F.col("physical_index").cast("int").alias("physical_index"))
+        mine = c.join(chosen.where(F.col("mode") == k).hint("merge"), "doc_id").drop("mode")
+        out += [mine.where("not to_repair").drop("to_repair"), repair(mine.where("to_repair").drop("to_repair"), b)]
+    return functools.reduce(DataFrame.unionByName, out).select("doc_id", "pos", "structure", "title", F.col("physical_index").cast("int").alias("physical_index"))
+
+
+def toc_modes(pages: DataFrame, scan: int = 20, least_score: float = 0.5) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """(items of each mode, the pages of each mode, n_pages): contents with printed pages shifted by the document's offset, contents placed by their titles, and headings on the pages themselves."""
+    n_pages = stored(pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("n_pages")), "n_pages")
+    early = pages.where(F.col("page_no") <= scan)  # a run may go on behind the first pages; those are only scored for documents that have one
+    late = pages.where(F.col("page_no") > scan).join(early.where(T.toc_score(F.col("text")) >= least_score).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    flagged = early.unionByName(late).select("doc_id", "page_no", (T.toc_score(F.col("text")) >= least_score).alias("is_toc"))
+    run = stored(first_toc_run(flagged, scan), "runs")
+    marked = stored(pages.join(run.hint("merge"), "doc_id", "left"), "marked")
+    within = F.coalesce(F.col("page_no").between(F.col("run_start"), F.col("run_end")), F.lit(False))
+    inside, outside = (marked.where(c).select(*pages.columns) for c in (within, ~within))
+    body = marked.where("run_end is null or page_no > run_end").select(*pages.columns)
+    read = stored(locate(stored(toc_items(inside), "toc_items"), body), "located")
+    printed = read.join(page_offset(read).hint("merge"), "doc_id").withColumn("physical_index", F.coalesce(F.col("page") + F.col("page_offset"), "physical_index"))
+    return [printed, read, page_headings(outside)], [body, body, outside], n_pages
 
 
-def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
+def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000, heads: DataFrame | None = None) -> DataFrame:
     """nodes (doc_id, ord, above, structure, title, page_start, page_end; ord an array of positions from the top, above the ord of the parent) with split_large level by level."""
     out, level = nodes, nodes
     while True:
         named = level.withColumn("node_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), "."))
-        kids = split_large(named, pages, most_pages, most_tokens)
+        kids = split_large(named, pages, most_pages, most_tokens, heads)
         known = out.select("doc_id", T.squeezed(F.col("title")).alias("_t"), F.col("page_start").alias("physical_index"))
         kids = kids.withColumn("_t", T.squeezed(F.col("title"))).join(known, ["doc_id", "_t", "physical_index"], "left_anti").drop("_t")
         group = W.partitionBy("doc_id", "parent_id").orderBy("pos")
@@ -189,33 +240,27 @@ def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_
         out = stored(shorter.unionByName(level), "levels")
 
 
-def document_tree(pages: DataFrame, scan: int = 20, least_score: float = 0.5) -> DataFrame:
+def document_tree(pages: DataFrame, scan: int = 20, least_score: float = 0.5, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
     """Nodes of every document: contents found, read, placed, checked, repaired, ranged, and large nodes split; a document without any gets a single node "Document"."""
-    n_pages = pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("n_pages"))
-    run = first_toc_run(pages.withColumn("is_toc", T.toc_score(F.col("text")) >= least_score), scan)
-    inside = pages.join(run, "doc_id").where("page_no between run_start and run_end").select(*pages.columns)
-    body = pages.join(run, "doc_id", "left").where("run_end is null or page_no > run_end").select(*pages.columns)
-    read = stored(locate(stored(toc_items(inside), "toc_items"), body), "located")
-    printed = read.join(page_offset(read), "doc_id").withColumn("physical_index", F.coalesce(F.col("page") + F.col("page_offset"), "physical_index"))
-    outside = pages.join(run, "doc_id", "left").where("run_end is null or page_no not between run_start and run_end").select(*pages.columns)
-    items = stored(ladder([printed, read, page_headings(outside)], [body, body, outside], n_pages), "items")
-    rest = n_pages.join(items.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("pos"), F.lit("1").alias("structure"), F.lit("Document").alias("title"), F.lit(1).alias("physical_index"))
-    whole = starts_page(tree.preface_rows(items.unionByName(rest)), pages).join(n_pages, "doc_id")
+    modes, body, n_pages = toc_modes(pages, scan, least_score)
+    items = stored(ladder(checked_modes(modes, body, n_pages), body, n_pages), "items")
+    rest = n_pages.join(items.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("pos"), F.lit("1").alias("structure"), F.lit("Document").alias("title"), F.lit(1).alias("physical_index"))
+    whole = stored(starts_page(tree.preface_rows(items.unionByName(rest)), pages).join(n_pages.hint("merge"), "doc_id"), "whole")
     ranged = tree.tree_parents(tree.assign_ranges(whole))
     tops = ranged.select("doc_id", F.array("pos").alias("ord"), F.when(F.col("parent_pos").isNotNull(), F.array("parent_pos")).alias("above"), "structure", "title", "page_start", "page_end")
-    nodes = split_levels(stored(tops, "ranged"), pages)
+    nodes = split_levels(stored(tops, "ranged"), pages, most_pages, most_tokens, stored(page_headings(body[-1]), "headings"))
     order = W.partitionBy("doc_id").orderBy("ord")
     first = F.min(F.get("ord", F.lit(0))).over(W.partitionBy("doc_id"))
     nodes = stored(tree.node_numbering(nodes.withColumn("pos", (F.row_number().over(order) - 1 + first).cast("int"))), "numbered")
     ids = nodes.select("doc_id", F.col("ord").alias("above"), F.col("node_id").alias("parent_id"))
-    return nodes.join(ids, ["doc_id", "above"], "left").select("doc_id", "node_id", "parent_id", "pos", "structure", "title", "page_start", "page_end")
+    return nodes.join(ids.hint("merge"), ["doc_id", "above"], "left").select("doc_id", "node_id", "parent_id", "pos", "structure", "title", "page_start", "page_end")
 
 
-def split_large(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
-    """Children for nodes with both many pages and many tokens, read from the headings on their pages; a first child that repeats the title is dropped."""
+def split_large(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_tokens: int = 20000, heads: DataFrame | None = None) -> DataFrame:
+    """Children for nodes with both many pages and many tokens, from the headings on their pages (heads, as page_headings gives them, if not all pages are to be read for them); a first child that repeats the title is dropped."""
     tokens = nodes.select("doc_id", "node_id", F.explode(F.sequence("page_start", "page_end")).alias("page_no")).join(pages.select("doc_id", "page_no", "n_tokens").hint("merge"), ["doc_id", "page_no"]).groupBy("doc_id", "node_id").agg(F.sum("n_tokens").alias("branch"))
-    large = nodes.join(tokens, ["doc_id", "node_id"]).where((F.col("page_end") - F.col("page_start") > most_pages) & (F.col("branch") >= most_tokens))
-    heads = page_headings(pages)
-    met = large.select("doc_id", "node_id", F.col("title").alias("_above"), "page_start", "page_end").join(heads, "doc_id").where("physical_index between page_start and page_end")
+    large = nodes.join(tokens.hint("merge"), ["doc_id", "node_id"]).where((F.col("page_end") - F.col("page_start") > most_pages) & (F.col("branch") >= most_tokens))
+    heads = page_headings(pages) if heads is None else heads
+    met = large.select("doc_id", "node_id", F.col("title").alias("_above"), "page_start", "page_end").join(heads.hint("merge"), "doc_id").where("physical_index between page_start and page_end")
     first = F.row_number().over(W.partitionBy("doc_id", "node_id").orderBy("physical_index", "pos"))
     return met.withColumn("_n", first).where((F.col("_n") > 1) | (T.squeezed(F.col("title")) != T.squeezed(F.col("_above")))).select("doc_id", F.col("node_id").alias("parent_id"), "structure", "title", "physical_index", "pos")

@@ -34,6 +34,24 @@ def flatten_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+def nested_nodes(trees: DataFrame, children: str = "nodes", depth: int = 12) -> DataFrame:
+    """Flat pre-order nodes (doc_id, pos, parent_pos, level, and the fields of a node) of trees (doc_id, nodes: an array of structs that hold such an array again)."""
+    level = trees.select("doc_id", F.posexplode(children).alias("_i", "n")).select("doc_id", F.array("_i").alias("_path"), "n")
+    found = None
+    for _ in range(depth):
+        fields = level.schema["n"].dataType.names
+        own = level.select("doc_id", "_path", *[F.col(f"n.`{f}`").alias(f) for f in fields if f != children])
+        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+        if children not in fields:
+            break
+        level = level.select("doc_id", "_path", F.posexplode(f"n.`{children}`").alias("_i", "k")).select("doc_id", F.concat("_path", F.array("_i")).alias("_path"), F.col("k").alias("n"))
+    order = W.partitionBy("doc_id").orderBy("_path")
+    rows = found.withColumn("pos", F.row_number().over(order)).withColumn("level", F.size("_path"))
+    ups = rows.select("doc_id", F.col("_path").alias("_up"), F.col("pos").alias("parent_pos"))
+    rows = rows.withColumn("_up", F.slice("_path", 1, F.size("_path") - 1))
+    return rows.join(ups.hint("merge"), ["doc_id", "_up"], "left").drop("_path", "_up")
+
+
 def drop_children(nodes: DataFrame) -> DataFrame:
     return nodes.drop("nodes")
 
@@ -75,7 +93,7 @@ def parents(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
     pos = F.greatest(*[F.when(F.col("level") > k, c) for k, c in enumerate(lasts, 1)], F.lit(None))
     at = nodes.withColumn("_parent_pos", pos)
     ids = nodes.select("doc_id", F.col("pos").alias("_parent_pos"), F.col("node_id").alias("parent_id"))
-    return at.join(ids, ["doc_id", "_parent_pos"], "left").drop("_parent_pos")
+    return at.join(ids.hint("merge"), ["doc_id", "_parent_pos"], "left").drop("_parent_pos")
 
 
 def subtree_ends(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
@@ -90,7 +108,7 @@ def subtree_tokens(nodes: DataFrame) -> DataFrame:
     """branch_tokens: tokens of the node and everything below it, by differences of a running sum."""
     ends = subtree_ends(nodes).withColumn("_sum", F.sum("n_tokens").over(in_order()))
     sums = ends.select("doc_id", F.col("pos").alias("subtree_end"), F.col("_sum").alias("_at_end"))
-    return ends.join(sums, ["doc_id", "subtree_end"]).withColumn("branch_tokens", F.col("_at_end") - F.col("_sum") + F.col("n_tokens")).drop("_sum", "_at_end")
+    return ends.join(sums.hint("merge"), ["doc_id", "subtree_end"]).withColumn("branch_tokens", F.col("_at_end") - F.col("_sum") + F.col("n_tokens")).drop("_sum", "_at_end")
 
 
 def tree_thinning(nodes: DataFrame, least: int) -> DataFrame:
@@ -164,6 +182,11 @@ def node_summary(nodes: DataFrame, least_tokens: int = 200, keep: int = 2) -> Da
     return marked.withColumn("prefix_summary", F.when(F.col("_inner"), short)).withColumn("summary", F.when(F.col("_inner").isNull(), short)).drop("_inner")
 
 
+def token_totals(pages: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_tokens)."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def token_limit_report(nodes: DataFrame, most: int = 110000) -> DataFrame:
     return nodes.where(F.col("n_tokens") > most)
 

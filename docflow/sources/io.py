@@ -15,15 +15,22 @@ from docflow.functions.text import token_count
 _OWN_DIR: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Only a local session (tests) may go without."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="docflow-"))
         at = _OWN_DIR[0]
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share and read again."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,9 +43,10 @@ def scan_pages(docs: DataFrame, lines_a_page: int = 5) -> DataFrame:
     return rows.select("doc_id", (F.col("_i") + 1).alias("page_no"), "text", token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content): a file a row, named without folder and ending."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.col("value").alias("content"))
+def read_markdown(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(doc_id, content): a file a row, named without folder and ending; or by the value of its folder's key (folder=...)."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1) if folder is None else F.col(folder).cast("string")
+    return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("content"))
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -50,16 +58,16 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 SESSION = "run_id string, filename string, llm_mode string, created_at string"
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session records, the newest first; files that can't be read are left out."""
-    rows = spark.read.schema(f"{SESSION}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+def read_sessions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Session records, one a file (or a line, without multi_line), the newest first; what can't be read is left out."""
+    rows = spark.read.schema(f"{SESSION}, _bad string").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad is null and run_id is not null").drop("_bad").orderBy(F.desc("created_at"))
 
 
-def read_run_output(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of written runs; a missing, empty or broken file gives none."""
+def read_run_output(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Tasks of written runs, a run or a part of one a line (or a file, with multi_line); a missing, empty or broken file gives none."""
     shape = f"run_id string, tasks array<{schemas.TASK.simpleString()}>, _bad string"
-    rows = spark.read.schema(shape).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("ignoreMissingFiles", True).json(path)
+    rows = spark.read.schema(shape).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_bad").option("ignoreMissingFiles", True).json(path)
     return rows.where("_bad is null").select("run_id", F.explode("tasks").alias("t")).select("run_id", "t.*")
 
 
@@ -68,14 +76,27 @@ def unindexed(requested: DataFrame, nodes: DataFrame) -> DataFrame:
     return requested.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def write_run_output(tasks: DataFrame, report: DataFrame, path: str) -> None:
-    """One JSON row a run: its tasks and coverage, under run_id=... folders."""
-    own = tasks.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("id", *[c for c in tasks.columns if c not in ("run_id", "id")])]))).alias("tasks"))
-    own.join(report, "run_id", "left").write.mode("overwrite").partitionBy("run_id").json(path)
+def write_run_output(tasks: DataFrame, report: DataFrame, path: str, most: int = 10_000) -> None:
+    """JSON rows under run_id=... folders: the tasks of a run, in parts of about most at most, with its coverage."""
+    parts = tasks.groupBy("run_id").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = tasks.join(parts.hint("merge"), "run_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
+    own = dealt.groupBy("run_id", "part").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("id", *[c for c in tasks.columns if c not in ("run_id", "id")])]))).alias("tasks"))
+    own.join(report.hint("merge"), "run_id", "left").write.mode("overwrite").partitionBy("run_id").json(path)
+
+
+def write_tree(nodes: DataFrame, path: str, buckets: int = 256) -> None:
+    """Trees of documents, in folders by a hash of doc_id so that one document's is found without reading all; in order inside."""
+    rows = nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id", "pos").write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def write_tree(nodes: DataFrame, path: str) -> None:
-    nodes.repartition("doc_id").sortWithinPartitions("doc_id", "pos").write.mode("append").parquet(path)
+def read_tree(spark: SparkSession, path: str, doc_id: str | None = None, buckets: int = 256) -> DataFrame:
+    """Written trees; those of one document from its folder alone."""
+    rows = spark.read.parquet(path)
+    if doc_id is not None:
+        bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id)), F.lit(buckets)).cast("int")).first()[0]
+        rows = rows.where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id))
+    return rows.drop("bucket")
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow import schemas
-from docflow.operators.lifecycle import RESULT, Lifecycle
+from docflow.operators.lifecycle import RESULT, Lifecycle, _raw_columns, frame_of
 
 END = "__end__"
 
@@ -26,9 +26,28 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
     return kept.groupBy(w.alias("w"), "event").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event", "n")
 
 
-def run_status_stream(events: DataFrame) -> DataFrame:
-    """The latest event of each run; for update mode."""
-    return events.groupBy("run_id").agg(F.max_by("event", "ts").alias("event"), F.max("ts").alias("ts"))
+def run_status_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The latest event of each run and day, for update mode; a day's state goes when the watermark has passed it."""
+    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    day = F.window("ts", "1 day")
+    return kept.groupBy("run_id", day.alias("d")).agg(F.max_by("event", "ts").alias("event"), F.max("ts").alias("ts")).select("run_id", F.col("d.start").alias("day"), "event", "ts")
+
+
+def token_usage_stream(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Tokens of calls (ts, instance, model, input_tokens, output_tokens) by tumbling window, instance and model."""
+    kept = calls.withWatermark("ts", late) if calls.isStreaming else calls
+    w = F.window("ts", window)
+    per = kept.groupBy(w.alias("w"), "instance", "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return per.select(F.col("w.start").alias("window_start"), "instance", "model", "input_tokens", "output_tokens")
+
+
+def step_summary_stream(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Completed steps (ts, run_id, event, payload) by tumbling window, run and step."""
+    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    p = F.from_json("payload", "step string, seconds double, items long")
+    rows = kept.where("event = 'step.completed'").select("ts", "run_id", p.alias("p"))
+    per = rows.groupBy(F.window("ts", window).alias("w"), "run_id", F.col("p.step").alias("step")).agg(F.count("*").alias("n"), F.sum("p.seconds").alias("seconds"), F.sum("p.items").alias("items"))
+    return per.select(F.col("w.start").alias("window_start"), "run_id", "step", "n", "seconds", "items")
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str):
@@ -71,9 +90,6 @@ def lifecycle_stream(raws: DataFrame) -> DataFrame:
             state.update((json.dumps({"open": life.open, "held": held}),))
         elif state.exists:
             state.remove()
-        frame = pd.DataFrame(out, columns=["task_id", "title", "short_description", "acceptance_criteria", "confidence", "flags", "status", "opened_at", "closed_at", "node_ids"])
-        frame.insert(0, "doc_id", key[0])
-        yield frame
+        yield frame_of(key[0], out)
 
-    rows = raws.select("doc_id", "node_id", "pos", "ord", "id", "title", "short_description", "acceptance_criteria", "confidence", "flags", "continues_to_next")
-    return rows.groupBy("doc_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return raws.select(*_raw_columns(raws)).groupBy("doc_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)

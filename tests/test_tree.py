@@ -103,7 +103,7 @@ def test_queries_over_whole_tables(spark, tmp_path):
     docs = [(i, "src", f"{i} Heading {'abcdefghij'[i % 10]}x\n" + text, "en") for i in range(60)]
     spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, f"the item {i} must be done") for i in range(200)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = Q.QUERIES["split_whole_books"](spark, str(tmp_path)).collect()
-    assert {r.physical_index for r in rows} == set(range(1, 61)) and any(r.title == "Opening heading" for r in rows)
+    rows = Q.QUERIES["split_large_nodes"](spark, str(tmp_path)).collect()
+    assert {r.physical_index for r in rows} == set(range(1, 62)) and any(r.title == "Opening heading" for r in rows)
     got = Q.QUERIES["run_eval"](spark, str(tmp_path)).collect()
     assert len({r.section for r in got}) == 10
