@@ -202,7 +202,10 @@ def token_totals(spark, d):
     return N.token_totals(v.pages(spark, d))
 
 
-@query("pack_by_tokens")
+@query("pack_by_tokens", """WITH RECURSIVE p AS (SELECT doc_id, page_no, n_tokens AS n FROM v_pages), b AS (SELECT doc_id, CASE WHEN sum(n) <= 400 THEN sum(n) ELSE ceil((sum(n) / ceil(sum(n) / 400.0) + 400) / 2) END AS budget FROM p GROUP BY doc_id),
+  r AS (SELECT doc_id, page_no, 0 AS g, n AS size, n AS own, false AS cut FROM p WHERE page_no = 1 UNION ALL
+    SELECT p.doc_id, p.page_no, r.g + CASE WHEN r.size + p.n > budget THEN 1 ELSE 0 END, CASE WHEN r.size + p.n > budget THEN r.own + p.n ELSE r.size + p.n END, p.n, r.size + p.n > budget FROM r JOIN p ON p.doc_id = r.doc_id AND p.page_no = r.page_no + 1 JOIN b ON b.doc_id = p.doc_id)
+  SELECT doc_id, g AS group_no, page_no::INT AS page_no FROM r UNION ALL SELECT doc_id, g, page_no::INT - 1 FROM r WHERE cut""")
 def pack_by_tokens(spark, d):
     return N.pack_pages(v.pages(spark, d), 400)
 
@@ -306,10 +309,18 @@ def toc_page_locate(spark, d):
     return O.locate(v.toc(spark, d), v.book_pages(spark, d)).select("doc_id", "pos", "physical_index")
 
 
-@query("bracketed_repair", f"""WITH w AS (SELECT *, coalesce(last_value(CASE WHEN found THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
-  coalesce(first_value(CASE WHEN found THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages) AS x FROM v_toc),
-  f AS (SELECT a.doc_id, a.pos, min(b.page_no) AS page FROM w a JOIN v_book b ON a.doc_id = b.doc_id AND b.page_no BETWEEN p AND x AND {_IN} WHERE NOT found GROUP BY ALL)
-  SELECT doc_id, pos, coalesce(f.page, physical_index) AS physical_index, found OR f.page IS NOT NULL AS found FROM w LEFT JOIN f USING (doc_id, pos)""")
+def _rounds(n: int) -> str:
+    """CTEs i0 .. in: the items after so many rounds of repair."""
+    out = ["i0 AS (SELECT doc_id, pos, title, physical_index, found, n_pages FROM v_toc)"]
+    for k in range(n):
+        out.append(f"""w{k} AS (SELECT *, coalesce(last_value(CASE WHEN found THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+  coalesce(first_value(CASE WHEN found THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages) AS x FROM i{k}),
+  f{k} AS (SELECT a.doc_id, a.pos, min(b.page_no) AS page FROM w{k} a JOIN v_book b ON a.doc_id = b.doc_id AND b.page_no BETWEEN p AND x AND {_IN} WHERE NOT found GROUP BY ALL),
+  i{k + 1} AS (SELECT doc_id, pos, title, coalesce(f{k}.page, physical_index) AS physical_index, found OR f{k}.page IS NOT NULL AS found, n_pages FROM w{k} LEFT JOIN f{k} USING (doc_id, pos))""")
+    return ", ".join(out)
+
+
+@query("bracketed_repair", f"WITH {_rounds(1)} SELECT doc_id, pos, physical_index, found FROM i1")
 def bracketed_repair(spark, d):
     return O.bracketed_repair(v.toc(spark, d), v.book_pages(spark, d)).select("doc_id", "pos", "physical_index", "found")
 
@@ -1098,14 +1109,9 @@ def text_vector_dedup(spark, d):
     return D.similar_pairs(D.text_vectors(t), 0.85)
 
 
-@query("repair_loop")
+@query("repair_loop", f"WITH {_rounds(3)} SELECT doc_id, pos, physical_index, found FROM i3")
 def repair_loop(spark, d):
-    from docflow.sources.io import stored
-
-    items, pages = v.toc(spark, d), stored(v.book_pages(spark, d), "book")
-    for _ in range(3):
-        items = stored(O.bracketed_repair(items, pages), "repaired")
-    return items.select("doc_id", "pos", "physical_index", "found")
+    return O.repair(v.toc(spark, d), v.book_pages(spark, d)).select("doc_id", "pos", "physical_index", "found")
 
 
 @query("headings_from_pages", "SELECT * FROM v_headings")

@@ -135,7 +135,7 @@ def oracle(sql: str) -> str:
                 todo.append(SQL[name])
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in _ORDER if n in used)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        body = body[5:] if ctes else body
-        return f"WITH {ctes}, {body}" if ctes else body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if ctes and body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
     return f"WITH {ctes} {body}" if ctes else body
