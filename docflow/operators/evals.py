@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docflow.functions import text as T
+from docflow.sources.io import stored
 
 
 def golden_set(features: DataFrame, epics: DataFrame) -> DataFrame:
@@ -23,15 +24,26 @@ def _words(c: str):
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda x: x != ""))
 
 
+def _rare_first(tickets: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
+    """(section, key, word) for the rarest words of each ticket: so many that two tickets with an index of least share one of them."""
+    each = tickets.select("section", key, F.size("w").alias("n"), F.explode("w").alias("word")).join(counts.hint("merge"), ["section", "word"])
+    rank = F.row_number().over(W.partitionBy("section", key).orderBy("seen", "word"))
+    return each.withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("section", key, "word")
+
+
 def golden_match(golden: DataFrame, actual: DataFrame, least: float = 0.5) -> DataFrame:
-    """(section, golden_id, actual_id, score): the best actual ticket of the same section by the Jaccard index of words, ties by id.
+    """(section, golden_id, actual_id, score): the best actual ticket of the same section by the Jaccard index of words, ties by id. Ids are unique within a section.
 
-    Candidates share a word, so they meet by an equi-join on (section, word) whose counts give the index.
+    Only pairs that share one of their rarest words meet, so words that stand in every ticket make no pairs; which words
+    are rare is counted over the section. The words' counts are written out, so adaptive execution can split a common word.
     """
-    g = golden.select("section", "golden_id", _words("title").alias("w")).select("section", "golden_id", F.size("w").alias("ng"), F.explode("w").alias("word"))
-    a = actual.select("section", "actual_id", _words("title").alias("w")).select("section", "actual_id", F.size("w").alias("na"), F.explode("w").alias("word"))
-    both = g.join(a.hint("merge"), ["section", "word"]).groupBy("section", "golden_id", "actual_id", "ng", "na").agg(F.count("*").alias("n"))
-    scored = both.withColumn("score", F.col("n") / (F.col("ng") + F.col("na") - F.col("n"))).where(F.col("score") >= least)
+    g, a = (rows.select("section", key, _words("title").alias("w")) for rows, key in ((golden, "golden_id"), (actual, "actual_id")))
+    both = g.select("section", F.explode("w").alias("word")).unionByName(a.select("section", F.explode("w").alias("word")))
+    counts = stored(both.groupBy("section", "word").agg(F.count("*").alias("seen")), "words")
+    pairs = _rare_first(g, "golden_id", counts, least).join(_rare_first(a, "actual_id", counts, least).hint("merge"), ["section", "word"]).select("section", "golden_id", "actual_id").distinct()
+    met = pairs.join(g.withColumnRenamed("w", "wg").hint("merge"), ["section", "golden_id"]).join(a.withColumnRenamed("w", "wa").hint("merge"), ["section", "actual_id"])
+    n = F.size(F.array_intersect("wg", "wa"))
+    scored = met.withColumn("score", n / (F.size("wg") + F.size("wa") - n)).where(F.col("score") >= least)
     first = F.row_number().over(W.partitionBy("section", "golden_id").orderBy(F.desc("score"), "actual_id"))
     return scored.withColumn("_n", first).where("_n = 1").select("section", "golden_id", "actual_id", "score")
 

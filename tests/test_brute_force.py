@@ -371,3 +371,19 @@ def test_streams_of_usage_steps_and_status(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_golden_match_by_all_pairs(spark):
+    r = random.Random(9)
+    said = lambda: " ".join(["the"] + [f"w{min(r.randrange(30), r.randrange(30))}" for _ in range(r.randint(0, 6))])
+    g, a = ([(s, i, said()) for s in "xy" for i in range(30)] for _ in range(2))
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    for least in (0.3, 0.5, 1.0):
+        want = set()
+        for s, i, t in g:
+            rated = [(len(words(t) & words(u)) / len(words(t) | words(u)), -j) for e, j, u in a if e == s]
+            top = max(x for x in rated)
+            if top[0] >= least:
+                want.add((s, i, -top[1], round(top[0], 9)))
+        got = E.golden_match(spark.createDataFrame(g, "section string, golden_id int, title string"), spark.createDataFrame(a, "section string, actual_id int, title string"), least)
+        assert {(x.section, x.golden_id, x.actual_id, round(x.score, 9)) for x in got.collect()} == want and want
