@@ -24,7 +24,8 @@ else by a join on host and salt.
 
 Nulls and odd rows: a null or empty html gives an empty text and 0 characters. A null or odd url counts as the host "".
 Unclosed and misnested tags end where a browser would end them or at the end of the page. Repeated rows give repeated
-results. Whole pages are read, however long; text of unknown tags is kept.
+results. Whole pages are read, however long; text of unknown tags is kept. Further columns, of whatever name, are left
+aside; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -123,8 +123,9 @@ def _split(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
     return docs.select(*[c.alias(k) for k, c in kept.items()], F.explode(F.array(both)).alias("_b")).select(*kept, "_b.t", "_b.w")
 
 
-def worth(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, repeats: int = REPEATS, tries: int = TRIES) -> dict[str, tuple[float, float]]:
+def worth(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, repeats: int | None = None, tries: int | None = None) -> dict[str, tuple[float, float]]:
     """For each rule its share of rejected rows and its cost (microseconds a row, rounded to a power of two) on a bounded sample."""
+    repeats, tries = repeats or REPEATS, tries or TRIES
     rows = hash_sample(docs, [F.col(id_col), F.col(text_col)], sample_rows).select(text_col).collect()
     spark = docs.sparkSession
     sample = _split(spark.createDataFrame([(r[0],) for r in rows], "text string").coalesce(1), "text").persist()

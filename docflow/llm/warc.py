@@ -23,7 +23,8 @@ is one row a task; pages are shuffled once, by page_id.
 
 Nulls and odd rows: a null html is the empty payload. A null url is written as "urn:page:" and the id. A null page_id
 never is the original of others; such pages are responses. Rows that repeat a page_id each get a record of their own;
-the one with the smallest id's payload stays a response for each of its rows.
+the one with the smallest id's payload stays a response for each of its rows. Further columns, of whatever name, are left
+aside; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
