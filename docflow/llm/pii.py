@@ -41,11 +41,11 @@ BASE_KINDS = KINDS[:4]
 SAMPLE_ROWS = 300
 EXAMPLES = 1500
 SAMPLE_CHARS = 20_000
-STEPS = 280
-LENGTH, STRIDE = 256, 224
+STEPS = 320
+LENGTH, STRIDE = 384, 352
 TRAIN_LENGTH = 96
 #: Windows that go through the tagger together.
-LOT = 768
+LOT = 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -39,7 +39,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Parameters in self.p: for each direction wx (chars, 4h), wh (h, 4h), b (4h); then wo, bo, and the CRF's move and start."""
 
-    def __init__(self, tags: int, hidden: int = 12, seed: int = 7):
+    def __init__(self, tags: int, hidden: int = 8, seed: int = 7):
         r = np.random.default_rng(seed)
         self.k, self.h, self.p = tags, hidden, {}
         for d in "fb":
