@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -68,6 +69,20 @@ def hash_sample(df: DataFrame, by: list[Column], rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(often)) == 0).limit(2 * rows)
 
 
+def ranked(df: DataFrame, key: str, order: list[Column | str], name: str) -> DataFrame:
+    """df plus rank, its row's place (from 0) among the rows of its key in the given order, and n, the rows of that key. key is never null.
+
+    The rows are dealt by ranges of key and order, sorted and written with a running number, so a key of any size is spread
+    over many tasks. What is summed over a key afterwards has one row for each range that the key lies in.
+    """
+    placed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = write_read(placed, f"{name}_placed").withColumn("_range", F.shiftright("_at", 33))
+    spans = placed.groupBy("_range", key).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select("_range", key, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(W.partitionBy(key)).alias("n"))
+    return placed.join(write_read(spans, f"{name}_spans"), ["_range", key]).withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, quality, warc
+from . import chat, decontaminate, manifest, quality, warc
 from .bpe import op6_byte_bpe
 from .chat import op1_chat_format
 from .decontaminate import op4_decontamination
 from .html_text import op7_html_text
+from .manifest import op13_merkle_manifest
 from .pii import op10_pii
 from .quality import op9_quality_rules
 from .simhash import op3_simhash
@@ -14,6 +15,6 @@ from .spans import op8_sentence_spans
 from .unigram import op5_token_counts
 from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op5_token_counts, op6_byte_bpe, op7_html_text, op8_sentence_spans, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_warc, op3_simhash, op4_decontamination, op5_token_counts, op6_byte_bpe, op7_html_text, op8_sentence_spans, op9_quality_rules, op10_pii, op13_merkle_manifest)}
 
-ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op2_warc": warc.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op2_warc": warc.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
