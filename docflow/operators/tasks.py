@@ -92,20 +92,20 @@ def extract_rules(sections: DataFrame, verbs: tuple[str, ...] = VERBS) -> DataFr
         "deliverables": r"(?i)^\s*deliverables?\s*:\s*",
         "mockup_prototype": r"(?i)^\s*(?:mock-?ups?|prototypes?)\s*:\s*",
     }
-    lines = T.text_rows(F.col("text"))
-
     def field(pattern: str) -> Column:
-        return F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(pattern))), lambda x: T.stripped(F.regexp_replace(x, pattern, "")))
+        return F.transform(F.filter("_lines", lambda x: F.regexp_like(x, F.lit(pattern))), lambda x: T.stripped(F.regexp_replace(x, pattern, "")))
 
     said = {k: field(p) for k, p in named.items()}
     said = {k: F.nullif(F.get(c, F.lit(0)), F.lit("")) if k in ("use_case", "mockup_prototype") else F.when(F.size(c) > 0, F.filter(c, lambda x: x != "")) for k, c in said.items()}
-    any_field = "|".join(p.removeprefix("(?i)") for p in named.values())
-    prose = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit("(?i)" + any_field))), "\n")
+    any_field = "(?i)" + "|".join(p.removeprefix("(?i)") for p in named.values())
+    prose = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit(any_field))), "\n")
     verb = r"(?i)^(?:" + "|".join(verbs) + r")(?:[^\p{L}\p{N}]|$)"
-    criteria = F.filter(T.text_rows(F.col("text")), lambda x: F.startswith(F.ltrim(x), F.lit("[ ] ")))
-    rows = sections.select("doc_id", "node_id", "pos", criteria.alias("c"), *[c.alias(k) for k, c in said.items()], F.posexplode(T.sentences(prose)).alias("ord", "s"))
-    hits = rows.where(F.regexp_like("s", F.lit(verb)) | F.regexp_like("s", F.lit(MODAL)))
-    led = F.regexp_like("s", F.lit(verb))
+    criteria = F.transform(F.filter("_lines", lambda x: F.startswith(F.ltrim(x), F.lit("[ ] "))), T.stripped)
+    # what a section has once is made before there are rows of its sentences, and only sentences that are tasks become rows
+    once = sections.withColumn("_lines", T.text_rows(F.col("text"))).select("doc_id", "node_id", "pos", F.struct(criteria.alias("c"), *[c.alias(k) for k, c in said.items()]).alias("_once"), T.sentences(prose).alias("_said"))
+    placed = F.transform("_said", lambda x, i: F.struct(i.alias("ord"), x.alias("s"), F.regexp_like(x, F.lit(verb)).alias("led")))
+    hits = once.withColumn("_hits", F.filter(placed, lambda x: x["led"] | F.regexp_like(x["s"], F.lit(MODAL)))).select("doc_id", "node_id", "pos", "_once", F.inline("_hits"))
+    c = F.col("_once.c")
     return hits.select(
         "doc_id",
         "node_id",
@@ -113,10 +113,10 @@ def extract_rules(sections: DataFrame, verbs: tuple[str, ...] = VERBS) -> DataFr
         "ord",
         F.substring("s", 1, 80).alias("title"),
         F.col("s").alias("short_description"),
-        F.when(F.size("c") > 0, F.transform("c", T.stripped)).alias("acceptance_criteria"),
-        *named,
-        F.when(led, 0.9).otherwise(0.5).alias("confidence"),
-        F.when(F.size("c") > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("NO_ACCEPTANCE_CRITERIA"))).alias("flags"),
+        F.when(F.size(c) > 0, c).alias("acceptance_criteria"),
+        *[F.col(f"_once.{k}").alias(k) for k in named],
+        F.when(F.col("led"), 0.9).otherwise(0.5).alias("confidence"),
+        F.when(F.size(c) > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("NO_ACCEPTANCE_CRITERIA"))).alias("flags"),
         F.endswith(T.stripped(F.col("s")), F.lit("…")).alias("continues_to_next"),
     )
 

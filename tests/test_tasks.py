@@ -59,6 +59,14 @@ def test_extract_rules(spark):
     assert [r.title for r in K.extract_rules(s).orderBy("ord").collect()] == ["Create the export", "The job must run daily"]
 
 
+def test_fields_are_read_once_a_section(spark):
+    """No field is looked for above the step that makes rows of sentences, where it would be for each of them."""
+    s = spark.createDataFrame([("d", "n", 1, "Create the export.")], "doc_id string, node_id string, pos int, text string")
+    plan = K.extract_rules(s)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate inline")
+    assert below and "use cases" not in above and all(x in below for x in ("use cases", "deliverables", "constraints", "prototypes"))
+
+
 def test_coverage(spark):
     nodes = _nodes(spark, 3)
     links = spark.createDataFrame([("d", "n1")], "doc_id string, node_id string")
