@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from docflow.functions import text as T
 from docflow.operators import tree
 from docflow.sources.io import stored
 
+#: Pages that are read with one automaton of their document's titles.
+PART_PAGES = 500
+
 
 def toc_runs(pages: DataFrame, flag: str = "is_toc") -> DataFrame:
     """(doc_id, run_start, run_end): runs of neighbouring pages that are contents."""
@@ -84,24 +89,70 @@ def accuracy(checked: DataFrame, n_pages: DataFrame) -> DataFrame:
     return per.join(n_pages, "doc_id").select("doc_id", F.when(good, F.col("ok") / F.col("n")).otherwise(F.lit(0.0)).alias("accuracy"))
 
 
-def _places(items: DataFrame, pages: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, pos, page_no, *more): the pages that hold an item's title, white space and case aside.
+def _first_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, part, page_no, text, pos, low, high), sorted so that a part's titles come before its pages, to (doc_id, pos, page_no).
 
-    A page meets its document's titles as one array, so it stays one row and its text isn't copied for each item; with
-    prev_page and next_page in more, only titles whose bracket holds the page are looked for.
+    One automaton holds the titles of a part, and every page is read by it once. Of each title the first page stays.
+    """
+    import ahocorasick
+
+    part, titles, automaton, found, kind = None, {}, None, {}, None
+
+    def closed() -> pa.RecordBatch:
+        columns = [pa.array([part[0]] * len(found), kind), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "pos", "page_no"])
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for doc, number, page, text, pos, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (doc, number) != part:
+                if found:
+                    yield closed()
+                part, titles, automaton, found = (doc, number), {}, None, {}
+            if pos is not None:
+                titles.setdefault(text, []).append((pos, low, high))
+                continue
+            if not titles or not text:
+                continue
+            if automaton is None:
+                automaton = ahocorasick.Automaton()
+                for t in titles:
+                    automaton.add_word(t, t)
+                automaton.make_automaton()
+            for t in {t for _, t in automaton.iter(text)}:
+                for pos, low, high in titles[t]:
+                    if (low is None or low <= page <= high) and page < found.get(pos, page + 1):
+                        found[pos] = page
+    if found:
+        yield closed()
+
+
+def first_places(items: DataFrame, pages: DataFrame, bracketed: bool = False, part_pages: int = PART_PAGES) -> DataFrame:
+    """(doc_id, pos, page_no): the first page that holds an item's title, white space and case aside; bracketed: of those from prev_page to next_page.
+
+    A document's pages are dealt in parts of part_pages; each part gets the titles that it may hold once, as one automaton,
+    and gives back a row a title at most. No page meets its titles one by one, and a long document is many parts.
     """
-    own = items.select("doc_id", F.struct("pos", T.squeezed(F.col("title")).alias("t"), *more).alias("x")).where("x.t <> ''")
-    titles = own.groupBy("doc_id").agg(F.collect_list("x").alias("_titles"))
-    text = pages.select("doc_id", "page_no", T.squeezed(F.col("text")).alias("_s")).join(titles.hint("merge"), "doc_id")
-    near = (lambda x: F.col("page_no").between(x["prev_page"], x["next_page"])) if more else (lambda x: F.lit(True))
-    held = F.filter("_titles", lambda x: near(x) & F.contains("_s", x["t"]))
-    return text.select("doc_id", "page_no", F.explode(held).alias("x")).select("doc_id", "page_no", "x.pos", *[f"x.{c}" for c in more])
+    part = F.floor(F.col("page_no") / part_pages)
+    low, high = (F.col(c).cast("long") if bracketed else F.lit(None).cast("long") for c in ("prev_page", "next_page"))
+    own = items.select("doc_id", F.col("pos").cast("long").alias("pos"), T.squeezed(F.col("title")).alias("text"), low.alias("low"), high.alias("high")).where("text <> ''")
+    parts = pages.select("doc_id", part.alias("part")).distinct()
+    titles = own.join(parts.hint("merge"), "doc_id")
+    if bracketed:
+        titles = titles.where((F.col("part") >= F.floor(F.col("low") / part_pages)) & (F.col("part") <= F.floor(F.col("high") / part_pages)))
+    titles = titles.select("doc_id", "part", F.lit(None).cast("long").alias("page_no"), "text", "pos", "low", "high")
+    none = [F.lit(None).cast("long").alias(c) for c in ("pos", "low", "high")]
+    texts = pages.select("doc_id", part.alias("part"), F.col("page_no").cast("long").alias("page_no"), T.squeezed(F.col("text")).alias("text"), *none).where("page_no is not null")
+    dealt = titles.unionByName(texts).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", F.col("page_no").asc_nulls_first())
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    return dealt.mapInArrow(_first_hits, f"doc_id {kind}, pos long, page_no long").groupBy("doc_id", "pos").agg(F.min("page_no").alias("page_no"))
 
 
 def locate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items with physical_index: the first page that holds the title, or null."""
-    first = _places(items, pages).groupBy("doc_id", "pos").agg(F.min("page_no").alias("physical_index"))
-    return items.drop("physical_index").join(first.hint("merge"), ["doc_id", "pos"], "left")
+    kind = pages.schema["page_no"].dataType
+    first = first_places(items, pages).withColumn("pos", F.col("pos").cast(items.schema["pos"].dataType))
+    return items.drop("physical_index").join(first.withColumn("page_no", F.col("page_no").cast(kind)).withColumnRenamed("page_no", "physical_index").hint("merge"), ["doc_id", "pos"], "left")
 
 
 def neighbours(items: DataFrame, ok: str, first_page: int = 0) -> DataFrame:
@@ -113,8 +164,8 @@ def neighbours(items: DataFrame, ok: str, first_page: int = 0) -> DataFrame:
 def bracketed_repair(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items that aren't right are looked for on the pages between their right neighbours. items has found and n_pages."""
     near = neighbours(items, "found")
-    met = _places(near.where("not found"), pages, "prev_page", "next_page")
-    fixed = met.groupBy("doc_id", "pos").agg(F.min("page_no").alias("_page"))
+    met = first_places(near.where("not found"), pages, bracketed=True)
+    fixed = met.select("doc_id", F.col("pos").cast(items.schema["pos"].dataType).alias("pos"), F.col("page_no").cast(pages.schema["page_no"].dataType).alias("_page"))
     out = near.join(fixed.hint("merge"), ["doc_id", "pos"], "left")
     return out.withColumn("physical_index", F.coalesce("_page", "physical_index")).withColumn("found", F.col("found") | F.col("_page").isNotNull()).drop("_page", "prev_page", "next_page")
 
