@@ -63,10 +63,16 @@ def written_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def hash_sample(df: DataFrame, by: list[Column], rows: int) -> DataFrame:
-    """About rows rows, at most twice as many, drawn from the whole table by a hash: alike in every run. A table of fewer rows is given whole."""
+def hash_sample(df: DataFrame, by: list[Column], rows: int, value: Column) -> list:
+    """value of about rows different rows (told apart by a hash of by), at most twice as many, drawn from the whole table by that hash: alike in every run.
+
+    A table of fewer rows is given whole. Where copies are so many that the hash picks nothing, those of the smallest
+    hashes come instead, so only an empty table has no sample.
+    """
     often = max(1, df.count() // rows)
-    return df.where(F.pmod(F.xxhash64(*by), F.lit(often)) == 0).limit(2 * rows)
+    hashed = df.select(F.xxhash64(*by).alias("h"), value.alias("v"))
+    picked = hashed.where(F.pmod("h", F.lit(often)) == 0).dropDuplicates(["h"]).limit(2 * rows).collect()
+    return [r.v for r in picked or hashed.orderBy("h").limit(rows).dropDuplicates(["h"]).collect()]
 
 
 def ranked(df: DataFrame, key: str, order: list[Column | str], name: str) -> DataFrame:

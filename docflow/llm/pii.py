@@ -41,7 +41,7 @@ BASE_KINDS = KINDS[:4]
 SAMPLE_ROWS = 300
 EXAMPLES = 1500
 SAMPLE_CHARS = 20_000
-STEPS = 320
+STEPS = 280
 LENGTH, STRIDE = 384, 352
 TRAIN_LENGTH = 96
 #: Windows that go through the tagger together.
@@ -214,9 +214,8 @@ def examples(texts: list[str], most: int = EXAMPLES, seed: int = 5) -> tuple[np.
 def train(docs: DataFrame, text_col: str = "text", id_col: str | None = None, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> dict[str, np.ndarray] | None:
     """The tagger's parameters, from a bounded sample of rows."""
     text = F.col(text_col)
-    known = docs.where(F.length(text) > 0)
-    rows = hash_sample(known, [text, *([F.col(id_col)] if id_col else [])], sample_rows).select(F.substring(text, 1, SAMPLE_CHARS)).collect()
-    ids, tags = examples(sorted(r[0] for r in rows))
+    texts = hash_sample(docs, [text, *([F.col(id_col)] if id_col else [])], sample_rows, F.substring(text, 1, SAMPLE_CHARS))
+    ids, tags = examples(sorted(t for t in texts if t) or [""] * bool(texts))
     if not len(ids):
         return None
     tagger = Tagger(1 + 2 * len(KINDS))

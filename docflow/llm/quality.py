@@ -35,6 +35,8 @@ from .common import hash_sample, table
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 SAMPLE_ROWS = 200
+#: Of each row of the sample so many characters are timed and judged, so what the driver gets is bounded.
+SAMPLE_CHARS = 20_000
 #: How often the sample is gone through for a rule's time, and how many times the least time is taken of.
 REPEATS, TRIES = 8, 3
 MIN_WORDS = 50
@@ -126,9 +128,9 @@ def _split(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
 def worth(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, repeats: int | None = None, tries: int | None = None) -> dict[str, tuple[float, float]]:
     """For each rule its share of rejected rows and its cost (microseconds a row, rounded to a power of two) on a bounded sample."""
     repeats, tries = repeats or REPEATS, tries or TRIES
-    rows = hash_sample(docs, [F.col(id_col), F.col(text_col)], sample_rows).select(text_col).collect()
+    texts = hash_sample(docs, [F.col(id_col), F.col(text_col)], sample_rows, F.substring(text_col, 1, SAMPLE_CHARS))
     spark = docs.sparkSession
-    sample = _split(spark.createDataFrame([(r[0],) for r in rows], "text string").coalesce(1), "text").persist()
+    sample = _split(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").persist()
     try:
         n = max(1, sample.count())
         often = sample.select("t", "w", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("again"))

@@ -7,7 +7,9 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from docflow.llm import bpe, chat, pii
+from pyspark.sql import functions as F
+
+from docflow.llm import bpe, chat, common, pii
 from docflow.llm.tagger import Tagger
 
 SIGNS = ["a", "B", "1", "2", "9", ".", "@", "+", "-", " ", "(", ")", "1.2.3.4", "a@b.c", "4111111111111111", "é", "+1 (555) 555-1234", "_", "%", "\n", "漢", "😀", "the", "ing", "  ", "'s"]
@@ -183,6 +185,16 @@ def test_tagger_gradients():
             assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_pii_trains_on_copies(spark):
+    """A table of copies has a tagger too, whatever their number, and so has one of empty texts."""
+    shape = "doc_id long, text string"
+    for rows in ([(1, "write to jo at site dot com")] * 1000, [(i, "the same words") for i in range(700)], [(1, None), (2, "")]):
+        assert pii.train(spark.createDataFrame(rows, shape), steps=1) is not None
+    assert pii.train(spark.createDataFrame([], shape), steps=1) is None
+    texts = common.hash_sample(spark.createDataFrame([(1, "x")] * 5000 + [(2, "y" * 50)], shape), [F.col("text")], 3, F.substring("text", 1, 9))
+    assert set(texts) <= {"x", "y" * 9} and 1 <= len(texts) == len(set(texts))
+
+
 def test_pii_held_out(spark):
     """Trained with the production sample and steps; measured on made-up spans set into other rows, and on the rows themselves."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
