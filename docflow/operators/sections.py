@@ -60,16 +60,9 @@ def skip_sections(sections: DataFrame, skip: list[str], heading: str = "heading"
     return sections.where(~bad & (T.stripped(F.coalesce(text, F.lit(""))) != ""))
 
 
-def flat_elements(raw: DataFrame, depth: int = 6) -> DataFrame:
-    """Elements of nested kids (doc_id, kids) level by level: (doc_id, path, type, content, ...), path the order of reading; five types are kept."""
+def flat_elements(raw: DataFrame) -> DataFrame:
+    """Elements of nested kids (doc_id, kids) of any depth: (doc_id, path, type, content, ...), path the order of reading; five types are kept."""
     kinds = ("heading", "paragraph", "table", "list", "caption")
-    level = raw.select("doc_id", F.posexplode("kids").alias("_i", "e")).select("doc_id", F.lpad(F.col("_i").cast("string"), 6, "0").alias("path"), "e")
-    found = None
-    for _ in range(depth):
-        fields = level.schema["e"].dataType.names
-        own = level.select("doc_id", "path", *[F.col(f"e.`{n}`").alias(n.replace(" ", "_")) for n in fields if n != "kids"])
-        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
-        if "kids" not in fields:
-            break
-        level = level.select("doc_id", "path", F.posexplode("e.kids").alias("_i", "k")).select("doc_id", F.concat_ws("/", "path", F.lpad(F.col("_i").cast("string"), 6, "0")).alias("path"), F.col("k").alias("e"))
+    found = tree.opened(raw, "kids")
+    found = found.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in found.columns])
     return found.where(F.col("type").isin(*kinds)).withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("path")))

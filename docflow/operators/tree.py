@@ -6,11 +6,14 @@ window holds. Null page numbers, texts and titles take the defaults that each op
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEPTH = 6
+from docflow.sources.io import stored
 
 
 def in_order():
@@ -34,17 +37,34 @@ def flatten_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def nested_nodes(trees: DataFrame, children: str = "nodes", depth: int = 12) -> DataFrame:
-    """Flat pre-order nodes (doc_id, pos, parent_pos, level, and the fields of a node) of trees (doc_id, nodes: an array of structs that hold such an array again)."""
-    level = trees.select("doc_id", F.posexplode(children).alias("_i", "n")).select("doc_id", F.array("_i").alias("_path"), "n")
-    found = None
-    for _ in range(depth):
-        fields = level.schema["n"].dataType.names
-        own = level.select("doc_id", "_path", *[F.col(f"n.`{f}`").alias(f) for f in fields if f != children])
+#: Levels of nested arrays that are opened in one job.
+OPENED = 6
+
+
+def opened(trees: DataFrame, children: str) -> DataFrame:
+    """(doc_id, path, and the fields of a node) for every node of trees (doc_id, and children: an array of structs that hold such an array again); path has the node's place in each array from the top.
+
+    Level by level, as deep as the schema goes (that of JSON files is as deep as they are) or until a level has no rows;
+    after every OPENED levels what is left is written, so plans stay small. Fields that a level lacks are null.
+    """
+    level = trees.select("doc_id", F.posexplode(children).alias("_i", "n")).select("doc_id", F.array("_i").alias("path"), "n")
+    found, depth = None, 0
+    while True:
+        fields, depth = level.schema["n"].dataType.names, depth + 1
+        own = level.select("doc_id", "path", *[F.col(f"n.`{f}`").alias(f) for f in fields if f != children])
         found = own if found is None else found.unionByName(own, allowMissingColumns=True)
         if children not in fields:
-            break
-        level = level.select("doc_id", "_path", F.posexplode(f"n.`{children}`").alias("_i", "k")).select("doc_id", F.concat("_path", F.array("_i")).alias("_path"), F.col("k").alias("n"))
+            return found
+        level = level.select("doc_id", "path", F.posexplode(f"n.`{children}`").alias("_i", "k")).select("doc_id", F.concat("path", F.array("_i")).alias("path"), F.col("k").alias("n"))
+        if depth % OPENED == 0:
+            level = stored(level, "opened")
+            if level.isEmpty():
+                return found
+
+
+def nested_nodes(trees: DataFrame, children: str = "nodes") -> DataFrame:
+    """Flat pre-order nodes (doc_id, pos, parent_pos, level, and the fields of a node) of trees (doc_id, nodes: an array of structs that hold such an array again), of any depth."""
+    found = opened(trees, children).withColumnRenamed("path", "_path")
     order = W.partitionBy("doc_id").orderBy("_path")
     rows = found.withColumn("pos", F.row_number().over(order)).withColumn("level", F.size("_path"))
     ups = rows.select("doc_id", F.col("_path").alias("_up"), F.col("pos").alias("parent_pos"))
@@ -86,29 +106,67 @@ def node_numbering(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("node_id", F.lpad((F.row_number().over(in_order()) - 1).cast("string"), 4, "0"))
 
 
-def parents(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
+def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pos, level, node_id, n_tokens), sorted, to (doc_id, pos, parent_id, subtree_end, branch_tokens).
+
+    The nodes whose branch is still open, of rising levels, are what is held: a stack as deep as the tree.
+    """
+    doc, last, stack, kinds = None, None, [], None
+
+    def closed(end: int) -> tuple:
+        pos, _, _, parent, tokens = stack.pop()
+        if stack:
+            stack[-1][4] += tokens
+        return doc, pos, parent, end, tokens
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        names = ["doc_id", "pos", "parent_id", "subtree_end", "branch_tokens"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        rows = []
+        kinds = (batch.column(0).type, pa.int64(), batch.column(3).type, pa.int64(), pa.int64())
+        for d, pos, level, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            while stack and (d != doc or stack[-1][1] >= level):
+                rows.append(closed(last if d != doc else pos - 1))
+            doc, last = d, pos
+            stack.append([pos, level, node, stack[-1][2] if stack else None, tokens])
+        if rows:
+            yield out(rows)
+    if stack:
+        yield out([closed(last) for _ in range(len(stack))])
+
+
+def branches(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, parent_id, subtree_end, branch_tokens) of nodes of any levels: the nearest earlier node of a lower level, the last position of the branch, and the tokens in it (n_tokens, if there).
+
+    One narrow sort by document and position, read as a stream; levels may be skipped and go to any depth. A null level is
+    1, null tokens are 0. Positions are unique in a document.
+    """
+    tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")) if "n_tokens" in nodes.columns else F.lit(0).cast("long")
+    own = nodes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.col("level").cast("long"), F.lit(1).cast("long")).alias("level"), "node_id", tokens.alias("n_tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    found = own.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_branches, f"doc_id {kinds['doc_id']}, pos long, parent_id {kinds['node_id']}, subtree_end long, branch_tokens long")
+    return found.withColumn("pos", F.col("pos").cast(kinds["pos"])).withColumn("subtree_end", F.col("subtree_end").cast(kinds["pos"]))
+
+
+def _with_branches(nodes: DataFrame, *columns: str) -> DataFrame:
+    return nodes.drop(*columns).join(branches(nodes).select("doc_id", "pos", *columns).hint("merge"), ["doc_id", "pos"], "left")
+
+
+def parents(nodes: DataFrame) -> DataFrame:
     """parent_id: the nearest earlier node of a lower level."""
-    # for each level the position of its last node so far; the parent is the latest among the lower levels
-    lasts = [F.last(F.when(F.col("level") == k, F.col("pos")), True).over(before()) for k in range(1, most_levels)]
-    pos = F.greatest(*[F.when(F.col("level") > k, c) for k, c in enumerate(lasts, 1)], F.lit(None))
-    at = nodes.withColumn("_parent_pos", pos)
-    ids = nodes.select("doc_id", F.col("pos").alias("_parent_pos"), F.col("node_id").alias("parent_id"))
-    return at.join(ids.hint("merge"), ["doc_id", "_parent_pos"], "left").drop("_parent_pos")
+    return _with_branches(nodes, "parent_id")
 
 
-def subtree_ends(nodes: DataFrame, most_levels: int = DEPTH) -> DataFrame:
+def subtree_ends(nodes: DataFrame) -> DataFrame:
     """subtree_end: the last position of the node's branch."""
-    firsts = [F.first(F.when(F.col("level") == k, F.col("pos")), True).over(after()) for k in range(1, most_levels + 1)]
-    stop = F.least(*[F.when(F.col("level") >= k, c) for k, c in enumerate(firsts, 1)], F.lit(None))
-    last = F.max("pos").over(W.partitionBy("doc_id"))
-    return nodes.withColumn("subtree_end", F.coalesce(stop - 1, last))
+    return _with_branches(nodes, "subtree_end")
 
 
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
-    """branch_tokens: tokens of the node and everything below it, by differences of a running sum."""
-    ends = subtree_ends(nodes).withColumn("_sum", F.sum("n_tokens").over(in_order()))
-    sums = ends.select("doc_id", F.col("pos").alias("subtree_end"), F.col("_sum").alias("_at_end"))
-    return ends.join(sums.hint("merge"), ["doc_id", "subtree_end"]).withColumn("branch_tokens", F.col("_at_end") - F.col("_sum") + F.col("n_tokens")).drop("_sum", "_at_end")
+    """subtree_end, and branch_tokens: tokens of the node and everything below it."""
+    return _with_branches(nodes, "subtree_end", "branch_tokens")
 
 
 def tree_thinning(nodes: DataFrame, least: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import sections as S
 from docflow.operators import toc as O
 from docflow.operators import tree as N
+from docflow.sources import io
 
 MD = "# A\nx y\n```\n# not\n```\n## B\nz\n### C\nq\n## D\n# E"
 
@@ -24,7 +25,7 @@ def _levels(spark, all_levels, tokens=None):
 
 def test_parents_and_branches(spark):
     random.seed(5)
-    cases = [[random.randint(1, 6) for _ in range(random.randint(1, 12))] for _ in range(60)]
+    cases = [[random.randint(1, r) for _ in range(n)] for r, n in [(6, random.randint(1, 12)) for _ in range(60)] + [(50, 300), (9, 200), (10**6, 80)]] + [[1, 7, 8], list(range(1, 61)), [3, 3, 2]]
     got = {(r.doc_id, r.pos): (r.parent_id, r.subtree_end) for r in N.subtree_ends(N.parents(_levels(spark, cases))).collect()}
     for k, ls in enumerate(cases):
         for i, lv in enumerate(ls):
@@ -33,6 +34,37 @@ def test_parents_and_branches(spark):
             assert got[f"d{k}", i + 1] == (None if up is None else f"{up:04d}", end)
 
 
+def test_branch_tokens_of_any_level(spark):
+    random.seed(6)
+    cases = [[random.randint(1, 50) for _ in range(120)] for _ in range(5)]
+    tokens = [[random.randint(0, 9) for _ in c] for c in cases]
+    nodes = _levels(spark, cases, tokens)
+    for r in N.subtree_tokens(nodes).collect():
+        k = int(r.doc_id[1:])
+        assert r.branch_tokens == sum(tokens[k][r.pos - 1 : r.subtree_end])
+    odd = spark.createDataFrame([("d", 1, "a", None, None), ("d", 2, "b", 2, 5), (None, 1, "c", 1, 1)], "doc_id string, pos int, node_id string, level int, n_tokens long")
+    assert sorted((r.node_id, r.branch_tokens) for r in N.subtree_tokens(odd).where("doc_id is not null").collect()) == [("a", 5), ("b", 5)]
+    assert N.subtree_tokens(odd).count() == 3 and N.parents(odd.where("false")).count() == 0
+
+
+def test_trees_of_forty_levels(spark, tmp_path):
+    """Forty levels in, forty out, as nodes and as elements of files; an empty level in a deeper schema ends it."""
+    import json
+
+    def deep(n, children):
+        return {"title": f"t{n}", "type": "paragraph", "content": f"c{n}", "extra words": n, **({children: [deep(n + 1, children), *([{"title": "side", "type": "caption", "content": "s"}] if n == 20 else [])]} if n < 40 else {})}
+
+    for children in ("nodes", "kids"):
+        (tmp_path / children).mkdir()
+        (tmp_path / children / "one.json").write_text(json.dumps({"doc_id": "one", children: [deep(1, children)]}))
+    rows = N.nested_nodes(spark.read.json(str(tmp_path / "nodes"))).orderBy("pos").collect()
+    assert [(r.title, r.level, r.parent_pos) for r in rows] == [(f"t{n}", n, n - 1 if n > 1 else None) for n in range(1, 41)] + [("side", 21, 20)]
+    found = S.flat_elements(io.read_elements(spark, str(tmp_path / "kids"))).orderBy("pos").collect()
+    assert [(r.doc_id, r.content, r.extra_words) for r in found] == [("one", f"c{n}", n) for n in range(1, 41)] + [("one", "s", None)]
+    short = spark.read.schema(spark.read.json(str(tmp_path / "nodes")).schema).json(spark.createDataFrame([('{"doc_id": "x", "nodes": [{"title": "only"}]}',)], "value string").rdd.map(lambda r: r.value))
+    assert [r.title for r in N.nested_nodes(short).collect()] == ["only"]
+
+
 def test_thinning(spark):
     nodes = _levels(spark, [[1, 2, 2, 1]], [[5, 3, 2, 50]])
     rows = N.tree_thinning(nodes, 20).orderBy("pos").collect()
