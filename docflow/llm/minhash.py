@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, write_read
@@ -238,18 +238,22 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """A forest (a, b) of exact links between the documents (doc_id, text) of each group. groups: (rep, comp), written."""
-    own = docs.join(groups, docs["doc_id"] == groups["rep"]).select("comp", "rep", F.col("text").cast("binary").alias("text"))
-    sets = write_read(_sets(own), "sets")
-    parts = lambda: F.greatest(F.ceil(F.sum("rows") / SET_ROWS), F.ceil(F.sum("bytes") / SET_BYTES)).cast("int")
+    own = docs.join(groups.hint("merge"), docs["doc_id"] == groups["rep"]).select("comp", "rep", F.col("text").cast("binary").alias("text"))
     level = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(PERCENT / 100 - 0.01)))
-    sizes = write_read(sets.groupBy("comp", level.alias("level")).agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("bytes")), "set_sizes")
-    whole = write_read(sizes.groupBy("comp").agg(parts().alias("whole")), "group_sizes")
+    sets = write_read(_sets(own), "sets")
+    sizes = sets.groupBy("comp", level.alias("level")).agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).groupBy("comp").agg(F.collect_list(F.struct("level", "rows", "bytes")).alias("levels"))
+
+    def parts(levels: Column) -> Column:
+        total = lambda c: F.aggregate(levels, F.lit(0).cast("long"), lambda n, x: n + x[c])
+        return F.greatest(F.ceil(total("rows") / SET_ROWS), F.ceil(total("bytes") / SET_BYTES), F.lit(1)).cast("int")
+
+    # a group has as many levels as there are sizes 0.84 apart: few, however large it is
+    sizes = write_read(sizes.withColumn("parts", parts(F.col("levels"))), "set_sizes")
+    dealt = sets.select("comp", "rep", "hashes", level.alias("own")).join(sizes.hint("merge"), "comp")
+    at_once = dealt.where("parts = 1").select(F.xxhash64("comp").alias("unit"), "rep", "hashes")
     # a large group's unit of a level holds that level and the next one
-    pairs = sizes.select("comp", F.explode(F.array("level", F.col("level") - 1)).alias("level"), "rows", "bytes").groupBy("comp", "level").agg(parts().alias("parts"))
-    pairs = write_read(pairs, "level_sizes")
-    dealt = sets.select("comp", "rep", "hashes", level.alias("own")).join(whole.hint("merge"), "comp")
-    at_once = dealt.where("whole = 1").select(F.xxhash64("comp").alias("unit"), "rep", "hashes")
-    large = dealt.where("whole > 1").withColumn("level", F.explode(F.array("own", F.col("own") - 1))).join(pairs.hint("merge"), ["comp", "level"])
+    large = dealt.where("parts > 1").withColumn("level", F.explode(F.array("own", F.col("own") - 1)))
+    large = large.withColumn("parts", parts(F.filter("levels", lambda x: x["level"].between(F.col("level"), F.col("level") + 1))))
     large = _parted(large.select("comp", "level", "parts", "rep", "hashes"), ["comp", "level"], ["rep", "hashes"]).select("unit", "rep", "hashes")
     return at_once.unionByName(large).repartition("unit").sortWithinPartitions("unit").mapInArrow(_confirmed, "a long, b long")
 

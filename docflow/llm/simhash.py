@@ -167,24 +167,20 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links of a hub.
     """
 
-    def stamp(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     edges = write_read(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = stamp(edges)
-    if not before[0]:
+    if edges.isEmpty():
         return edges.withColumnRenamed("b", "root")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = write_read(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = write_read(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        low = write_read(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") < F.col("a")).alias("moved"))
+        large = write_read(large, "large")
+        low = write_read(large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.max("moved").alias("moved")), "low")
+        roots = low.select("a", F.col("m").alias("b"))
+        if not low.agg(F.max(F.col("moved") | (F.col("m") < F.col("most")))).first()[0]:  # every node has one link, to its root
+            return roots.withColumnRenamed("b", "root")
         small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = write_read(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = stamp(edges)
-        if after == before:
-            return edges.withColumnRenamed("b", "root")
-        before = after
+        edges = write_read(small.unionByName(roots).distinct(), "edges")
     raise RuntimeError("connected components did not settle")
 
 
