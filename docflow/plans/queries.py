@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docflow.functions import issues as I
 from docflow.functions import retry as R
 from docflow.functions import text as T
+from docflow.operators import calls as A
 from docflow.operators import coverage as C
 from docflow.operators import dedup as D
 from docflow.operators import evals as E
@@ -976,6 +977,32 @@ def model_step(spark, d):
     return K.read_answers(K.model_step(rows, stub_model).drop("error"))[0].select("doc_id", "node_id", "title")
 
 
+def failing_model(prompt: str, attempt: int) -> str:
+    """A stand-in that fails for good for some lengths, and for a time for others."""
+    if len(prompt) % 11 == 0:
+        raise RuntimeError("invalid API key")
+    if attempt <= len(prompt) % 3:
+        raise RuntimeError("rate limit: try again in 2 seconds")
+    return f"Create {len(prompt)}"
+
+
+@query("model_step_resumed", """SELECT doc_id, node_id, CASE WHEN length(text) % 11 = 0 THEN 'failed' ELSE 'answered' END AS state, CASE WHEN length(text) % 11 = 0 THEN 1 ELSE 1 + length(text) % 3 END::INT AS attempts,
+  CASE WHEN length(text) % 11 <> 0 THEN 'Create ' || length(text) END AS content FROM v_nodes""")
+def model_step_resumed(spark, d):
+    """One round, then a second call that goes on where the first one's log ends; the clock is moved by hand."""
+    from docflow.sources import io
+
+    now = [0.0]
+
+    def pause(seconds: float) -> None:
+        now[0] += seconds
+
+    prompts, log = v.nodes(spark, d).select("doc_id", "node_id", F.col("text").alias("prompt")), io.shared_path(spark, "calls")
+    step = lambda **more: A.resumable_step(prompts, log, failing_model, clock=lambda: now[0], pause=pause, **more)
+    step(most_rounds=1)
+    return step().select("doc_id", "node_id", "state", "attempts", "content")
+
+
 @query("union_recovered", """SELECT id, status, CASE WHEN pos % 10 = 0 AND pos % 3 > 0 THEN 'R' || id ELSE '' END AS merged_from FROM v_tasks WHERE pos % 2 = 0 UNION ALL SELECT 'R' || id, 'CLOSED', '' FROM v_tasks WHERE pos % 5 = 0 AND NOT (pos % 10 = 0 AND pos % 3 > 0)""")
 def union_recovered(spark, d):
     """Tasks and recovered ones in one set, and the second deduplication over it."""
