@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docflow import schemas
 from docflow.functions.text import embedding_text
+from docflow.operators.graph import components, joined_labels
+from docflow.sources.io import stored
 
 BLOCK = 2000
 
@@ -36,16 +38,62 @@ def model_vectors(tasks: DataFrame, embed: Callable[[list[str]], np.ndarray]) ->
     return tasks.select("run_id", "id", embedding_text(F.col("title"), F.col("short_description")).alias("said")).mapInPandas(run, "run_id string, id string, v array<float>")
 
 
+def _dealt(vectors: DataFrame, block: int) -> DataFrame:
+    """vectors once for each pair (a, b) of blocks of their run that their own block, part, is one of."""
+    sizes = vectors.groupBy("run_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("parts"))
+    rows = vectors.join(sizes.hint("merge"), "run_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
+
+
+def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = BLOCK) -> DataFrame:
+    """(run_id, id, class_id, n_links) for each row of vectors (run_id, id, v): how many others of its run are similar to it, and the smallest id that it reaches over such links. Exact.
+
+    Equal vectors are one node with a count, so copies cost one row. Blocks of nodes meet in pairs, as in similar_pairs,
+    but return only what grows with the rows: for each node its links, weighted by copies, and a spanning forest. A null id
+    or vector has no links; rows that repeat an id count each. Vectors of one run have one length.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    known = vectors.where("id is not null and v is not null")
+    nodes = stored(known.groupBy("run_id", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group["a"].iloc[0], group["b"].iloc[0]
+        group = group.sort_values("id", ignore_index=True)
+        x, copies, part = np.array(group["v"].tolist(), np.float64), group["copies"].to_numpy(), group["part"].to_numpy()
+        left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        links, labels = np.zeros(len(x), np.int64), np.arange(len(x))
+        for at in range(0, len(left) if len(right) else 0, 512):
+            own = left[at : at + 512]
+            near = x[own] @ x[right].T >= least
+            links[own] += near @ copies[right]
+            if a != b:
+                links[right] += near.T @ copies[own]
+            i, j = np.nonzero(near)
+            labels = joined_labels(labels, own[i], right[j])
+        if a == b:  # none is its own link; of copies that aren't even similar to themselves none is linked
+            links -= (np.einsum("ij,ij->i", x, x) >= least).astype(np.int64)
+        hit = (links > 0) | (labels != np.arange(len(x)))
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"run_id": group["run_id"].iloc[0], "id": ids[hit], "up": ids[labels[hit]], "n": links[hit]})
+
+    met = stored(_dealt(nodes, block).groupBy("run_id", "a", "b").applyInPandas(run, f"run_id string, id {kind}, up {kind}, n long"), "similar")
+    counts = met.groupBy("run_id", "id").agg(F.sum("n").alias("n"))
+    node = lambda c: F.struct("run_id", F.col(c).alias("id"))
+    roots = components(met.select(node("id").alias("a"), node("up").alias("b"))).select("node.run_id", F.col("node.id").alias("id"), F.col("root.id").alias("root"))
+    told = nodes.join(counts.hint("merge"), ["run_id", "id"], "left").join(roots.hint("merge"), ["run_id", "id"], "left").withColumnRenamed("id", "rep")
+    out = vectors.join(stored(told, "classes").hint("merge"), ["run_id", "v"], "left")
+    linked = F.coalesce(F.col("n"), F.lit(0)) > 0
+    return out.select("run_id", "id", F.when(linked & F.col("id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.85, block: int = BLOCK) -> DataFrame:
     """(run_id, id_a, id_b, similarity), id_a < id_b: pairs of one run with a product of at least `least`. Exact.
 
     A run's vectors are dealt to blocks of about `block`; each pair of blocks is one group and one matrix product, so a
     run with a third of all rows is many groups. vectors: (run_id, id, v), v of unit length.
     """
-    sizes = vectors.groupBy("run_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("parts"))
-    rows = vectors.join(sizes.hint("merge"), "run_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("run_id", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "id", "v")
+    rows = _dealt(vectors, block).select("run_id", "a", "b", "part", "id", "v")
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

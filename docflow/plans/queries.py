@@ -521,6 +521,14 @@ def similarity_join(spark, d):
     return D.similar_pairs(rows, 0.35).select("run_id", "id_a", "id_b")
 
 
+@query("similarity_classes", """WITH RECURSIVE e AS (SELECT vec_id, 'r' || label AS run_id, embedding FROM embeddings), l AS (SELECT a.run_id, a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+  SELECT run_id, vec_id AS id, least(vec_id, coalesce(m, vec_id)) AS class_id, coalesce(n, 0) AS n_links FROM e LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) x ON x.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) y ON y.a = vec_id""")
+def similarity_classes(spark, d):
+    rows = v.table(spark, d, "embeddings").selectExpr("concat('r', label) AS run_id", "vec_id AS id", "embedding AS v")
+    return D.similar_classes(rows, 0.35)
+
+
 def _decisions(spark, d):
     rows = v.table(spark, d, "documents").where("doc_id % 7 = 0")
     name = "concat('T', lpad(cast(doc_id{} AS string), 9, '0'))"

@@ -103,6 +103,44 @@ def test_similar_pairs_blocks(spark):
         assert {(x.id_a, x.id_b) for x in D.similar_pairs(df, 0.6, block).collect()} == want
 
 
+def test_similar_classes(spark):
+    """Links and classes of brute force, over copies, zero vectors, rows that repeat and nulls, in one block and in many."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    vs = r.normal(size=(150, 6))
+    vs /= np.linalg.norm(vs, axis=1, keepdims=True)
+    vs[20:40], vs[60:70], vs[100:103] = vs[20], vs[5], 0
+    rows = [("r" if i < 110 else "q", f"{i:03d}", [float(x) for x in v]) for i, v in enumerate(vs)] + [("r", "003", [float(x) for x in vs[3]]), ("r", None, [1.0] * 6), ("r", "zzz", None)]
+    df = spark.createDataFrame(rows, "run_id string, id string, v array<double>")
+    want = []
+    ok = [(a, i, np.array(v)) for a, i, v in rows if i is not None and v is not None]
+    up = {(a, i): i for a, i, _ in ok}
+    for _ in range(20):
+        for a, i, v in ok:
+            up[a, i] = min([up[a, i], *(up[b, j] for b, j, w in ok if b == a and v @ w >= 0.6)])
+    for a, i, v in rows:
+        n = 0 if i is None or v is None else sum(b == a and np.array(v) @ w >= 0.6 for b, _, w in ok) - int(np.array(v) @ np.array(v) >= 0.6)
+        want.append((a, str(i), str(up.get((a, i), i)), int(n)))
+    for block in (7, 1000):
+        assert sorted((x.run_id, str(x.id), str(x.class_id), x.n_links) for x in D.similar_classes(df, 0.6, block).collect()) == sorted(want)
+
+
+def test_many_equal_tasks_are_one_class(spark):
+    df = spark.range(20_000).selectExpr("'r' AS run_id", "id", "array(0.6D, 0.8D) AS v")
+    got = D.similar_classes(df).groupBy("class_id", "n_links").count().collect()
+    assert [tuple(x) for x in got] == [(0, 19_999, 20_000)]
+
+
+def test_components(spark):
+    from docflow.operators.graph import components
+
+    chain = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(5, 5), (3000, 2999), (2999, 3000)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {2999: 2999, 3000: 2999}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_review(spark):
     t = spark.createDataFrame([("1", "r", "PUSHED", []), ("2", "r", "CLOSED", ["X"]), ("3", "r", "APPROVED", [])], "id string, run_id string, status string, flags array<string>")
     assert sorted(r.id for r in V.shown(t, pending=False).collect()) == ["1", "3"]
