@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JUDGE = "alignment double, recall double, fidelity double, hallucination double, reasoning string"
@@ -112,17 +112,41 @@ def is_fence(line: Column) -> Column:
 
 
 def table_markdown(rows: Column) -> Column:
-    """A pipe table of rows of cells; each cell is a struct of content and kids (structs of content)."""
+    """A pipe table of rows of cells; each cell is a struct of content and kids (structs of content), whose contents count where it has none. Pipes in cells are escaped."""
 
     def cell(c: Column) -> Column:
-        said = F.coalesce(F.nullif(c["content"], F.lit("")), F.array_join(F.transform(c["kids"], lambda k: F.coalesce(k["content"], F.lit(""))), " "), F.lit(""))
-        return F.replace(said, F.lit("|"), F.lit("\\|"))
+        kids = F.array_join(F.transform(c["kids"], lambda k: F.coalesce(k["content"], F.lit(""))), " ")
+        return stripped(F.replace(F.coalesce(F.nullif(c["content"], F.lit("")), kids, F.lit("")), F.lit("|"), F.lit("\\|")))
 
-    body = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r["cells"], cell), " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(F.get(rows, 0)["cells"])), " | "), F.lit(" |"))
+    body = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.coalesce(r["cells"], F.array().cast(CELLS)), cell), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), F.size(F.coalesce(F.get(rows, 0)["cells"], F.array().cast(CELLS)))), "|"), F.lit("|"))
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))), "\n")).otherwise(F.lit(""))
 
 
+#: The shape of a table's cells and rows.
+CELLS = "array<struct<content:string,kids:array<struct<content:string>>>>"
+ROWS = f"array<struct<cells:{CELLS}>>"
+
+
+def table_rows(df: DataFrame, column: str = "rows") -> Column:
+    """The rows of a table as ROWS, from whatever a reader has made of them: fields that are missing are null, others are left out."""
+    from pyspark.sql import types as T
+
+    def shaped(c: Column, kind: T.DataType, want: T.DataType) -> Column:
+        if isinstance(want, T.ArrayType):
+            return F.transform(c, lambda x: shaped(x, kind.elementType, want.elementType)) if isinstance(kind, T.ArrayType) else F.lit(None).cast(want)
+        if isinstance(want, T.StructType):
+            if not isinstance(kind, T.StructType):
+                return F.lit(None).cast(want)
+            own = {f.name: f.dataType for f in kind.fields}
+            made = [(shaped(c[f.name], own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+            return F.when(c.isNotNull(), F.struct(*made))
+        return c.cast(want)
+
+    want = T.DataType.fromDDL(ROWS)
+    return shaped(F.col(column), df.schema[column].dataType, want) if column in df.columns else F.lit(None).cast(want)
+
+
 def embedding_text(title: Column, description: Column) -> Column:
     return F.trim(F.concat_ws(" ", title, F.substring(F.coalesce(description, F.lit("")), 1, 200)))
 

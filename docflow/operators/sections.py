@@ -38,10 +38,15 @@ def markdown_tree(docs: DataFrame, least_tokens: int = 0) -> DataFrame:
 
 
 def section_runs(elements: DataFrame, most_level: int = 3) -> DataFrame:
-    """Sections of elements (doc_id, pos, type, level, page, id, content): a heading of a low level opens one; what comes first is "Preamble"."""
+    """Sections of elements (doc_id, pos, type, level, page, id, content, and rows of tables): a heading of a low level opens one; what comes first is "Preamble".
+
+    A section's text is that of its paragraphs, lists and captions and its tables as pipe tables; a table without rows counts by its content.
+    """
     opens = (F.col("type") == "heading") & (F.col("level") <= most_level)
     rows = elements.withColumn("_opens", opens).withColumn("section", F.sum(opens.cast("int")).over(tree.in_order()))
-    said = F.when((F.col("type") != "heading") & (T.stripped(F.coalesce("content", F.lit(""))) != ""), F.struct("pos", "content"))
+    rendered = F.nullif(T.table_markdown(T.table_rows(elements)), F.lit(""))
+    rows = rows.withColumn("_said", F.when(F.col("type") == "table", F.coalesce(rendered, "content")).when(F.col("type") != "heading", F.col("content")))
+    said = F.when(T.stripped(F.coalesce("_said", F.lit(""))) != "", F.struct("pos", F.col("_said").alias("content")))
     per = rows.groupBy("doc_id", "section").agg(
         F.coalesce(F.min_by(F.when(F.col("_opens"), F.col("content")), "pos"), F.lit("Preamble")).alias("heading"),
         F.min_by("page", "pos").alias("page_start"),

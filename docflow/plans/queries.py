@@ -105,7 +105,7 @@ def jsonl_audit_sink(spark, d):
     from docflow.sources import io
 
     path = io.shared_path(spark, "log")
-    io.write_log(v.audit(spark, d).select("id", "message", "level", F.pmod("run_id", F.lit(20)).alias("run_id")), path, 1000)
+    io.write_log(v.audit(spark, d).select("id", "message", "level", F.pmod("run_id", F.lit(20)).alias("run_id")), path, 100_000)
     return spark.read.schema("id long, message string, run_id int").json(path).select("id", "message")
 
 
@@ -181,9 +181,9 @@ def node_text_labelled(spark, d):
     return N.node_texts(v.nodes(spark, d), v.book_pages(spark, d), True).where("text is not null").select("doc_id", "node_id", F.sha2("text", 256).alias("h"))
 
 
-@query("text_fallback", "SELECT doc_id, node_id, sha256(CASE WHEN n % 3 = 0 THEN text WHEN n % 3 = 1 THEN coalesce(nullif('tree ' || n, ''), summary) ELSE summary END) AS h FROM v_nodes WHERE text <> ''")
+@query("text_fallback", "SELECT doc_id, node_id, sha256(CASE WHEN n % 3 = 0 THEN coalesce(nullif(text, ''), summary) WHEN n % 3 = 1 THEN 'tree ' || n ELSE summary END) AS h FROM v_nodes")
 def text_fallback(spark, d):
-    own = v.nodes(spark, d).where("text <> ''")
+    own = v.nodes(spark, d)
     tree = own.where("n % 3 = 1").selectExpr("doc_id", "node_id", "concat('tree ', n) AS text")
     return N.text_fallback(own.withColumn("text", F.expr("IF(n % 3 = 0, text, '')")), tree).select("doc_id", "node_id", F.sha2("text", 256).alias("h"))
 
@@ -245,12 +245,17 @@ def fence_parity(spark, d):
     return S.outside_fences(S.markdown_lines(_markdown(spark, d))).groupBy("doc_id").agg(F.sum(F.col("fenced").cast("long")).alias("n_fenced"))
 
 
-@query("section_runs", """WITH e AS (SELECT *, level <= 3 AND n % 2 = 0 AS opens FROM v_nodes), s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM e)
-  SELECT doc_id, section::BIGINT AS section, coalesce(min_by(title, pos) FILTER (opens), 'Preamble') AS heading, min_by(page_start, pos) AS page_start, max_by(page_start, pos) AS page_end, count(*) AS n_elements
-  FROM s GROUP BY doc_id, section HAVING count(*) FILTER (n % 2 > 0 AND trim(title) <> '') > 0""")
+@query("section_runs", """WITH e AS (SELECT *, level <= 3 AND pos % 5 = 2 AS opens, CASE WHEN pos % 5 = 2 THEN NULL WHEN pos % 3 = 0 THEN '| ' || replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '|', '\\|') || ' | ' || n || ' |' || chr(10) || '|---|---|' || chr(10) || '| k1 k2 | b |' ELSE title END AS said FROM v_nodes),
+  s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM e)
+  SELECT doc_id, section::BIGINT AS section, coalesce(min_by(title, pos) FILTER (opens), 'Preamble') AS heading, min_by(page_start, pos) AS page_start, max_by(page_start, pos) AS page_end, count(*) AS n_elements,
+  sha256(string_agg(said, chr(10) || chr(10) ORDER BY pos) FILTER (trim(said) <> '')) AS h FROM s GROUP BY doc_id, section HAVING count(*) FILTER (trim(said) <> '') > 0""")
 def section_runs(spark, d):
-    e = v.nodes(spark, d).selectExpr("doc_id", "pos", "IF(n % 2 = 0, 'heading', 'paragraph') AS type", "level", "page_start AS page", "n AS id", "title AS content")
-    return S.section_runs(e).select("doc_id", "section", "heading", "page_start", "page_end", F.size("element_ids").cast("long").alias("n_elements"))
+    """Headings, paragraphs and, at every third place, tables of two rows, the second's first cell with kids."""
+    cell = "named_struct('content', {0}, 'kids', {1})"
+    none, kids = "cast(array() AS array<struct<content:string>>)", "array(named_struct('content', 'k1'), named_struct('content', 'k2'))"
+    rows = f"array(named_struct('cells', array({cell.format('title', none)}, {cell.format('cast(n AS string)', none)})), named_struct('cells', array({cell.format(repr(''), kids)}, {cell.format(repr('b'), none)})))"
+    e = v.nodes(spark, d).selectExpr("doc_id", "pos", "CASE WHEN pos % 5 = 2 THEN 'heading' WHEN pos % 3 = 0 THEN 'table' ELSE 'paragraph' END AS type", "level", "page_start AS page", "n AS id", "title AS content", f"IF(pos % 5 <> 2 AND pos % 3 = 0, {rows}, NULL) AS rows")
+    return S.section_runs(e).select("doc_id", "section", "heading", "page_start", "page_end", F.size("element_ids").cast("long").alias("n_elements"), F.sha2("text", 256).alias("h"))
 
 
 @query("skip_sections", "SELECT doc_id, node_id FROM v_nodes WHERE NOT (contains(lower(title), 'the ') OR contains(lower(title), 'la')) AND trim(text) <> ''")
@@ -258,12 +263,12 @@ def skip_sections(spark, d):
     return S.skip_sections(v.nodes(spark, d), ["The ", "LA"], "title").select("doc_id", "node_id")
 
 
-@query("table_to_markdown", "SELECT n, '| ' || replace(substr(text, 1, 10), '|', '\\|') || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n || ' | k1 k2 |' AS md FROM v_docs")
+@query("table_to_markdown", "SELECT n, sha256('| ' || regexp_replace(replace(text, '|', '\\|'), '^\\s+|\\s+$', '', 'g') || ' | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n || ' | k1 k2 |') AS h FROM v_docs")
 def table_to_markdown(spark, d):
     cell = "named_struct('content', {0}, 'kids', {1})"
     none = "cast(array() AS array<struct<content:string>>)"
-    rows = f"array(named_struct('cells', array({cell.format('substring(text, 1, 10)', none)}, {cell.format(chr(39) + 'b' + chr(39), none)})), named_struct('cells', array({cell.format('cast(n AS string)', none)}, {cell.format(chr(39) * 2, 'array(named_struct(' + repr('content') + ', ' + repr('k1') + '), named_struct(' + repr('content') + ', ' + repr('k2') + '))')})))"
-    return v.docs(spark, d).where("text <> ''").select("n", T.table_markdown(F.expr(rows)).alias("md"))
+    rows = f"array(named_struct('cells', array({cell.format('text', none)}, {cell.format(chr(39) + 'b' + chr(39), none)})), named_struct('cells', array({cell.format('cast(n AS string)', none)}, {cell.format(chr(39) * 2, 'array(named_struct(' + repr('content') + ', ' + repr('k1') + '), named_struct(' + repr('content') + ', ' + repr('k2') + '))')})))"
+    return v.docs(spark, d).select("n", F.sha2(T.table_markdown(F.expr(rows)), 256).alias("h"))
 
 
 # ---- contents ------------------------------------------------------------------------------------------------------
@@ -886,15 +891,14 @@ def scan_elements(spark, d):
     one = v.nodes(spark, d).selectExpr("doc_id", f"struct(pos, named_struct('type', 'heading', 'content', title, 'page number', pos, 'kids', {kids}) AS e) AS x")
     docs = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("kids"))
     docs.withColumn("name", F.col("doc_id")).write.partitionBy("name").json(path)
-    rows = spark.read.option("multiLine", True).json(path)
-    return S.flat_elements(rows.select("doc_id", "kids")).select("doc_id", "pos", "type", "content")
+    return S.flat_elements(io.read_elements(spark, path, "name")).select("doc_id", "pos", "type", "content")
 
 
-@query("embedder", "SELECT id, length(trim(title || ' ' || substr(short_description, 1, 200))) AS n FROM v_tasks")
+@query("embedder", "SELECT id, array_to_string(list_transform(range(26), lambda i: length(t) - length(replace(t, chr((97 + i)::INT), ''))), ' ') AS vector FROM (SELECT id, lower(trim(title || ' ' || substr(short_description, 1, 200))) AS t FROM v_tasks)")
 def embedder(spark, d):
-    """Vectors from a function of texts; here the text's length alone."""
-    rows = D.model_vectors(v.tasks(spark, d), text_lengths)
-    return rows.select("id", F.get("v", F.lit(0)).cast("int").alias("n"))
+    """Vectors from a function of texts: how often each of 26 letters stands in them."""
+    rows = D.model_vectors(v.tasks(spark, d), letter_counts)
+    return rows.select("id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), " ").alias("vector"))
 
 
 @query("fleet_cost", "SELECT round(sum(value), 4) AS cost FROM v_audit WHERE ts > (SELECT max(ts) FROM v_audit) - INTERVAL 6 HOURS")
@@ -967,9 +971,9 @@ def build_prompt(spark, d):
     return rows.select("doc_id", "node_id", F.sha2(K.prompt("%s %d-%d %s\n%s", {"flat": "F", "epic_task": "E"}), 256).alias("h"))
 
 
-def text_lengths(texts: list[str]) -> list[list[float]]:
+def letter_counts(texts: list[str]) -> list[list[float]]:
     """A stand-in for a model of vectors."""
-    return [[float(len(t))] for t in texts]
+    return [[float(t.lower().count(chr(97 + i))) for i in range(26)] for t in texts]
 
 
 def stub_model(prompts: list[str]) -> list[str]:

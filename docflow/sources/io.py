@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +51,10 @@ def read_markdown(spark: SparkSession, path: str, folder: str | None = None) ->
     return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("content"))
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, kids) of parsed layouts as JSON files, kids nested as they are; for sections.flat_elements."""
-    rows = spark.read.option("multiLine", True).json(path)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), "kids")
+def read_elements(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(doc_id, kids) of parsed layouts as JSON files, kids nested as they are; for sections.flat_elements. A file is named as by read_markdown."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1) if folder is None else F.col(folder).cast("string")
+    return spark.read.option("multiLine", True).json(path).select(name.alias("doc_id"), "kids")
 
 
 SESSION = "run_id string, filename string, llm_mode string, created_at string"
@@ -103,11 +105,27 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.select([F.col(f.name).cast(f.dataType) for f in schemas.AUDIT.fields]).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def write_log(log: DataFrame, path: str, rows_a_file: int = 500_000) -> None:
-    """JSON lines of all but DEBUG rows, by run."""
-    log.where("level <> 'DEBUG'").write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy("run_id").json(path)
+def _numbered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(run_id, value) with the file that a line goes to: the next one once the lines before it and itself are more than most_bytes."""
+    sizes: dict = {}
+    for batch in batches:
+        files = []
+        for run, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            number, size = sizes.get(run, (0, 0))
+            own = line.as_buffer().size + 1
+            number, size = (number + 1, own) if size and size + own > most_bytes else (number, size + own)
+            sizes[run] = number, size
+            files.append(number)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.int32())], names=["run_id", "value", "file"])
+
+
+def write_log(log: DataFrame, path: str, most_bytes: int = 50_000_000) -> None:
+    """JSON lines of all but DEBUG rows, by run, in files of at most most_bytes (a longer line has a file of its own). No shuffle: each task numbers its own files."""
+    lines = log.where("level <> 'DEBUG'").select("run_id", F.to_json(F.struct(*[c for c in log.columns if c != "run_id"])).alias("value"))
+    kind = log.schema["run_id"].dataType.simpleString()
+    lines.mapInArrow(lambda b: _numbered(b, most_bytes), f"run_id {kind}, value string, file int").write.mode("append").partitionBy("run_id", "file").text(path)
 
 
 def write_payloads(rows: DataFrame, path: str) -> None:
-    """Issue payloads, containers before tasks within a run."""
-    rows.repartition("run_id").sortWithinPartitions("run_id", "step", "pos").write.mode("overwrite").json(path)
+    """Issue payloads, containers before tasks within a run, in files that follow each other in that order; a run of any size is many tasks."""
+    rows.repartitionByRange("run_id", "step", "pos").sortWithinPartitions("run_id", "step", "pos").write.mode("overwrite").json(path)

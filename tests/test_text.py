@@ -33,7 +33,7 @@ def test_pages_and_contents(spark):
     line = one(spark, T.toc_line(F.lit("1.2 Scope of work ........ 14")))
     assert (line.structure, line.title, line.page) == ("1.2", "Scope of work", 14)
     assert one(spark, T.toc_line(F.lit("Annex"))).page is None
-    assert one(spark, T.table_markdown(F.expr("array(named_struct('cells', array(named_struct('content', 'a|b', 'kids', cast(array() as array<struct<content:string>>)))))"))) == "| a\\|b |\n| --- |"
+    assert one(spark, T.table_markdown(F.expr("array(named_struct('cells', array(named_struct('content', 'a|b', 'kids', cast(array() as array<struct<content:string>>)))))"))) == "| a\\|b |\n|---|"
     assert one(spark, T.embedding_text(F.lit("T"), F.lit(None).cast("string"))) == "T"
     assert one(spark, T.sentences(F.lit("A. B . ."))) == ["A", "B"]
     assert one(spark, T.token_count(F.lit(None).cast("string"))) == 0

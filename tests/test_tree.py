@@ -65,6 +65,31 @@ def test_trees_of_forty_levels(spark, tmp_path):
     assert [r.title for r in N.nested_nodes(short).collect()] == ["only"]
 
 
+def test_tables_in_sections(spark):
+    """Tables stand in a section's text as pipe tables, whatever shape a reader gave their rows; one without rows counts by its content."""
+    import json
+
+    cell = lambda *kids, **own: {**own, "kids": [{"content": k, "font": 9} for k in kids], "column number": 1}
+    table = {"rows": [{"cells": [cell(content=" a|b "), cell("x", "y", content="")], "row number": 1}, {"cells": [cell("z"), cell()]}]}
+    rows = [("heading", "H", 1), ("paragraph", "p", None), ("table", None, None, table), ("heading", "deep", 4), ("table", "flat", None, {"rows": []}), ("table", "bare", None), ("caption", " ", None), ("heading", "I", 2), ("table", None, None)]
+    lines = [json.dumps({"doc_id": "d", "pos": i, "type": x[0], "content": x[1], "level": x[2], "page": i, "id": i, **(x[3] if len(x) > 3 else {})}) for i, x in enumerate(rows)]
+    e = spark.read.json(spark.sparkContext.parallelize(lines))
+    got = S.section_runs(e).collect()
+    assert [(x.heading, x.text, x.page_end, x.element_ids) for x in got] == [("H", "p\n\n| a\\|b | x y |\n|---|---|\n| z |  |\n\nflat\n\nbare", 6, [0, 1, 2, 3, 4, 5, 6])]
+    assert [x.text for x in S.section_runs(e.drop("rows")).collect()] == ["p\n\nflat\n\nbare"]
+
+
+def test_log_files_have_a_size(spark, tmp_path):
+    rows = [(i, "INFO" if i % 10 else "DEBUG", "m" * (i % 50), i % 2) for i in range(3000)] + [(9999, "INFO", "m" * 5000, 1)]
+    log = spark.createDataFrame(rows, "id long, level string, message string, run_id int").repartition(2)
+    for _ in range(2):
+        io.write_log(log, str(tmp_path / "log"), 2000)
+    files = [f for f in (tmp_path / "log").rglob("part-*")]
+    assert len(files) > 100 and sum(f.stat().st_size > 2000 for f in files) == 2
+    got = spark.read.json(str(tmp_path / "log"))
+    assert got.count() == 2 * sum(x[1] != "DEBUG" for x in rows) and got.where("id = 9999 and run_id = 1").count() == 2
+
+
 def test_thinning(spark):
     nodes = _levels(spark, [[1, 2, 2, 1]], [[5, 3, 2, 50]])
     rows = N.tree_thinning(nodes, 20).orderBy("pos").collect()
