@@ -79,6 +79,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, key, tag, sig): key is a 128-bit hash of the set, tag the half of it; for empty sets they and sig are null."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -86,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, keys, tags, sigs = [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
@@ -113,7 +120,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.A
             yield pa.concat_batches(held)
             held = []
         elif cut:
-            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            yield pa.concat_batches([*held, batch.slice(0, cut)]) if held else batch.slice(0, cut)
             held = []
         held.append(batch.slice(cut))
     if held:
@@ -186,7 +193,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(comp, rep, text) to (comp, rep, n, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             own = [shingles(x.as_py()) for x in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["comp", "rep", "n", "hashes"])
