@@ -249,26 +249,36 @@ def token_limit_report(nodes: DataFrame, most: int = 110000) -> DataFrame:
     return nodes.where(F.col("n_tokens") > most)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, page_no, tokens, budget), sorted, to (doc_id, group_no, page_no): what is open is a number of tokens and the last page."""
+    doc, group, size, last, fresh = None, 0, 0, None, True
+    for batch in batches:
+        rows = []
+        for d, page, tokens, budget in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if fresh or d != doc:
+                doc, group, size, fresh = d, 0, tokens, False
+            elif size + tokens > budget:
+                group, size = group + 1, last[1] + tokens
+                rows.append((d, group, last[0]))
+            else:
+                size += tokens
+            rows.append((d, group, page))
+            last = page, tokens
+        if rows:
+            kinds = (batch.column(0).type, pa.int32(), batch.column(1).type)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "group_no", "page_no"])
+
+
 def pack_pages(pages: DataFrame, most: int = 20000) -> DataFrame:
     """(doc_id, group_no, page_no): pages in order packed into groups near an even budget; neighbours share a page.
 
-    A fold over each document's pages, sorted: the group so far and its tokens are the state.
+    The budget comes from a document's sum; its pages then go by as one sorted, narrow stream, and no more than the last
+    of them is held, however many there are. Null tokens count 0.
     """
-    per = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.col("n_tokens").cast("long").alias("n")))).alias("p"), F.sum("n_tokens").cast("long").alias("total"))
-    parts = F.ceil(F.col("total") / most)
-    budget = F.ceil((F.col("total") / F.greatest(parts, F.lit(1)) + most) / 2)
-    per = per.withColumn("budget", F.when(F.col("total") <= most, F.col("total")).otherwise(budget))
-    start = F.expr("named_struct('done', cast(array() as array<array<int>>), 'now', cast(array() as array<int>), 'n', 0L, 'last', 0L)")
-
-    def step(a: Column, x: Column) -> Column:
-        over = (a["n"] + x["n"] > F.col("budget")) & (F.size(a["now"]) > 0)
-        shared = F.slice(a["now"], -1, 1)
-        return F.struct(
-            F.when(over, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
-            F.when(over, F.concat(shared, F.array(x["page_no"].cast("int")))).otherwise(F.concat(a["now"], F.array(x["page_no"].cast("int")))).alias("now"),
-            F.when(over, a["last"] + x["n"]).otherwise(a["n"] + x["n"]).alias("n"),
-            x["n"].alias("last"),
-        )
-
-    folded = per.select("doc_id", F.aggregate("p", start, step, lambda a: F.concat(a["done"], F.array(a["now"]))).alias("g"))
-    return folded.select("doc_id", F.posexplode("g").alias("group_no", "_p")).select("doc_id", "group_no", F.explode("_p").alias("page_no"))
+    own = pages.select("doc_id", "page_no", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"))
+    total = own.groupBy("doc_id").agg(F.sum("tokens").alias("total"))
+    even = F.ceil((F.col("total") / F.ceil(F.col("total") / most) + most) / 2)
+    budget = total.select("doc_id", F.when(F.col("total") <= most, F.col("total")).otherwise(even).alias("budget"))
+    rows = own.join(budget.hint("merge"), "doc_id").repartition("doc_id").sortWithinPartitions("doc_id", "page_no")
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    return rows.select("doc_id", "page_no", "tokens", "budget").mapInArrow(_packed, f"doc_id {kinds['doc_id']}, group_no int, page_no {kinds['page_no']}")

@@ -65,6 +65,36 @@ def test_trees_of_forty_levels(spark, tmp_path):
     assert [r.title for r in N.nested_nodes(short).collect()] == ["only"]
 
 
+def test_packing_of_long_documents(spark):
+    """The groups of a plain loop, over a document of 200,000 pages and small ones, without a collected row."""
+    import math
+
+    r = random.Random(9)
+    docs = {"long": [r.randrange(900) for _ in range(200_000)], "one": [50_000], "zero": [0, 0, 0], "even": [100] * 20, "big first": [5000, 10, 10]} | {f"d{k}": [r.choice([0, 5, 300, 1500, None]) for _ in range(r.randrange(1, 40))] for k in range(30)}
+    want = set()
+    for d, raw in docs.items():
+        tokens, most = [t or 0 for t in raw], 1000
+        total = sum(tokens)
+        budget = total if total <= most else math.ceil((total / math.ceil(total / most) + most) / 2)
+        groups, now = [], []
+        for p, t in enumerate(tokens, 1):
+            if now and sum(x for _, x in now) + t > budget:
+                groups.append(now)
+                now = now[-1:]
+            now.append((p, t))
+        want |= {(d, g, p) for g, pages in enumerate([*groups, now]) for p, _ in pages}
+    rows = [(d, p, t) for d, ts in docs.items() for p, t in enumerate(ts, 1)]
+    r.shuffle(rows)
+    import pyarrow as pa
+
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "page_no", "n_tokens"])
+    pages = spark.createDataFrame(table)
+    packed = N.pack_pages(pages, 1000)
+    assert "collect_list" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    got = packed.toPandas()
+    assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want
+
+
 def test_tables_in_sections(spark):
     """Tables stand in a section's text as pipe tables, whatever shape a reader gave their rows; one without rows counts by its content."""
     import json
