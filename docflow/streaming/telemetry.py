@@ -50,6 +50,11 @@ def step_summary_stream(events: DataFrame, window: str = "1 hour", late: str = "
     return per.select(F.col("w.start").alias("window_start"), "run_id", "step", "n", "seconds", "items")
 
 
+def once(events: DataFrame, keys: tuple[str, ...] = ("id",), late: str = "1 day") -> DataFrame:
+    """Events without replays: of those that share keys and come within the watermark's delay of each other one counts. Their state goes when the watermark has passed it."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+
+
 def append_stream(events: DataFrame, path: str, checkpoint: str):
     """An append-only sink; start() is left to the caller by returning the writer."""
     return events.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -64,20 +69,21 @@ def _plain(record: dict) -> dict:
     return {k: None if isinstance(x, float) and x != x else (x.item() if hasattr(x, "item") else x) for k, x in out.items()}
 
 
-def lifecycle_stream(raws: DataFrame) -> DataFrame:
+def lifecycle_stream(raws: DataFrame, idle_seconds: float | None = None) -> DataFrame:
     """Closed tasks as a document's sections come in. raws: (doc_id, node_id, pos, ord, id, title, ...), a row with node_id END closes the document.
 
     The state of a document is its open tasks and the rows of the section that came last: a section counts as complete
-    when a later one begins, so its rows may come in several batches. Sections must come in order of pos.
+    when a later one begins, so its rows may come in several batches. Sections must come in order of pos. A document that
+    gets no rows for idle_seconds is closed by a timer as END would close it, and its state goes; without, it waits for END.
     """
     import json
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = json.loads(state.get[0]) if state.exists else {"open": [], "held": []}
-        life = Lifecycle(old["open"])
-        rows = old["held"] + [_plain(r) for r in pd.concat(list(frames)).to_dict("records")]
+        life, over = Lifecycle(old["open"]), state.hasTimedOut
+        rows = old["held"] + ([] if over else [_plain(r) for r in pd.concat(list(frames)).to_dict("records")])
         rows.sort(key=lambda r: (r["pos"], r["ord"]))
-        held = [r for r in rows if r["pos"] == rows[-1]["pos"]]
+        held = [] if over else [r for r in rows if r["pos"] == rows[-1]["pos"]]
         out = []
         for pos in sorted({r["pos"] for r in rows}):
             part = [r for r in rows if r["pos"] == pos]
@@ -86,10 +92,15 @@ def lifecycle_stream(raws: DataFrame) -> DataFrame:
                 held = []
             elif part != held:
                 out += life.step(part[0]["node_id"], [r for r in part if r["id"]])
+        if over:
+            out += life.end()
         if life.open or held:
             state.update((json.dumps({"open": life.open, "held": held}),))
+            if idle_seconds is not None:
+                state.setTimeoutDuration(int(idle_seconds * 1000))
         elif state.exists:
             state.remove()
         yield frame_of(key[0], out)
 
-    return raws.select(*_raw_columns(raws)).groupBy("doc_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return raws.select(*_raw_columns(raws)).groupBy("doc_id").applyInPandasWithState(run, RESULT, STATE, "append", timeout)

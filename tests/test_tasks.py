@@ -200,6 +200,48 @@ def test_lifecycle_stream_agrees(spark, tmp_path):
     assert got == {"Alpha": ("n2", ["n1"], 0.5), "Build the gate": ("n3", ["n1", "n2"], 0.9)}
 
 
+def test_lifecycle_stream_restarts_and_closes_idle_documents(spark, tmp_path):
+    """Stopped in the middle of a document, the stream goes on from its checkpoint to the result of the batch; a document without an end is closed by its timer."""
+    import time
+
+    shape = "doc_id string, node_id string, pos int, ord int, id string, title string, short_description string, acceptance_criteria array<string>, confidence double, flags array<string>, continues_to_next boolean"
+    full = [("d", f"n{p}", p, i, f"{p}-{i}", f"Build gate {i}" if p % 2 else f"Other {p}", "x", [], 0.5, [], p % 3 > 0) for p in range(1, 7) for i in range(2)]
+    write = lambda rows, name: spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    stream = lambda: ST.lifecycle_stream(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+
+    def go():
+        q = stream().writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    write(full[:5], "a")
+    go()
+    write(full[5:], "b")
+    write([("d", ST.END, 99, 0, *[None] * 7)], "c")
+    go()
+    nodes = spark.createDataFrame([("d", f"n{p}", p) for p in range(1, 7)], "doc_id string, node_id string, pos int")
+    told = lambda df: sorted((r.task_id, str(r.closed_at), tuple(r.node_ids), tuple(r.flags)) for r in df.collect())
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(L.task_lifecycle(spark.createDataFrame(full, shape), nodes))
+
+    (tmp_path / "idle").mkdir()
+    spark.createDataFrame(full[:3], shape).coalesce(1).write.parquet(str(tmp_path / "idle/a"))
+    rows = spark.readStream.schema(shape).option("recursiveFileLookup", True).parquet(str(tmp_path / "idle"))
+    q = ST.lifecycle_stream(rows, 1).writeStream.outputMode("append").format("memory").queryName("idle").trigger(processingTime="500 milliseconds").start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("idle").count() < 3:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(r.task_id for r in spark.table("idle").collect()) == ["1-0", "1-1", "2-0"]
+
+
+def test_replayed_events_count_once(spark, tmp_path):
+    for name, rows in (("a", [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:01:00"), (1, "2024-01-01 00:00:00")]), ("b", [(2, "2024-01-01 00:01:00"), (3, "2024-01-01 00:02:00")])):
+        spark.createDataFrame(rows, "id long, ts string").selectExpr("id", "cast(ts AS timestamp) AS ts").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    _drain(ST.once(stream), "once")
+    assert sorted(r.id for r in spark.table("once").collect()) == [1, 2, 3]
+    assert ST.once(spark.read.option("recursiveFileLookup", True).schema("id long, ts timestamp").parquet(str(tmp_path / "in"))).count() == 3
+
+
 def test_registry():
     from docflow.plans import registry
 
