@@ -13,7 +13,19 @@ _OWN_DIR: list[str] = []
 _WRITTEN: list[str] = []
 
 
+#: Bytes of a batch of rows on its way to or from Python. Spark's own bound is eight times as much, twice for each task.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES for the session, unless it has a bound of its own; rows of long texts so stay few at a time."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +50,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def write_read(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors, and gives later joins a true size."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
