@@ -28,6 +28,7 @@ def _or(text: Column, empty: str) -> Column:
 
 def description(t: dict[str, Column]) -> Column:
     """The long description: a headed part for each field, with fallbacks, and where the task came from."""
+    # The headings and what stands for an empty field.
     parts = [
         ("Short Description", _or(t["short_description"], "_Not specified_")),
         ("Use Case", _or(t["use_case"], "_Not specified_")),

@@ -59,6 +59,7 @@ def wait_hint(headers: Column, message: Column, now: Column) -> Column:
     at = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(given, r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss z")))
     after = F.coalesce(given.try_cast("double"), at - now)
     reset = F.coalesce(*[_header(headers, h) for h in RESET_HEADERS])
+    # fixed rule: what is more than half of now is a time, anything less a number of seconds
     reset = F.when(reset > now * 0.5, reset - now).otherwise(reset)
     text = F.lower(F.coalesce(message, F.lit("")))
     said = F.regexp_extract(text, WAIT, 1).try_cast("double") * F.when(F.startswith(F.regexp_extract(text, WAIT, 2), F.lit("m")), 60.0).otherwise(1.0)

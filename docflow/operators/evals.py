@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ def _rare_first(tickets: DataFrame, key: str, counts: DataFrame, least: float) -
     return each.withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("section", key, "word")
 
 
-def golden_match(golden: DataFrame, actual: DataFrame, least: float = 0.5) -> DataFrame:
-    """(section, golden_id, actual_id, score): the best actual ticket of the same section by the Jaccard index of words, ties by id. Ids are unique within a section.
+def golden_pairs(golden: DataFrame, actual: DataFrame, least: float = 0.5) -> DataFrame:
+    """(section, golden_id, actual_id, score): tickets of one section whose words have a Jaccard index of at least least. Ids are unique within a section.
 
     Only pairs that share one of their rarest words meet, so words that stand in every ticket make no pairs; which words
     are rare is counted over the section. The words' counts are written out, so adaptive execution can split a common word.
@@ -43,11 +44,65 @@ def golden_match(golden: DataFrame, actual: DataFrame, least: float = 0.5) -> Da
     pairs = _rare_first(g, "golden_id", counts, least).join(_rare_first(a, "actual_id", counts, least).hint("merge"), ["section", "word"]).select("section", "golden_id", "actual_id").distinct()
     met = pairs.join(g.withColumnRenamed("w", "wg").hint("merge"), ["section", "golden_id"]).join(a.withColumnRenamed("w", "wa").hint("merge"), ["section", "actual_id"])
     n = F.size(F.array_intersect("wg", "wa"))
-    scored = met.withColumn("score", n / (F.size("wg") + F.size("wa") - n)).where(F.col("score") >= least)
+    return met.withColumn("score", n / (F.size("wg") + F.size("wa") - n)).where(F.col("score") >= least).select("section", "golden_id", "actual_id", "score")
+
+
+def golden_match(golden: DataFrame, actual: DataFrame, least: float = 0.5, unique: bool = False) -> DataFrame:
+    """(section, golden_id, actual_id, score): the best actual ticket of the same section by the Jaccard index of words, ties by id; unique: none taken twice, the scores' sum as large as can be."""
+    scored = golden_pairs(golden, actual, least)
+    if unique:
+        return one_to_one(scored)
     first = F.row_number().over(W.partitionBy("section", "golden_id").orderBy(F.desc("score"), "actual_id"))
     return scored.withColumn("_n", first).where("_n = 1").select("section", "golden_id", "actual_id", "score")
 
 
+def one_to_one(scored: DataFrame) -> DataFrame:
+    """Of pairs (section, golden_id, actual_id, score > 0) those of an assignment in which no id stands twice and the scores' sum is as large as can be.
+
+    A section's pairs are one group, as an assignment is found over them together, by augmenting paths: each golden id in
+    turn takes the path that gains most, over ids that move to others of theirs. Pairs come from golden_pairs, which
+    leaves only those above a score.
+    """
+
+    def assign(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["golden_id", "actual_id"], ignore_index=True)
+        near: dict = {}
+        for g, a, s in zip(group["golden_id"], group["actual_id"], group["score"], strict=True):
+            near.setdefault(g, {})[a] = s
+        holder: dict = {}  # the golden id of each actual one
+        for _ in near:
+            # the best gain of an alternating path from any golden id without an actual one; gains settle as in Bellman and Ford
+            held = {g: a for a, g in holder.items()}
+            gain = {g: 0.0 for g in near if g not in held}
+            reach: dict = {}
+            changed = True
+            while changed:
+                changed = False
+                for g in list(gain):
+                    for a, s in near[g].items():
+                        if held.get(g) != a and gain[g] + s > reach.get(a, (-1e18,))[0] + 1e-12:
+                            reach[a] = (gain[g] + s, g)
+                            changed = True
+                            if a in holder and reach[a][0] - near[holder[a]][a] > gain.get(holder[a], -1e18) + 1e-12:
+                                gain[holder[a]] = reach[a][0] - near[holder[a]][a]
+            free = [(reach[a][0], -k, a) for k, a in enumerate(sorted(reach)) if a not in holder]
+            if not free or max(free)[0] <= 1e-12:
+                break
+            a = max(free)[2]
+            while True:
+                g = reach[a][1]
+                before = held.get(g)
+                holder[a] = g
+                if before is None:
+                    break
+                a = before
+        rows = [(group["section"].iloc[0], g, a, near[g][a]) for a, g in holder.items()]
+        return pd.DataFrame(rows, columns=["section", "golden_id", "actual_id", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
+    return scored.groupBy("section").applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in ("section", "golden_id", "actual_id", "score")))
+
+
 def alignment(golden: DataFrame, actual: DataFrame) -> DataFrame:
     """(section, alignment): the Jaccard index of the words of the expected and the found epic's title. Both: (section, title), a row a section."""
     met = golden.select("section", _words("title").alias("a")).join(actual.select("section", _words("title").alias("b")).hint("merge"), "section", "left")

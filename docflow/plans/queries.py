@@ -1167,14 +1167,22 @@ def split_large_nodes(spark, d):
     return O.split_large(whole, pages).drop("pos")
 
 
-@query("run_eval")
+@query("run_eval", f"""WITH g AS (SELECT 's' || item_id // 20 AS section, item_id AS gi, text FROM benchmark), x AS (SELECT section, replace(string_agg(text, '.' || chr(10) ORDER BY gi), '.' || chr(10), '. Create ') AS text FROM g GROUP BY section),
+  p AS (SELECT section, list_filter(list_transform(string_split(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*(?:use cases?|considerations?|constraints?|deliverables?|mock-?ups?|prototypes?)\\s*:')), chr(10)), '.'),
+    lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM x),
+  a AS (SELECT section, i - 1 AS ai, s[i] AS t FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM p)
+    WHERE regexp_matches(s[i], '(?i)^(?:Create|Implement|Design|Configure|Integrate|Build|Set up|Develop|Define|Write)(?:[^\\p{{L}}\\p{{N}}]|$)|(?:^|[^\\p{{L}}\\p{{N}}])(?:must|shall|should|will|needs? to|has to|have to)(?:[^\\p{{L}}\\p{{N}}]|$)')),
+  gw AS (SELECT section, gi, unnest({_W.format('text')}) AS w, len({_W.format('text')}) AS ng FROM g), aw AS (SELECT section, ai, unnest({_W.format('t')}) AS w, len({_W.format('t')}) AS na FROM a),
+  m AS (SELECT section, gi, ai, count(*) / (ng + na - count(*)) AS score FROM gw JOIN aw USING (section, w) GROUP BY section, gi, ai, ng, na HAVING count(*) / (ng + na - count(*)) >= 0.3 QUALIFY row_number() OVER (PARTITION BY section, gi ORDER BY count(*) / (ng + na - count(*)) DESC, ai) = 1)
+  SELECT section, coalesce(nm, 0) / n AS recall, CASE WHEN coalesce(na, 0) > 0 THEN (na - coalesce(nu, 0)) / na ELSE 0.0 END AS hallucination, round(coalesce(f, 0.0), 9) AS fidelity FROM (SELECT section, count(*) AS n FROM g GROUP BY section)
+  LEFT JOIN (SELECT section, count(*) AS na FROM a GROUP BY section) USING (section) LEFT JOIN (SELECT section, count(*) AS nm, count(DISTINCT ai) AS nu, avg(score) AS f FROM m GROUP BY section) USING (section)""")
 def run_eval(spark, d):
     # sections of twenty ids, so that they grow in number with the table and not in size
     g = v.table(spark, d, "benchmark").selectExpr("concat('s', item_id div 20) AS section", "item_id AS golden_id", "text AS title")
     sections = g.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("golden_id", "title"))), lambda x: x["title"]), ".\n").alias("text"))
     found = K.extract_rules(sections.selectExpr("section AS doc_id", "section AS node_id", "1 AS pos", "replace(text, '.\n', '. Create ') AS text"))
     a = found.selectExpr("doc_id AS section", "ord AS actual_id", "short_description AS title")
-    return E.eval_scores(g, a, E.golden_match(g, a, 0.3))
+    return E.eval_scores(g, a, E.golden_match(g, a, 0.3)).withColumn("fidelity", F.round("fidelity", 9))
 
 
 @query("latency_quantiles", "SELECT model, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.9) AS q90, quantile_disc(value, 0.99) AS q99 FROM v_audit GROUP BY model")

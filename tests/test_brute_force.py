@@ -373,6 +373,27 @@ def test_streams_of_usage_steps_and_status(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_golden_match_one_to_one(spark):
+    """The sum of scores of the best of all assignments, on small sections; no ticket is taken twice."""
+    import itertools
+
+    r = random.Random(4)
+    rows, best = [], {}
+    for k in range(40):
+        m, n = r.randrange(1, 6), r.randrange(1, 6)
+        score = {(g, a): r.choice([0.5, 0.6, 0.75, 1.0, round(r.random(), 3)]) for g in range(m) for a in range(n) if r.random() < 0.7}
+        rows += [(f"s{k}", g, 100 + a, x) for (g, a), x in score.items()]
+        options = ([None, *range(n)] for _ in range(m))
+        best[f"s{k}"] = max(sum(score[g, a] for g, a in enumerate(p) if a is not None) for p in itertools.product(*options) if len({a for a in p if a is not None}) == sum(a is not None for a in p) and all(a is None or (g, a) in score for g, a in enumerate(p)))
+    got = E.one_to_one(spark.createDataFrame(rows, "section string, golden_id int, actual_id int, score double")).collect()
+    for s, want in best.items():
+        mine = [x for x in got if x.section == s]
+        assert len({x.golden_id for x in mine}) == len({x.actual_id for x in mine}) == len(mine) and abs(sum(x.score for x in mine) - want) < 1e-9
+    g = spark.createDataFrame([("s", 1, "build the gate"), ("s", 2, "build the gate now")], "section string, golden_id int, title string")
+    a = spark.createDataFrame([("s", 7, "build the gate"), ("s", 8, "build a gate now")], "section string, actual_id int, title string")
+    assert sorted((x.golden_id, x.actual_id) for x in E.golden_match(g, a, 0.3, unique=True).collect()) == [(1, 7), (2, 8)]
+
+
 def test_golden_match_by_all_pairs(spark):
     r = random.Random(9)
     said = lambda: " ".join(["the"] + [f"w{min(r.randrange(30), r.randrange(30))}" for _ in range(r.randint(0, 6))])
