@@ -13,10 +13,12 @@ Branches and texts whose importance is at most LEAST_IMPORTANCE are removed, on
 What an element says about itself comes first: nav, footer, aside, form, script, style and the like, and class or id
 words such as ad, sidebar, cookie or comment, are removed in any case: the tree can tell what a site repeats, but not a
 menu or advert whose text is new on every page. If a page has an article (or main) element that
-isn't so marked, its main text lies there. The tree decides inside it as everywhere. Only where it would take the larger
-part of a page's article, that article is a near copy of others on its host, and stays whole.
+isn't so marked, its main text lies there. The tree decides inside it as everywhere, but for near copies: texts that most
+pages of a host share because they are versions of one article look to the tree like a menu. So each branch or text that
+would go is weighed over all pages of its host that hold it in an article. If most of them would lose the larger part of
+their article, it is what these articles say, and stays on all of them; else it goes from all, from short pages as well.
 
-How the work is dealt: pages are parsed where they are read. Only (host, path, hash) rows are shuffled, summed map-side,
+How the work is dealt: pages are parsed where they are read, and once more for the weighing on hosts where something goes. Only (host, path, hash) rows are shuffled, summed map-side,
 so a host with a third of all pages is a third of the summands and not of a task. A host's removals are few (each is on
 m^(1 - LEAST_IMPORTANCE) of the host's m pages at least, so there are at most m^LEAST_IMPORTANCE times as many as a page
 has texts), and come back by broadcast while the written table is below BROADCAST_BYTES,
@@ -193,19 +195,23 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(page: str, bad_paths: set[str] = frozenset(), bad_texts: set[int] = frozenset()) -> str:
-    """The main text of one page, given what its host's tree removes: branches by path, texts by the hash of path and text."""
-    found = blocks(page)
+def _own(found: list[tuple[str, str, bool, bool]]) -> tuple[list[tuple[str, str]], bool]:
+    """(path, text) of the blocks that the main text may be made of, those of the article alone where there is one, and whether there is one."""
+    inside = any(main and not noise for _, _, main, noise in found)
+    return [(path, text) for path, text, main, noise in found if not noise and (main or not inside)], inside
+
 
-    def common(path: str, text: str) -> bool:
-        return any(path == p or path.startswith(p + ">") for p in bad_paths) or (bool(bad_texts) and _hash(f"{path}\n{text}") in bad_texts)
+def _takers(path: str, text: str, bad_paths: set[str], bad_texts: set[int]) -> list[tuple[str | None, int | None]]:
+    """What the host's tree takes a block for: branches (path, None) and texts (None, hash)."""
+    by: list[tuple[str | None, int | None]] = [(p, None) for p in bad_paths if path == p or path.startswith(p + ">")]
+    if bad_texts and (h := _hash(f"{path}\n{text}")) in bad_texts:
+        by.append((None, h))
+    return by
 
-    inside = any(b[2] and not b[3] for b in found)
-    own = [(path, text) for path, text, main, noise in found if not noise and (main or not inside)]
-    kept = [text for path, text in own if not common(path, text)]
-    if inside and 2 * sum(map(len, kept)) < sum(len(text) for _, text in own):
-        kept = [text for _, text in own]
-    return "\n".join(kept)
+
+def main_text(page: str, bad_paths: set[str] = frozenset(), bad_texts: set[int] = frozenset()) -> str:
+    """The main text of one page, given what its host's tree removes: branches by path, texts by the hash of path and text."""
+    return "\n".join(text for path, text in _own(blocks(page))[0] if not _takers(path, text, bad_paths, bad_texts))
 
 
 def _features(pages: DataFrame) -> DataFrame:
@@ -258,25 +264,63 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, contents
 
 
+def _by_host(rows: DataFrame, name: str) -> DataFrame:
+    """(host, bad_paths, bad_texts) from (host, p, t), written."""
+    return write_read(rows.groupBy("host").agg(F.collect_set("p").alias("bad_paths"), F.collect_set("t").alias("bad_texts")), name)
+
+
+def _meet(pages: DataFrame, out: DataFrame, how: str) -> DataFrame:
+    """pages with what goes on their host; out is a written table."""
+    if written_bytes(out) < BROADCAST_BYTES:
+        return pages.join(F.broadcast(out), "host", how)
+    salted = out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["host", "salt"], how)
+
+
+def _weighed(met: DataFrame) -> DataFrame:
+    """(host, p, t, page, heavy): for each page with an article what goes from it, and whether the article loses the larger part of its text to all that goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows: list[tuple[str, str | None, int | None, int, bool]] = []
+                for host, page, paths, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    found = blocks(page or "")
+                    own, inside = _own(found)
+                    if not inside:
+                        continue
+                    bad_paths, bad_texts = set(paths), set(texts)
+                    taken = [(len(text), _takers(path, text, bad_paths, bad_texts)) for path, text in own]
+                    heavy = 2 * sum(n for n, by in taken if by) > sum(n for n, _ in taken)
+                    whole_text = _hash("\n".join(t for _, t, _, noise in found if not noise))
+                    rows += [(host, p, t, whole_text, heavy) for p, t in {x for _, by in taken for x in by}]
+                if rows:
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "p", "t", "page", "heavy"])
+
+    return met.select("host", "html", "bad_paths", "bad_texts").mapInArrow(run, "host string, p string, t long, page long, heavy boolean")
+
+
 def removals(pages: DataFrame) -> DataFrame:
-    """One row (host, bad_paths, bad_texts) for each host from which the tree removes something."""
+    """One row (host, bad_paths, bad_texts) for each host from which the tree removes something, written. pages: (page_id, host, html)."""
     nodes, contents = style_tree(pages)
     low = F.col("importance") <= LEAST_IMPORTANCE
     paths = nodes.where(low & (F.size(F.split("path", ">")) > 3)).select("host", F.col("path").alias("p"), F.lit(None).cast("long").alias("t"))
     texts = contents.where(low).select("host", F.lit(None).cast("string").alias("p"), F.col("text").alias("t"))
-    return paths.unionByName(texts).groupBy("host").agg(F.collect_set("p").alias("bad_paths"), F.collect_set("t").alias("bad_texts"))
+    found = write_read(paths.unionByName(texts), "low")
+    weighed = _weighed(_meet(pages, _by_host(found, "low_by_host"), "inner")).distinct()
+    copies = weighed.groupBy("host", "p", "t").agg(F.count("*").alias("n"), F.count_if("heavy").alias("n_heavy")).where("2 * n_heavy > n")
+    x, y = found.alias("x"), copies.alias("y").hint("merge")
+    same = (F.col("x.host") == F.col("y.host")) & F.col("x.p").eqNullSafe(F.col("y.p")) & F.col("x.t").eqNullSafe(F.col("y.t"))
+    return _by_host(x.join(y, same, "left_anti"), "removals")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) for each row of pages."""
     kind = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"), F.col(html_col).alias("html"))
-    out = write_read(removals(own), "removals")
-    if written_bytes(out) < BROADCAST_BYTES:
-        met = own.join(F.broadcast(out), "host", "left")
-    else:
-        salted = out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
+    met = _meet(own, removals(own), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -505,6 +505,23 @@ def test_html_tree_inside_articles_on_small_hosts(spark):
     assert all("a1x19" in by[9100 + k] and "same long text" in by[9200 + k] for k in range(5))
 
 
+def test_html_menus_go_from_short_pages_too(spark):
+    """What goes is decided over a host's pages: a menu goes from pages with few words of their own as from long ones, versions of one article stay whole."""
+    menu = "<div><span>More of our offers and all our prices at a glance</span></div>"
+    page = lambda k, n: f"<body><main>{menu}<article><p>{' '.join(f'a{k}x{i}' for i in range(n))}</p></article></main></body>"
+    rows = [(k, f"http://short.example/{k}", page(k, 3 if k % 3 == 0 else 40), "") for k in range(20)]
+    shared = "".join(f"<p>what all versions of this article say, part {i}</p>" for i in range(4))
+    rows += [(100 + k, f"http://versions.example/{k}", f"<article>{shared}<p>version {k} of this</p></article>", "") for k in range(20)]
+    # most pages are versions of one article; the others share one of its texts, and keep it as well
+    rows += [(200 + k, f"http://mixed.example/{k}", f"<article>{shared if k < 17 else '<p>what all versions of this article say, part 0</p>'}<p>{f'own {k} ' * 20 if k >= 17 else f'version {k}'}</p></article>", "") for k in range(20)]
+    rows += [(300 + k, None, page(k, 3), "") for k in range(2)] + [(400, "http://short.example/x", None, "")]
+    by = {g.page_id: g.text for g in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(by[k] == " ".join(f"a{k}x{i}" for i in range(3 if k % 3 == 0 else 40)) for k in range(20))
+    assert all(by[100 + k].count("what all versions") == 4 and by[100 + k].endswith(f"version {k} of this") for k in range(20))
+    assert all(by[200 + k].count("what all versions") == (4 if k < 17 else 1) for k in range(20))
+    assert by[400] == "" and len(by) == len(rows)
+
+
 def test_clashing_columns_elsewhere(spark, tmp_path):
     """Columns of a caller that bear the names of an operator's own are left aside."""
     from docflow.llm import bpe, unigram
