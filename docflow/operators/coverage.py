@@ -31,8 +31,8 @@ def carried(nodes: DataFrame, links: DataFrame) -> DataFrame:
     rows = task_counts(nodes, links)
     dangling = F.lit(False)
     if "dangling" in links.columns:
-        first = links.where("dangling").join(nodes.select("doc_id", "node_id", "pos"), ["doc_id", "node_id"]).groupBy("doc_id").agg(F.min("pos").alias("_from"))
-        rows = rows.join(first, "doc_id", "left")
+        first = links.where("dangling").join(nodes.select("doc_id", "node_id", "pos").hint("merge"), ["doc_id", "node_id"]).groupBy("doc_id").agg(F.min("pos").alias("_from"))
+        rows = rows.join(first.hint("merge"), "doc_id", "left")
         dangling = F.coalesce(F.col("pos") > F.col("_from"), F.lit(False))
     before = F.coalesce(F.lag("n_tasks").over(in_order()), F.lit(0))
     return rows.withColumn("covered", (F.col("n_tasks") > 0) | (before > 0) | dangling).drop("_from")

@@ -274,7 +274,7 @@ def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_
         kids = kids.withColumn("_t", T.squeezed(F.col("title"))).join(known, ["doc_id", "_t", "physical_index"], "left_anti").drop("_t")
         group = W.partitionBy("doc_id", "parent_id").orderBy("pos")
         up = named.select("doc_id", F.col("node_id").alias("parent_id"), F.col("ord").alias("_up"), F.col("page_end").alias("n_pages"))
-        kids = starts_page(kids, pages).join(up, ["doc_id", "parent_id"]).withColumn("pos", F.row_number().over(group))
+        kids = starts_page(kids, pages).join(up.hint("merge"), ["doc_id", "parent_id"]).withColumn("pos", F.row_number().over(group))
         key = F.concat_ws("/", "doc_id", "parent_id")
         ranged = tree.tree_parents(tree.assign_ranges(kids.withColumn("_doc", F.col("doc_id")).withColumn("doc_id", key)))
         rows = ranged.select(
@@ -287,7 +287,7 @@ def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_
             return out
         level = rows.drop("_up")
         first = rows.groupBy("doc_id", F.col("_up").alias("ord")).agg(F.min("page_start").alias("_end"))
-        shorter = out.join(first, ["doc_id", "ord"], "left").withColumn("page_end", F.coalesce("_end", "page_end")).drop("_end")
+        shorter = out.join(first.hint("merge"), ["doc_id", "ord"], "left").withColumn("page_end", F.coalesce("_end", "page_end")).drop("_end")
         out = stored(shorter.unionByName(level), "levels")
 
 

@@ -208,7 +208,7 @@ def node_texts(nodes: DataFrame, pages: DataFrame, labelled: bool = False) -> Da
     met = reach.join(pages.select("doc_id", "page_no", F.col("text").alias("_text")).hint("merge"), ["doc_id", "page_no"])
     said = met.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("page_no", text.alias("t")))).alias("_rows"))
     said = said.select("doc_id", "node_id", F.array_join(F.transform("_rows", lambda x: x["t"]), "").alias("text"))
-    return nodes.drop("text").join(said, ["doc_id", "node_id"], "left")
+    return nodes.drop("text").join(said.hint("merge"), ["doc_id", "node_id"], "left")
 
 
 def preface_rows(toc: DataFrame) -> DataFrame:
