@@ -194,3 +194,21 @@ def test_queries_over_whole_tables(spark, tmp_path):
     assert {r.physical_index for r in rows} == set(range(1, 62)) and any(r.title == "Opening heading" for r in rows)
     got = Q.QUERIES["run_eval"](spark, str(tmp_path)).collect()
     assert len({r.section for r in got}) == 10
+
+
+def test_many_layout_files(spark, tmp_path):
+    """Files are packed before they are parsed: what is read afterwards are few files. Indented, marked, broken, empty and listed ones among them."""
+    import json
+
+    (tmp_path / "x").mkdir()
+    kid = lambda i: {"kids": [{"type": "heading", "content": f"H {i}\n", "kids": [{"type": "paragraph", "content": f"p{i}"}]}]}
+    for i in range(200):
+        (tmp_path / f"x/d{i}.json").write_text("﻿" * (i % 2) + json.dumps(kid(i), indent=i % 3 or None), encoding="utf-8")
+    (tmp_path / "x/two.json").write_text(json.dumps([kid(500), kid(501)], indent=1))
+    (tmp_path / "x/broken.json").write_text('{"kids": [{"type": "heading",\n')
+    (tmp_path / "x/empty.json").write_text("")
+    rows = io.read_elements(spark, str(tmp_path / "x"))
+    assert len(rows.inputFiles()) < 20
+    assert sorted((r.doc_id, r.kids[0].content) for r in rows.where("kids is not null").collect()) == sorted([(f"d{i}", f"H {i}\n") for i in range(200)] + [("two", "H 500\n"), ("two", "H 501\n")])
+    assert [r.doc_id for r in rows.where("kids is null").collect()] == ["broken"]
+    assert S.flat_elements(rows).where("doc_id = 'd7'").count() == 2
