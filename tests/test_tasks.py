@@ -253,3 +253,33 @@ def test_queries_run(spark, name):
     from docflow.plans import registry
 
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_lifecycle_without_continuations_needs_no_groups(spark):
+    """The rows of the state machine, by windows alone: ids that come again, flags, missing fields, nodes without tasks or place."""
+    shape = (
+        "doc_id string, node_id string, ord int, id string, title string, short_description string, acceptance_criteria array<string>, considerations_constraints array<string>, deliverables array<string>, use_case string, "
+        "mockup_prototype string, confidence double, flags array<string>, continues_to_next boolean"
+    )
+    rows = [
+        ("d", "n1", 0, "a", "A", None, None, None, ["x", None], "u", None, 0.5, ["INCOMPLETE", "ODD"], False), ("d", "n1", 1, "b", "B", "s", ["c"], [], None, None, "m", 0.9, None, None),
+        ("d", "n1", 2, "b", "B2", "s2", None, None, None, None, None, 0.8, [], False), ("d", "n2", 0, "a", "A again", "t", None, None, None, None, None, 0.1, [], False),
+        ("d", "n4", 0, "b", "B late", "t", None, None, None, None, None, 0.2, ["LOW_CONFIDENCE"], False), ("d", "n5", 0, "z", "no place", "t", None, None, None, None, None, 0.2, [], False),
+        ("e", "n1", 0, "a", "E", "t", None, None, None, None, None, 0.3, ["INCOMPLETE"], False), ("e", "n1", 1, None, "no id", "t", None, None, None, None, None, 0.3, [], True),
+    ]
+    places = [("d", "n1", 1), ("d", "n2", 2), ("d", "n3", 3), ("d", "n4", 4), ("d", "n5", None), ("e", "n1", 1)]
+    raws, nodes = spark.createDataFrame(rows, shape), spark.createDataFrame([(*x, f"S {x[1]}", 1, None) for x in places], "doc_id string, node_id string, pos int, title string, page_start int, page_end int")
+    got = L.task_lifecycle(raws, nodes)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    names, want = [f.strip().split()[0] for f in shape.split(",")], []
+    for doc in ("d", "e"):
+        state, out = L.Lifecycle(), []
+        for _, node, _ in sorted((x for x in places if x[0] == doc and x[2] is not None), key=lambda x: x[2]):
+            known = {"section_title": f"S {node}", "page_start": 1, "page_end": None}
+            out += state.step(node, [dict(zip(names, r, strict=True)) | known for r in rows if r[:2] == (doc, node) and r[3]])
+        want += [{"doc_id": doc} | {c: t[c] for c in L.OUT} for t in out + state.end()]
+    assert sorted((x.asDict(recursive=True) for x in got.collect()), key=repr) == sorted(want, key=repr) and len(want) == 4
+    # a document with a continuation takes the other way, and the rest stay as they are
+    more = raws.withColumn("continues_to_next", F.expr("doc_id = 'e'"))
+    assert [x.asDict(recursive=True) for x in L.task_lifecycle(more.where("doc_id = 'e'"), nodes).collect()] == [x for x in want if x["doc_id"] == "e"]
+    assert L.task_lifecycle(more, nodes).where("doc_id = 'd'").count() == 3
