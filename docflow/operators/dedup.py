@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docflow import schemas
 from docflow.functions.text import embedding_text
@@ -17,14 +18,17 @@ from docflow.sources.io import stored
 BLOCK = 2000
 
 
-def text_vectors(tasks: DataFrame, features: int = 1 << 12) -> DataFrame:
-    """(run_id, id, v): hashed words of title and description, weighted by rarity, of unit length."""
+def text_vectors(tasks: DataFrame, features: int = 1 << 12, sparse: bool = False) -> DataFrame:
+    """(run_id, id, v): hashed words of title and description, weighted by rarity, of unit length. sparse: v has size, indices and values, a small part of the numbers."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
     rows = tasks.select("run_id", "id", embedding_text(F.col("title"), F.col("short_description")).alias("said"))
     model = Pipeline(stages=[Tokenizer(inputCol="said", outputCol="w"), HashingTF(inputCol="w", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="n")]).fit(rows)
+    if sparse:
+        told = model.transform(rows).select("run_id", "id", F.unwrap_udt("n").alias("n"))
+        return told.select("run_id", "id", F.struct("n.size", "n.indices", F.col("n.values").cast("array<float>").alias("values")).alias("v"))
     return model.transform(rows).select("run_id", "id", vector_to_array("n", "float32").alias("v"))
 
 
@@ -43,7 +47,17 @@ def _dealt(vectors: DataFrame, block: int) -> DataFrame:
     sizes = vectors.groupBy("run_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("parts"))
     rows = vectors.join(sizes.hint("merge"), "run_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
+    rows = rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
+    return rows.select("*", "v.*").drop("v") if isinstance(vectors.schema["v"].dataType, StructType) else rows
+
+
+def _matrix(group: pd.DataFrame) -> np.ndarray:
+    """The vectors of a group as rows, from arrays or from indices and values."""
+    if "v" in group:
+        return np.array(group["v"].tolist(), np.float64)
+    out = np.zeros((len(group), int(group["size"].max()) if len(group) else 0))
+    out[np.repeat(np.arange(len(group)), group["indices"].map(len)), np.concatenate([np.zeros(0, np.int64), *group["indices"]]).astype(np.int64)] = np.concatenate([np.zeros(0), *group["values"]])
+    return out
 
 
 def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = BLOCK) -> DataFrame:
@@ -60,7 +74,7 @@ def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = BLOCK)
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group["a"].iloc[0], group["b"].iloc[0]
         group = group.sort_values("id", ignore_index=True)
-        x, copies, part = np.array(group["v"].tolist(), np.float64), group["copies"].to_numpy(), group["part"].to_numpy()
+        x, copies, part = _matrix(group), group["copies"].to_numpy(), group["part"].to_numpy()
         left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
         links, labels = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(left) if len(right) else 0, 512):
@@ -91,9 +105,10 @@ def similar_pairs(vectors: DataFrame, least: float = 0.85, block: int = BLOCK) -
     """(run_id, id_a, id_b, similarity), id_a < id_b: pairs of one run with a product of at least `least`. Exact.
 
     A run's vectors are dealt to blocks of about `block`; each pair of blocks is one group and one matrix product, so a
-    run with a third of all rows is many groups. vectors: (run_id, id, v), v of unit length.
+    run with a third of all rows is many groups. vectors: (run_id, id, v), v of unit length, an array or as the sparse ones
+    of text_vectors: those stay small on their way, and are dense inside a pair of blocks alone.
     """
-    rows = _dealt(vectors, block).select("run_id", "a", "b", "part", "id", "v")
+    rows = _dealt(vectors.select("run_id", "id", "v"), block)
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +116,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.85, block: int = BLOCK) -
         left, right = group[group["part"] == a], group[group["part"] == b]
         out = []
         if len(left) and len(right):
-            x, y = (np.array(g["v"].tolist(), np.float64) for g in (left, right))
+            x, y = _matrix(left), _matrix(right)
             la, rb = left["id"].to_numpy(), right["id"].to_numpy()
             for at in range(0, len(x), 512):
                 s = x[at : at + 512] @ y.T

@@ -283,3 +283,16 @@ def test_lifecycle_without_continuations_needs_no_groups(spark):
     more = raws.withColumn("continues_to_next", F.expr("doc_id = 'e'"))
     assert [x.asDict(recursive=True) for x in L.task_lifecycle(more.where("doc_id = 'e'"), nodes).collect()] == [x for x in want if x["doc_id"] == "e"]
     assert L.task_lifecycle(more, nodes).where("doc_id = 'd'").count() == 3
+
+
+def test_sparse_vectors_meet_like_dense_ones(spark):
+    """Pairs, numbers and classes alike; what is dealt to blocks holds no dense vector."""
+    rows = [(f"r{i % 2}", f"t{i:03}", f"word{i % 7} word{i % 3} common", f"text {i % 5}" if i % 4 else None) for i in range(120)]
+    t = spark.createDataFrame([*rows, ("r0", "empty", "", "")], "run_id string, id string, title string, short_description string")
+    dense, sparse = D.text_vectors(t), D.text_vectors(t, sparse=True)
+    pairs = [sorted(map(tuple, D.similar_pairs(x, 0.85, block=20).collect())) for x in (dense, sparse)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 77
+    classes = [sorted(map(tuple, D.similar_classes(x, 0.85, block=20).collect())) for x in (dense, sparse)]
+    assert classes[0] == classes[1]
+    dealt = D._dealt(sparse, 20)
+    assert "v" not in dealt.columns and dealt.agg(F.max(F.size("indices"))).first()[0] < 10
