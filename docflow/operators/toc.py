@@ -258,7 +258,7 @@ def toc_modes(pages: DataFrame, scan: int = 20, least_score: float = 0.5) -> tup
     marked = stored(pages.join(run.hint("merge"), "doc_id", "left"), "marked")
     within = F.coalesce(F.col("page_no").between(F.col("run_start"), F.col("run_end")), F.lit(False))
     inside, outside = (marked.where(c).select(*pages.columns) for c in (within, ~within))
-    body = marked.where("run_end is null or page_no > run_end").select(*pages.columns)
+    body = marked.where("page_no > run_end").select(*pages.columns)  # documents without contents have no items to place
     read = stored(locate(stored(toc_items(inside), "toc_items"), body), "located")
     printed = read.join(page_offset(read).hint("merge"), "doc_id").withColumn("physical_index", F.coalesce(F.col("page") + F.col("page_offset"), "physical_index"))
     return [printed, read, page_headings(outside)], [body, body, outside], n_pages
@@ -293,6 +293,7 @@ def split_levels(nodes: DataFrame, pages: DataFrame, most_pages: int = 10, most_
 
 def document_tree(pages: DataFrame, scan: int = 20, least_score: float = 0.5, most_pages: int = 10, most_tokens: int = 20000) -> DataFrame:
     """Nodes of every document: contents found, read, placed, checked, repaired, ranged, and large nodes split; a document without any gets a single node "Document"."""
+    pages = stored(pages, "pages")  # they are read by every step
     modes, body, n_pages = toc_modes(pages, scan, least_score)
     items = stored(ladder(checked_modes(modes, body, n_pages), body, n_pages), "items")
     rest = n_pages.join(items.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("pos"), F.lit("1").alias("structure"), F.lit("Document").alias("title"), F.lit(1).alias("physical_index"))

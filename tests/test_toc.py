@@ -57,3 +57,13 @@ def test_places_with_other_ids(spark):
     pages = spark.createDataFrame([(1, 1, "a plan"), (1, None, "plan"), (1, 2, "plan b")], "doc_id long, page_no int, text string")
     items = spark.createDataFrame([(1, 1, "Plan"), (1, 2, "plan B"), (2, 1, "plan")], "doc_id long, pos int, title string")
     assert sorted(map(tuple, O.first_places(items, pages).collect())) == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_pages_without_contents_are_not_searched(spark):
+    """Titles are looked for in documents that have contents alone; the pages of the others wait for their headings."""
+    toc = "1 Alpha ........ 2\n2 Beta ........ 3"
+    rows = [("a", 1, toc, 4), ("a", 2, "1 Alpha\ntext", 2), ("a", 3, "2 Beta\ntext", 2), ("b", 1, "1 Gamma\ntext", 2), ("b", 2, "plain text", 2)]
+    modes, body, _ = O.toc_modes(spark.createDataFrame(rows, "doc_id string, page_no int, text string, n_tokens long"))
+    assert [sorted((x.doc_id, x.page_no) for x in b.collect()) for b in body] == [[("a", 2), ("a", 3)]] * 2 + [[("a", 2), ("a", 3), ("b", 1), ("b", 2)]]
+    assert sorted((x.doc_id, x.title, x.physical_index) for x in modes[1].collect()) == [("a", "Alpha", 2), ("a", "Beta", 3)]
+    assert ("b", "Gamma", 1) in {(x.doc_id, x.title, x.physical_index) for x in modes[2].collect()}
