@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import text as T
 from docflow.operators import tree
+from docflow.sources.io import stored
 
 
 def markdown_lines(docs: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def markdown_tree(docs: DataFrame, least_tokens: int = 0) -> DataFrame:
     """Nodes with ids, parents and token counts; branches under least_tokens are thinned."""
     nodes = tree.node_numbering(markdown_nodes(docs)).withColumn("n_tokens", T.token_count(F.col("text")).cast("long"))
     if least_tokens:
-        nodes = tree.node_numbering(tree.tree_thinning(nodes, least_tokens)).withColumn("n_tokens", T.token_count(F.col("text")).cast("long"))
+        nodes = tree.node_numbering(tree.tree_thinning(stored(nodes, "sections"), least_tokens)).withColumn("n_tokens", T.token_count(F.col("text")).cast("long"))
     return tree.parents(nodes)
 
 

@@ -170,17 +170,26 @@ def subtree_tokens(nodes: DataFrame) -> DataFrame:
 
 
 def tree_thinning(nodes: DataFrame, least: int) -> DataFrame:
-    """Nodes whose branch has fewer than least tokens take in the texts below them; those below are gone."""
-    full = subtree_tokens(nodes).withColumn("small", F.col("branch_tokens") < least)
+    """Nodes whose branch has fewer than least tokens take in the texts below them; those below are gone.
+
+    Who takes in whom is told without texts; those then meet it once, and only texts that are put together go on to their
+    node. nodes is read twice: what is costly to make is better written before.
+    """
+    told = branches(nodes).withColumn("small", F.col("branch_tokens") < least)
     # a node is gone if an earlier small node's branch reaches it
     reach = F.max(F.when(F.col("small"), F.col("subtree_end"))).over(before())
-    kept = full.withColumn("_gone", F.coalesce(reach >= F.col("pos"), F.lit(False)))
-    owner = F.last(F.when(~F.col("_gone"), F.col("pos")), True).over(in_order())
-    owned = kept.withColumn("_owner", owner)
-    texts = owned.groupBy("doc_id", F.col("_owner").alias("pos")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.struct("pos", F.trim("text").alias("text"))))), lambda x: x["text"]), "\n\n").alias("branch_text")
+    told = told.withColumn("_gone", F.coalesce(reach >= F.col("pos"), F.lit(False)))
+    told = told.withColumn("_owner", F.last(F.when(~F.col("_gone"), F.col("pos")), True).over(in_order()))
+    told = told.withColumn("_own", F.count("*").over(W.partitionBy("doc_id", "_owner")))
+    told = told.select("doc_id", "pos", "subtree_end", "branch_tokens", "small", "_gone", "_owner", "_own")
+    met = stored(nodes.drop("subtree_end", "branch_tokens").join(told.hint("merge"), ["doc_id", "pos"]), "thinning")
+    said = F.trim(F.coalesce("text", F.lit("")))
+    texts = met.where("_own > 1 and text is not null").where(said != "").groupBy("doc_id", F.col("_owner").alias("pos")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("text")))), lambda x: x["text"]), "\n\n").alias("branch_text")
     )
-    return kept.where(~F.col("_gone")).drop("_gone").join(texts, ["doc_id", "pos"]).withColumn("text", F.when(F.col("small"), F.col("branch_text")).otherwise(F.col("text"))).drop("branch_text", "small")
+    kept = met.where(~F.col("_gone")).withColumn("text", F.when(F.col("small"), said).otherwise(F.col("text")))
+    full = kept.where("small and _own > 1").drop("text").join(texts.hint("merge"), ["doc_id", "pos"], "left").withColumn("text", F.coalesce("branch_text", F.lit(""))).drop("branch_text")
+    return kept.where("not small or _own = 1").unionByName(full).drop("small", "_gone", "_owner", "_own")
 
 
 def tree_parents(toc: DataFrame) -> DataFrame:

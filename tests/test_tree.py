@@ -212,3 +212,13 @@ def test_many_layout_files(spark, tmp_path):
     assert sorted((r.doc_id, r.kids[0].content) for r in rows.where("kids is not null").collect()) == sorted([(f"d{i}", f"H {i}\n") for i in range(200)] + [("two", "H 500\n"), ("two", "H 501\n")])
     assert [r.doc_id for r in rows.where("kids is null").collect()] == ["broken"]
     assert S.flat_elements(rows).where("doc_id = 'd7'").count() == 2
+
+
+def test_thinning_moves_texts_once(spark):
+    """Texts are shuffled to their node's row and, where texts are put together, to their node: the nodes are read twice and no more."""
+    rows = [("d", 1, "0", 1, " root \n", 500), ("d", 2, "1", 2, " a ", 3), ("d", 3, "2", 3, None, 2), ("d", 4, "3", 3, " c", 2), ("d", 5, "4", 2, None, 1), ("d", 6, "5", 2, "  ", 1), ("d", 7, "6", 3, "", 1), ("d", 8, "7", 2, " e ", 600)]
+    nodes = spark.createDataFrame(rows, "doc_id string, pos int, node_id string, level int, text string, n_tokens long")
+    out = N.tree_thinning(nodes, 20)
+    assert [(r.pos, r.text, r.branch_tokens) for r in out.orderBy("pos").collect()] == [(1, " root \n", 1110), (2, "a\n\nc", 7), (5, "", 1), (6, "", 2), (8, " e ", 600)]
+    assert set(out.columns) == {*nodes.columns, "subtree_end", "branch_tokens"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0  # branches are told once, before texts move
