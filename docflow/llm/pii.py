@@ -45,7 +45,9 @@ STEPS = 280
 LENGTH, STRIDE = 384, 352
 TRAIN_LENGTH = 96
 #: Windows that go through the tagger together.
-LOT = 512
+LOT = 2048
+#: Rows of a batch that are worked on together, so that lots are full.
+SLICE = 256
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -370,8 +372,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = tagger_of(params) if params else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 found = all_spans(tagger, [x or "" for x in batch.column(1).to_pylist()])
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(BASE_KINDS))]
                 digest = pa.array([sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -391,8 +393,8 @@ def redact(docs: DataFrame, text_col: str = "text", params: dict | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = tagger_of(params) if params else None
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
                 texts = batch.column(at).to_pylist()
                 found = all_spans(tagger, [x or "" for x in texts])
                 new = pa.array([None if t is None else redacted(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -250,6 +251,39 @@ def test_tagger_skips_only_what_is_all_zero():
             assert tags.tolist() == best[::-1]
 
 
+def test_tagger_scores_by_definition_and_cheaply():
+    """Scores are those of the training pass, also where gates are saturated; they cost a small part of it, and few windows are traced back for nothing."""
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            got = f()
+            took.append(time.process_time() - began)
+        return min(took), got
+
+    text, maker, r = "The quick words of a plain text, in (2) lines; see figure 3.1 and the rest of it. " * 40, pii.Maker(3), np.random.default_rng(1)
+    tagger = Tagger(1 + 2 * len(pii.KINDS))
+    tagger.fit(*pii.examples([text], 300), steps=60)
+    some = r.integers(0, 100, (60, 7)).astype(np.uint8)
+    for scale in (1, 50):
+        own = Tagger(tagger.k)
+        own.p = tagger.p | {f"wx{d}": tagger.p[f"wx{d}"] * scale for d in "fb"}
+        with np.errstate(all="raise", under="ignore"):
+            got = own.emissions(some)
+        assert np.abs(got - (np.concatenate([own._run(some, d) for d in "fb"], axis=2) @ own.p["wo"] + own.p["bo"])).max() < 1e-3
+    windows = np.zeros((512, 384), np.uint8)
+    for k in range(512):
+        own = pii.char_ids(text[k : k + 250] + (maker.set_into(text)[0] if k % 64 == 0 else text[:150]))[:384]
+        windows[k, : len(own)] = own
+    ids = np.ascontiguousarray(windows.T)
+    trained, _ = seconds(lambda: [tagger._run(ids[:, :256], d) for d in "fb"])
+    took, tags = seconds(lambda: tagger.decode(windows))
+    differ = int(tags.any(axis=1).sum())
+    assert differ > 0 and took / 512 < 0.4 * trained / 256
+    assert differ <= len(tagger._may_differ(tagger._scores(ids))) <= 2 * differ + 16
+
+
 def test_pii_exact_checks():
     card = pii.KINDS.index("card")
     assert pii.fits(card, "4111.1111.1111.1111") and not pii.fits(card, "4111.1111.1111.1112") and not pii.fits(card, "0" * 16)
