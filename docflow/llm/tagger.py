@@ -10,20 +10,20 @@ CHARS = 100
 SMALL = 1024
 #: Windows that are scored together: enough to outweigh the calls, few enough for a core's cache.
 ROWS = 512
-_ASCII = np.full(128, 99, np.int64)
-_ASCII[32:127] = np.arange(1, 96)
-_ASCII[[9, 10, 11, 12, 13]] = 98
+_IDS = np.zeros(0x110000, np.uint8)  # of other characters than ASCII's as they come up
+_IDS[:128] = 99
+_IDS[32:127] = np.arange(1, 96)
+_IDS[[9, 10, 11, 12, 13]] = 98
 
 
 def char_ids(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(codes < 128, _ASCII[np.minimum(codes, 127)], 96).astype(np.uint8)
-    for i in np.flatnonzero(codes >= 128).tolist():
-        c = chr(codes[i])
-        if c.isspace():
-            out[i] = 98
-        elif not c.isalpha():
-            out[i] = 97 if c.isdigit() else 99
+    out = _IDS[codes]
+    if not out.all():
+        for i in set(codes[out == 0].tolist()):
+            c = chr(i)
+            _IDS[i] = 98 if c.isspace() else 96 if c.isalpha() else 97 if c.isdigit() else 99
+        out = _IDS[codes]
     return out
 
 
@@ -81,7 +81,7 @@ class Tagger:
         wx = np.concatenate([_planes(self.p[f"wx{d}"] + self.p[f"b{d}"]) for d in "fb"], axis=1)
         wh = np.stack([_planes(2 * self.p[f"wh{d}"]) for d in "fb"])
         wo = np.stack([2 * self.p["wo"][:n].T, 2 * self.p["wo"][n:].T]).astype(np.float32)
-        both = np.concatenate([ids, ids[::-1].astype(np.int16) + CHARS], axis=1)
+        both = np.concatenate([ids, ids[::-1].astype(np.intp) + CHARS], axis=1)
         h, c, new = (np.zeros((2 * rows, n), np.float32) for _ in range(3))
         z, hz, got = np.empty((4, 2 * rows, n), np.float32), np.empty((4, 2 * rows, n), np.float32), np.empty((2, self.k, rows), np.float32)
         state, moved = h.reshape(2, rows, n), hz.reshape(4, 2, rows, n).transpose(1, 0, 2, 3)
