@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,12 +24,12 @@ def outside_fences(lines: DataFrame) -> DataFrame:
     return lines.withColumn("fenced", (so_far % 2 == 1) | T.is_fence(F.col("line")))
 
 
-def markdown_nodes(docs: DataFrame) -> DataFrame:
-    """Headings with level and the text from the heading to the next one; text before the first heading is left out."""
+def markdown_nodes(docs: DataFrame, ends: Callable[[Column], Column] = T.stripped) -> DataFrame:
+    """Headings with level and the text from the heading to the next one, its ends by a function; text before the first heading is left out."""
     lines = outside_fences(markdown_lines(docs)).withColumn("level", F.when(~F.col("fenced"), T.heading_level(F.col("line"))).otherwise(F.lit(0)))
     runs = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(tree.in_order())).where("section > 0")
     per = runs.groupBy("doc_id", "section").agg(F.min_by("level", "pos").alias("level"), F.min_by("line", "pos").alias("_head"), F.min("pos").alias("line_no"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    return per.select("doc_id", F.col("section").alias("pos"), "level", T.heading_title(F.col("_head")).alias("title"), (F.col("line_no") + 1).alias("line_num"), T.stripped(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
+    return per.select("doc_id", F.col("section").alias("pos"), "level", T.heading_title(F.col("_head")).alias("title"), (F.col("line_no") + 1).alias("line_num"), ends(F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
 
 
 def markdown_tree(docs: DataFrame, least_tokens: int = 0) -> DataFrame:

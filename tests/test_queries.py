@@ -21,3 +21,29 @@ def test_projects_of_all_kinds(spark, tmp_path, name):
     got = [tuple(x) for x in registry.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert {x[-1] for x in got} >= {"Story", "Epic", "Bug"}
+
+
+def against_sql(spark, tmp_path, name, rows):
+    """Rows of a query and of its SQL over documents."""
+    import duckdb
+
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    told = db.execute(registry.ORACLES[name])
+    columns, want = [c[0] for c in told.description], told.fetchall()
+    got = [tuple(x) for x in registry.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()]
+    return sorted(map(repr, got)), sorted(map(repr, want))
+
+
+ENDS = [None, "", " ", "\n", "a\n\n", "a\t", "a ", "a\xa0", "a\r", "　a ", "\n\na b"]
+MARKS = ["# Head\na", "a\n  ## Head ##\nb", "a\n```\nb", "```\n# x\n```", "a\n\\# b\n\\\\```\nc", "\t\\## b\n#\n####### c", "a\r# b\n\x0b### c"]
+
+
+@pytest.mark.parametrize("name", ["heading_extract", "markdown_tree", "fence_parity"])
+def test_markdown_of_odd_texts(spark, tmp_path, name):
+    """Texts that are empty or end in white space, and texts that would be headings or fences if they were markdown."""
+    texts = ENDS + ["Plain text."] + MARKS
+    rows = [(i, texts[i // 2 % len(texts)], "en", f"src{i % 2}", 1) for i in range(6 * len(texts))]
+    got, want = against_sql(spark, tmp_path, name, rows)
+    assert got == want
