@@ -252,8 +252,8 @@ def toc_modes(pages: DataFrame, scan: int = 20, least_score: float = 0.5) -> tup
     """(items of each mode, the pages of each mode, n_pages): contents with printed pages shifted by the document's offset, contents placed by their titles, and headings on the pages themselves."""
     n_pages = stored(pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("n_pages")), "n_pages")
     early = pages.where(F.col("page_no") <= scan)  # a run may go on behind the first pages; those are only scored for documents that have one
-    late = pages.where(F.col("page_no") > scan).join(early.where(T.toc_score(F.col("text")) >= least_score).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    flagged = early.unionByName(late).select("doc_id", "page_no", (T.toc_score(F.col("text")) >= least_score).alias("is_toc"))
+    late = pages.where(F.col("page_no") > scan).join(early.where(T.is_contents(F.col("text"), least_score)).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    flagged = early.unionByName(late).select("doc_id", "page_no", T.is_contents(F.col("text"), least_score).alias("is_toc"))
     run = stored(first_toc_run(flagged, scan), "runs")
     marked = stored(pages.join(run.hint("merge"), "doc_id", "left"), "marked")
     within = F.coalesce(F.col("page_no").between(F.col("run_start"), F.col("run_end")), F.lit(False))

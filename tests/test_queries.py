@@ -47,3 +47,21 @@ def test_markdown_of_odd_texts(spark, tmp_path, name):
     rows = [(i, texts[i // 2 % len(texts)], "en", f"src{i % 2}", 1) for i in range(6 * len(texts))]
     got, want = against_sql(spark, tmp_path, name, rows)
     assert got == want
+
+
+def test_prose_is_no_contents(spark, tmp_path):
+    """Pages of one line that ends in a number, in front of books and repeated in them; headings with odd letters."""
+    card, year, plain = "Paid with 4088495698897153", "As it was in 1998", "Plain words."
+    books = {
+        "src2": [card] + [plain] * 6,
+        "src4": [year] + [plain] * 6,
+        "src1": [card],
+        "src3": [year],
+        "src5": [card, plain, plain, plain, card],
+        "src7": [year, plain, plain, plain, year],
+        "src8": [f"12.5.3.4 {card}"] + [plain] * 6,
+        "src9": ["4 ΣΑΣ\nPlain words.", "5 a\rb\n6 c\x85d\n7 x　"],
+    }
+    rows = [(k, text, "en", source, 1) for source, texts in books.items() for k, text in enumerate(texts)]
+    got, want = against_sql(spark, tmp_path, "toc_pipeline", rows)
+    assert got == want and len(got) == len(books)

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from docflow.functions import text as T
 from docflow.operators import toc as O
 
 ITEMS = "doc_id string, pos int, structure string, title string, physical_index int, found boolean, n_pages int"
@@ -67,3 +70,11 @@ def test_pages_without_contents_are_not_searched(spark):
     assert [sorted((x.doc_id, x.page_no) for x in b.collect()) for b in body] == [[("a", 2), ("a", 3)]] * 2 + [[("a", 2), ("a", 3), ("b", 1), ("b", 2)]]
     assert sorted((x.doc_id, x.title, x.physical_index) for x in modes[1].collect()) == [("a", "Alpha", 2), ("a", "Beta", 3)]
     assert ("b", "Gamma", 1) in {(x.doc_id, x.title, x.physical_index) for x in modes[2].collect()}
+
+
+def test_is_contents(spark):
+    """Lines lead to a page by dots or by a number; one line that ends in a number is prose."""
+    yes = ["1 Alpha ........ 2", "1 Alpha . . . . . . 12\n2 Beta . . . . . . 15", "Alpha 2\nBeta 4", "Contents\n\nAlpha ..... iv\nBeta ..... A-3\nwrapped", "Alpha ......"]
+    no = [None, "", "Alpha", "Paid with 4088495698897153", "1 Alpha\nAs it was in 1998", "Paid 4088495698897153\nPaid 4088495698897154", "Well ..... who knows\nYes.", "Alpha 2\nBeta 4\nx\ny\nz", "." * 100_000 + " who knows"]
+    rows = spark.createDataFrame([(t,) for t in yes + no], "text string")
+    assert [x[0] for x in rows.select(T.is_contents(F.col("text"))).collect()] == [True] * len(yes) + [False] * len(no)
